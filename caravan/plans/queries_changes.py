@@ -1,3 +1,522 @@
-"""Registered queries."""
+"""Bulk-change queries (J8, M1-M13) with DuckDB oracles. Request tables come
+from the adapter (``caravan.testdata``); each query returns either the
+per-request outcome or the stored table after the change."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caravan.operators import admission as AD
+from caravan.operators import changes as CH
+from caravan.plans.registry import register
+from caravan.testdata import AS_OF, Tables, duck_with
+
+
+def _pi(c: str) -> str:
+    """JS parseInt in DuckDB text."""
+    return f"TRY_CAST(nullif(regexp_extract({c}, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT)"
+
+
+def _pf(c: str) -> str:
+    return (f"TRY_CAST(nullif(regexp_extract({c}, '^\\s*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)"
+            f"([eE][+-]?[0-9]+)?)', 1), '') AS DOUBLE)")
+
+
+def _blank(c: str) -> str:
+    return f"coalesce(CAST({c} AS VARCHAR), '') = ''"
+
+
+def _blank0(c: str) -> str:
+    return f"({_blank(c)} OR trim(CAST({c} AS VARCHAR)) = '0')"
+
+
+def _sha(*cols: str) -> str:
+    return "sha256(concat_ws(chr(1), " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + "))"
+
+
+_OUTCOME = "SELECT request_id, error_code IS NULL AS accepted, error_code FROM d"
+
+# ------------------------------------------------------------------ M1
+_TRIP_E1 = ("CASE WHEN " + " OR ".join(_blank(f'"{c}"') for c in CH.TRIP_REQUIRED) +
+            " THEN 'MISSING_FIELDS' WHEN coalesce(n_images, 0) <= 0 THEN 'IMAGE_REQUIRED'"
+            " WHEN NOT coalesce(has_itinerary, false) THEN 'ITINERARY_REQUIRED'"
+            " WHEN json_valid(\"daysData\") IS NOT TRUE THEN 'INVALID_DAYS_JSON' END")
+
+def _trips_decided_sql() -> str:
+    return duck_with("trips", "trip_requests") + f""", r1 AS (SELECT *, {_TRIP_E1} AS e1 FROM trip_requests),
+x AS (SELECT r1.*, name IN (SELECT destination_name FROM trips) AS ex FROM r1),
+f AS (SELECT name AS fk, min(seq) AS fs FROM x WHERE e1 IS NULL AND NOT coalesce(ex, false) GROUP BY name),
+d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR x.seq > f.fs THEN 'DUPLICATE_NAME' END)
+        AS error_code FROM x LEFT JOIN f ON f.fk = x.name)
+"""
+
+
+@register("insert_trips_outcome", _trips_decided_sql() + _OUTCOME)
+def q_insert_trips_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.insert_trips(t.trips, t.trip_requests)[1]
+
+
+@register("insert_trips_table", _trips_decided_sql() + f"""
+SELECT CAST(id AS VARCHAR) AS id, destination_name, destinations, physical_rating, description, itinerary,
+       inclusions, excluions, days, nights, status, images FROM trips
+UNION ALL
+SELECT {_sha('request_id', 'name')}, name, destinations, CAST({_pi('"physicalRating"')} AS INTEGER),
+       description, "daysData", '', '', days, CAST({_pi('nights')} AS INTEGER), true, n_images
+FROM d WHERE error_code IS NULL""")
+def q_insert_trips_table(spark, d):
+    t = Tables(spark, d)
+    return CH.insert_trips(t.trips, t.trip_requests)[0]
+
+
+# ------------------------------------------------------------------ M2
+_NUMS = ['"startDate"', '"endDate"', '"standardPrice"', '"tripleRoom"', 'tax', '"maxAdventurers"']
+_BATCH_E1 = ("CASE WHEN " + " OR ".join(
+    [_blank('"batchName"'), _blank('"assignedTrip"'), _blank0('"startDate"'), _blank0('"endDate"'),
+     _blank0('"standardPrice"'), '"tripleRoom" IS NULL', 'tax IS NULL', _blank0('"maxAdventurers"')]) +
+    f" THEN 'MISSING_FIELDS' WHEN {_pi('\"endDate\"')} <= {_pi('\"startDate\"')} THEN 'INVALID_DATES' END")
+_BATCH_E3 = ("CASE WHEN " + " OR ".join(f"{_pi(c)} IS NULL" for c in _NUMS) +
+             " THEN 'INVALID_NUMBER' WHEN \"assignedTrip\" NOT IN (SELECT CAST(id AS VARCHAR) FROM trips)"
+             " THEN 'TRIP_NOT_FOUND' END")
+
+
+def _batches_decided_sql() -> str:
+    return duck_with("batches", "trips", "batch_requests") + f""", r1 AS (
+  SELECT *, {_BATCH_E1} AS e1, {_BATCH_E3} AS e3 FROM batch_requests),
+x AS (SELECT r1.*, "batchName" IN (SELECT batch_name FROM batches) AS ex FROM r1),
+f AS (SELECT "batchName" AS fk, min(seq) AS fs FROM x WHERE e1 IS NULL AND e3 IS NULL AND NOT coalesce(ex, false)
+      GROUP BY "batchName"),
+d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR x.seq > f.fs THEN 'DUPLICATE_NAME' END, e3)
+        AS error_code FROM x LEFT JOIN f ON f.fk = x."batchName")
+"""
+
+
+@register("insert_batches_outcome", _batches_decided_sql() + _OUTCOME)
+def q_insert_batches_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.insert_batches(t.batches, t.batch_requests, t.trips, AS_OF)[1]
+
+
+@register("insert_batches_table", _batches_decided_sql() + f"""
+SELECT CAST(id AS VARCHAR) AS id, CAST(trip_id AS VARCHAR) AS trip_id, from_date, to_date, days, nights,
+       price, tax, max_adventurers, status, batch_name, single_room, double_room, triple_room, created_at
+FROM batches
+UNION ALL
+SELECT {_sha('request_id', '"batchName"')}, "assignedTrip", {_pi('"startDate"')}, {_pi('"endDate"')},
+       NULL, NULL, {_pi('"standardPrice"')}, {_pi('tax')}, {_pi('"maxAdventurers"')},
+       CASE WHEN status IS NULL THEN true ELSE lower(status) IN ('true', '1', 't') END, "batchName",
+       coalesce({_pi('"singleRoom"')}, 0), coalesce({_pi('"doubleRoom"')}, 0), {_pi('"tripleRoom"')},
+       coalesce({_pi('"createdAt"')}, {AS_OF})
+FROM d WHERE error_code IS NULL""")
+def q_insert_batches_table(spark, d):
+    t = Tables(spark, d)
+    return CH.insert_batches(t.batches, t.batch_requests, t.trips, AS_OF)[0]
+
+
+# ------------------------------------------------------------------ M3
+def _coupons_decided_sql() -> str:
+    e1 = ("CASE WHEN " + " OR ".join([_blank('"couponCode"'), _blank0('deduction'), _blank0('"startDate"'),
+                                       _blank0('"endDate"')]) + " THEN 'MISSING_FIELDS' END")
+    return duck_with("coupons", "coupon_requests") + f""", r1 AS (SELECT *, {e1} AS e1 FROM coupon_requests),
+x AS (SELECT r1.*, "couponCode" IN (SELECT code FROM coupons) AS ex FROM r1),
+f AS (SELECT "couponCode" AS fk, min(seq) AS fs FROM x WHERE e1 IS NULL AND NOT coalesce(ex, false)
+      GROUP BY "couponCode"),
+d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR x.seq > f.fs THEN 'DUPLICATE_CODE' END)
+        AS error_code FROM x LEFT JOIN f ON f.fk = x."couponCode")
+"""
+
+
+@register("insert_coupons_outcome", _coupons_decided_sql() + _OUTCOME)
+def q_insert_coupons_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.insert_coupons(t.coupons, t.coupon_requests)[1]
+
+
+@register("insert_coupons_table", _coupons_decided_sql() + f"""
+SELECT CAST(id AS VARCHAR) AS id, code, deduction, start_date, end_date, status FROM coupons
+UNION ALL
+SELECT {_sha('request_id', '"couponCode"')}, "couponCode",
+       CAST(CAST({_pf('deduction')} AS DECIMAL(12, 2)) AS INTEGER), {_pi('"startDate"')},
+       {_pi('"endDate"')}, true
+FROM d WHERE error_code IS NULL""")
+def q_insert_coupons_table(spark, d):
+    t = Tables(spark, d)
+    return CH.insert_coupons(t.coupons, t.coupon_requests)[0]
+
+
+# ------------------------------------------------------------------ M4
+def _users_decided_sql() -> str:
+    e1 = ("CASE WHEN " + " OR ".join(_blank(c) for c in ['name', 'email', '"phoneNumber"', 'role']) +
+          " THEN 'MISSING_FIELDS' WHEN NOT regexp_full_match(email, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+')"
+          " THEN 'INVALID_EMAIL' WHEN NOT regexp_full_match(\"phoneNumber\", '[0-9]{10}')"
+          " THEN 'INVALID_PHONE' END")
+    e3 = "CASE WHEN lower(trim(role)) NOT IN ('user', 'admin', 'superadmin') THEN 'INVALID_ROLE' END"
+    return duck_with("users", "user_requests") + f""", r1 AS (SELECT *, {e1} AS e1, {e3} AS e3 FROM user_requests),
+x AS (SELECT r1.*, email IN (SELECT email FROM users) AS ex FROM r1),
+f AS (SELECT email AS fk, min(seq) AS fs FROM x WHERE e1 IS NULL AND e3 IS NULL AND NOT coalesce(ex, false)
+      GROUP BY email),
+d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR x.seq > f.fs THEN 'DUPLICATE_EMAIL' END, e3)
+        AS error_code FROM x LEFT JOIN f ON f.fk = x.email)
+"""
+
+
+@register("insert_users_outcome", _users_decided_sql() + _OUTCOME)
+def q_insert_users_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.insert_users(t.users, t.user_requests, AS_OF)[1]
+
+
+@register("insert_users_table", _users_decided_sql() + f"""
+SELECT CAST(id AS VARCHAR) AS id, name, email, phone_number, created_at, role, gender, emergency_contact,
+       address FROM users
+UNION ALL
+SELECT {_sha('request_id', 'email')}, name, email, CAST({_pi('"phoneNumber"')} AS VARCHAR),
+       CAST({AS_OF} AS BIGINT), lower(trim(role)), NULL, NULL, NULL
+FROM d WHERE error_code IS NULL""")
+def q_insert_users_table(spark, d):
+    t = Tables(spark, d)
+    return CH.insert_users(t.users, t.user_requests, AS_OF)[0]
+
+
+# ------------------------------------------------------------------ M5, M9
+def _booking_rules_sql(with_invoice: bool, not_found: bool) -> str:
+    parts = []
+    if not_found:
+        parts.append("WHEN NOT bk_ok THEN 'NOT_FOUND'")
+    if with_invoice:
+        parts.append("WHEN NOT coalesce(has_invoice, false) THEN 'INVOICE_REQUIRED'")
+    missing = " OR ".join(_blank(c) for c in
+                          ["user_ref", "batch_ref", "name", "phone_number", "email", "payment", "travellers",
+                           "room_type"])
+    parts += [f"WHEN {missing} THEN 'MISSING_FIELDS'",
+              f"WHEN {_pf('payment')} IS NULL OR {_pf('payment')} <= 0 THEN 'INVALID_PAYMENT'",
+              f"WHEN {_pi('travellers')} IS NULL OR {_pi('travellers')} <= 0 THEN 'INVALID_TRAVELLERS'",
+              "WHEN NOT regexp_full_match(email, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+') THEN 'INVALID_EMAIL'",
+              "WHEN NOT regexp_full_match(phone_number, '[0-9]{10}') THEN 'INVALID_PHONE'",
+              f"WHEN NOT ({_blank('guardian_number')}) AND NOT regexp_full_match(guardian_number, '[0-9]{{10}}')"
+              " THEN 'INVALID_GUARDIAN_PHONE'",
+              "WHEN user_ref NOT IN (SELECT CAST(id AS VARCHAR) FROM users) THEN 'USER_NOT_FOUND'",
+              "WHEN batch_ref NOT IN (SELECT CAST(id AS VARCHAR) FROM batches) THEN 'BATCH_NOT_FOUND'"]
+    return "CASE " + " ".join(parts) + " END"
+
+
+@register("validate_bookings", duck_with("booking_requests", "users", "batches") + f"""
+SELECT request_id, user_ref AS user_id, batch_ref AS batch_id, {_booking_rules_sql(True, False)} AS error_code,
+       CAST({_pf('payment')} AS DECIMAL(12, 2)) AS payment_value,
+       CAST({_pi('travellers')} AS INTEGER) AS travellers_value
+FROM booking_requests""")
+def q_validate_bookings(spark, d):
+    t = Tables(spark, d)
+    v = CH.validate_bookings(t.booking_requests, t.users, t.batches)
+    return v.select("request_id", "user_id", "batch_id", "error_code", "payment_value", "travellers_value")
+
+
+def _updates_sql() -> str:
+    return duck_with("bookings", "booking_updates", "users", "batches") + f"""
+, u AS (SELECT bu.*, bu.id IN (SELECT id FROM bookings) AS bk_ok FROM booking_updates bu),
+d AS (SELECT u.*, {_booking_rules_sql(False, True)} AS error_code FROM u)
+"""
+
+
+@register("update_bookings_outcome", _updates_sql() + _OUTCOME)
+def q_update_bookings_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.update_bookings(t.bookings, t.booking_updates, t.users, t.batches)[1]
+
+
+@register("update_bookings_table", _updates_sql() + f"""
+, ok AS (SELECT * FROM d WHERE error_code IS NULL)
+SELECT b.id, CAST(coalesce(ok.user_ref, CAST(b.user_id AS VARCHAR)) AS VARCHAR) AS user_id,
+       coalesce(ok.batch_ref, CAST(b.batch_id AS VARCHAR)) AS batch_id,
+       CASE WHEN ok.id IS NULL THEN b.name ELSE ok.name END AS name,
+       CASE WHEN ok.id IS NULL THEN b.phone_number ELSE ok.phone_number END AS phone_number,
+       CASE WHEN ok.id IS NULL THEN b.guardian_number ELSE nullif(ok.guardian_number, '') END AS guardian_number,
+       CASE WHEN ok.id IS NULL THEN b.email ELSE ok.email END AS email,
+       CASE WHEN ok.id IS NULL THEN b.payment
+            ELSE CAST(CAST({_pf('ok.payment')} AS DECIMAL(12, 2)) AS BIGINT) END AS payment,
+       CASE WHEN ok.id IS NULL THEN b.travellers ELSE CAST({_pi('ok.travellers')} AS INTEGER) END AS travellers,
+       CASE WHEN ok.id IS NULL THEN b.room_type ELSE ok.room_type END AS room_type, b.invoice_id
+FROM bookings b LEFT JOIN ok ON ok.id = b.id""")
+def q_update_bookings_table(spark, d):
+    t = Tables(spark, d)
+    return CH.update_bookings(t.bookings, t.booking_updates, t.users, t.batches)[0]
+
+
+# ------------------------------------------------------------------ M6
+@register("admit_bookings", duck_with("batches", "booking_requests").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, caps AS (SELECT CAST(id AS VARCHAR) AS b, max_adventurers AS cap FROM batches),
+r AS (SELECT request_id, seq, batch_ref AS b, CAST(travellers AS INTEGER) AS n FROM booking_requests),
+rb AS (SELECT r.*, c.cap, row_number() OVER (PARTITION BY r.b ORDER BY r.seq) AS rn
+       FROM r JOIN caps c ON c.b = r.b),
+fold AS (
+  SELECT b, rn, request_id, seq, n, cap, n <= cap AS accepted, CASE WHEN n <= cap THEN n ELSE 0 END AS used
+  FROM rb WHERE rn = 1
+  UNION ALL
+  SELECT rb.b, rb.rn, rb.request_id, rb.seq, rb.n, rb.cap, f.used + rb.n <= rb.cap,
+         CASE WHEN f.used + rb.n <= rb.cap THEN f.used + rb.n ELSE f.used END
+  FROM fold f JOIN rb ON rb.b = f.b AND rb.rn = f.rn + 1)
+SELECT request_id, b AS batch_id, seq, n AS travellers, accepted,
+       CASE WHEN NOT accepted THEN 'NO_CAPACITY' END AS error_code, CAST(used AS BIGINT) AS seats_after
+FROM fold
+UNION ALL
+SELECT request_id, b, seq, n, false, 'BATCH_NOT_FOUND', NULL FROM r WHERE b NOT IN (SELECT b FROM caps)""")
+def q_admit(spark, d):
+    """M6 over every booking request, batches starting empty."""
+    t = Tables(spark, d)
+    req = t.booking_requests.select("request_id", "seq", F.col("batch_ref").alias("batch_id"),
+                                    F.col("travellers").cast("int").alias("travellers"))
+    return AD.admit_bookings(t.batches, None, req)
+
+
+@register("admit_bookings_summary", None)
+def q_admit_summary(spark, d):
+    """M6 totals per outcome, starting from the existing bookings."""
+    t = Tables(spark, d)
+    req = t.booking_requests.select("request_id", "seq", F.col("batch_ref").alias("batch_id"),
+                                    F.col("travellers").cast("int").alias("travellers"))
+    a = AD.admit_bookings(t.batches, t.bookings, req)
+    return a.groupBy("accepted", "error_code").agg(F.count(F.lit(1)).alias("requests"))
+
+
+# ------------------------------------------------------------------ M7
+@register("direct_bookings", duck_with("bookings") + f"""
+SELECT id, CAST(user_id AS VARCHAR) AS user_id, CAST(batch_id AS VARCHAR) AS batch_id, name, phone_number,
+       guardian_number, email, payment, travellers, room_type, invoice_id FROM bookings
+UNION ALL
+SELECT {_sha('o_orderkey')}, CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), concat('D', o_orderkey),
+       lpad(CAST(o_custkey AS VARCHAR), 10, '0'), NULL, concat('d', o_orderkey, '@example.com'),
+       CAST(CAST(floor(o_totalprice) AS DECIMAL(12, 2)) AS BIGINT), 2, 'double', 0
+FROM orders""")
+def q_direct(spark, d):
+    """M7: one unchecked customer booking per order, appended to bookings."""
+    t = Tables(spark, d)
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    req = o.select(F.col("o_orderkey").cast("string").alias("request_id"),
+                   F.col("o_custkey").cast("string").alias("userId"),
+                   F.col("o_orderkey").cast("string").alias("batch_id"),
+                   F.concat(F.lit("D"), F.col("o_orderkey").cast("string")).alias("fullName"),
+                   F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("number"),
+                   F.lit(None).cast("string").alias("guardianNumber"),
+                   F.concat(F.lit("d"), F.col("o_orderkey").cast("string"), F.lit("@example.com")).alias("email"),
+                   F.floor("o_totalprice").cast("bigint").cast("string").alias("payment"),
+                   F.lit("2").alias("travellers"), F.lit("double").alias("roomType"))
+    return CH.direct_bookings(t.bookings, req)
+
+
+# ------------------------------------------------------------------ M8
+_TRIP_PATCH_D = duck_with("trips", "trip_patches") + """
+, p AS (SELECT tp.*, t.id AS cid, t.destination_name AS cur_name FROM trip_patches tp LEFT JOIN trips t ON t.id = tp.id),
+d AS (SELECT p.*, CASE WHEN cid IS NULL THEN 'NOT_FOUND'
+        WHEN list_contains(set_fields, 'name') AND name <> cur_name
+             AND EXISTS (SELECT 1 FROM trips t2 WHERE t2.destination_name = p.name AND t2.id <> p.cid)
+          THEN 'DUPLICATE_NAME'
+        WHEN len(set_fields) = 0 THEN 'NO_FIELDS' END AS error_code FROM p)
+"""
+
+
+@register("patch_trips_outcome", _TRIP_PATCH_D + _OUTCOME)
+def q_patch_trips_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.apply_patches(t.trips, t.trip_patches, "trips")[1]
+
+
+@register("patch_trips_table", _TRIP_PATCH_D + f"""
+, ok AS (SELECT * FROM d WHERE error_code IS NULL)
+SELECT CAST(t.id AS VARCHAR) AS id,
+       CASE WHEN list_contains(ok.set_fields, 'name') THEN ok.name ELSE t.destination_name END AS destination_name,
+       t.destinations, t.physical_rating,
+       CASE WHEN list_contains(ok.set_fields, 'description') THEN ok.description ELSE t.description END
+         AS description,
+       t.itinerary, t.inclusions, t.excluions, t.days,
+       CASE WHEN list_contains(ok.set_fields, 'nights') THEN {_pi('ok.nights')} ELSE t.nights END AS nights,
+       t.status, t.images
+FROM trips t LEFT JOIN ok ON ok.id = t.id""")
+def q_patch_trips_table(spark, d):
+    t = Tables(spark, d)
+    return CH.apply_patches(t.trips, t.trip_patches, "trips")[0]
+
+
+_BATCH_PATCH_D = duck_with("batches", "batch_patches") + f"""
+, p AS (SELECT bp.*, b.id AS cid FROM batch_patches bp LEFT JOIN batches b ON b.id = bp.id),
+d AS (SELECT p.*, CASE WHEN cid IS NULL THEN 'NOT_FOUND'
+        WHEN list_contains(set_fields, 'startDate') AND list_contains(set_fields, 'endDate')
+             AND NOT ({_blank('"startDate"')}) AND NOT ({_blank('"endDate"')})
+             AND {_pi('"endDate"')} <= {_pi('"startDate"')} THEN 'INVALID_DATES'
+        WHEN len(set_fields) = 0 THEN 'NO_FIELDS' END AS error_code FROM p)
+"""
+
+
+@register("patch_batches_outcome", _BATCH_PATCH_D + _OUTCOME)
+def q_patch_batches_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.apply_patches(t.batches, t.batch_patches, "batches")[1]
+
+
+@register("patch_batches_table", _BATCH_PATCH_D + f"""
+, ok AS (SELECT * FROM d WHERE error_code IS NULL)
+SELECT CAST(b.id AS VARCHAR) AS id, CAST(b.trip_id AS VARCHAR) AS trip_id,
+       CASE WHEN list_contains(ok.set_fields, 'startDate') THEN {_pi('ok."startDate"')} ELSE b.from_date END
+         AS from_date,
+       CASE WHEN list_contains(ok.set_fields, 'endDate') THEN {_pi('ok."endDate"')} ELSE b.to_date END AS to_date,
+       b.days, b.nights,
+       CASE WHEN list_contains(ok.set_fields, 'standardPrice') THEN {_pi('ok."standardPrice"')} ELSE b.price END
+         AS price,
+       b.tax, b.max_adventurers,
+       CASE WHEN list_contains(ok.set_fields, 'status') THEN lower(ok.status) IN ('true', '1', 't')
+            ELSE b.status END AS status,
+       b.batch_name, b.single_room, b.double_room, b.triple_room, b.created_at
+FROM batches b LEFT JOIN ok ON ok.id = b.id""")
+def q_patch_batches_table(spark, d):
+    t = Tables(spark, d)
+    return CH.apply_patches(t.batches, t.batch_patches, "batches")[0]
+
+
+# ------------------------------------------------------------------ J8, M10-M13
+def _inactive_trip_ids(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    return c.where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("request_id"),
+                                                  F.col("c_custkey").alias("id"))
+
+
+@register("cascade_keys", duck_with("bookings", "batches") + """
+SELECT * FROM bookings WHERE batch_id IN (SELECT id FROM batches WHERE trip_id IN
+  (SELECT c_custkey FROM customer WHERE c_acctbal < 0))""")
+def q_cascade_keys(spark, d):
+    """Bookings of the batches of every trip asked for deletion."""
+    t = Tables(spark, d)
+    return CH.cascade_keys(t.bookings, t.batches, _inactive_trip_ids(spark, d))
+
+
+_CASCADE = duck_with("trips", "batches", "bookings") + """
+, req AS (SELECT c_custkey AS request_id, c_custkey AS id FROM customer WHERE c_acctbal < 0),
+gone AS (SELECT id FROM req WHERE id IN (SELECT id FROM trips))
+"""
+
+
+@register("delete_trips_outcome", _CASCADE + """
+SELECT request_id, id IN (SELECT id FROM gone) AS accepted,
+       CASE WHEN id NOT IN (SELECT id FROM gone) THEN 'NOT_FOUND' END AS error_code FROM req""")
+def q_delete_trips_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_trips_cascade(t.trips, t.batches, t.bookings, _inactive_trip_ids(spark, d))[3]
+
+
+@register("delete_trips_batches", _CASCADE + "SELECT * FROM batches WHERE trip_id NOT IN (SELECT id FROM gone)")
+def q_delete_trips_batches(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_trips_cascade(t.trips, t.batches, t.bookings, _inactive_trip_ids(spark, d))[1]
+
+
+@register("delete_trips_bookings", _CASCADE + """
+SELECT * FROM bookings WHERE batch_id NOT IN (SELECT id FROM batches WHERE trip_id IN (SELECT id FROM gone))""")
+def q_delete_trips_bookings(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_trips_cascade(t.trips, t.batches, t.bookings, _inactive_trip_ids(spark, d))[2]
+
+
+@register("delete_trips_trips", _CASCADE + "SELECT * FROM trips WHERE id NOT IN (SELECT id FROM gone)")
+def q_delete_trips_trips(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_trips_cascade(t.trips, t.batches, t.bookings, _inactive_trip_ids(spark, d))[0]
+
+
+def _restricted_sql(table: str, ref: str, req: str) -> str:
+    return f"""
+, req AS ({req}),
+d AS (SELECT request_id, id, CASE WHEN id NOT IN (SELECT id FROM {table}) THEN 'NOT_FOUND'
+        WHEN id IN (SELECT {ref} FROM bookings) THEN 'HAS_BOOKINGS' END AS error_code FROM req)
+"""
+
+
+_BATCH_DEL = duck_with("batches", "bookings") + _restricted_sql(
+    "batches", "batch_id", "SELECT o_orderkey AS request_id, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'")
+
+
+def _final_orders(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    return o.where(F.col("o_orderstatus") == "F").select(F.col("o_orderkey").alias("request_id"),
+                                                         F.col("o_orderkey").alias("id"))
+
+
+@register("delete_batches_outcome", _BATCH_DEL + _OUTCOME)
+def q_delete_batches_outcome(spark, d):
+    """M11 for every finished departure."""
+    t = Tables(spark, d)
+    return CH.delete_batches_restricted(t.batches, t.bookings, _final_orders(spark, d))[1]
+
+
+@register("delete_batches_table", _BATCH_DEL + """
+SELECT * FROM batches WHERE id NOT IN (SELECT id FROM d WHERE error_code IS NULL)""")
+def q_delete_batches_table(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_batches_restricted(t.batches, t.bookings, _final_orders(spark, d))[0]
+
+
+_USER_DEL = duck_with("users", "bookings") + _restricted_sql(
+    "users", "user_id", "SELECT s_suppkey AS request_id, s_suppkey AS id FROM supplier WHERE s_acctbal < 0")
+
+
+def _negative_suppliers(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    return s.where(F.col("s_acctbal") < 0).select(F.col("s_suppkey").alias("request_id"),
+                                                  F.col("s_suppkey").alias("id"))
+
+
+@register("delete_users_outcome", _USER_DEL + _OUTCOME)
+def q_delete_users_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_users_restricted(t.users, t.bookings, _negative_suppliers(spark, d))[1]
+
+
+@register("delete_users_table", _USER_DEL + """
+SELECT * FROM users WHERE id NOT IN (SELECT id FROM d WHERE error_code IS NULL)""")
+def q_delete_users_table(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_users_restricted(t.users, t.bookings, _negative_suppliers(spark, d))[0]
+
+
+def _small_parts(spark, d):
+    p = spark.read.parquet(f"{d}/part.parquet")
+    return p.where(F.col("p_size") < 10).select(F.col("p_partkey").alias("request_id"),
+                                                F.col("p_partkey").alias("id"))
+
+
+_COUPON_DEL = duck_with("coupons") + """
+, req AS (SELECT p_partkey AS request_id, p_partkey AS id FROM part WHERE p_size < 10),
+d AS (SELECT request_id, id, CASE WHEN id NOT IN (SELECT id FROM coupons) THEN 'NOT_FOUND' END AS error_code
+      FROM req)
+"""
+
+
+@register("delete_coupons_outcome", _COUPON_DEL + _OUTCOME)
+def q_delete_coupons_outcome(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_rows(t.coupons, _small_parts(spark, d), report_missing=True)[1]
+
+
+@register("delete_coupons_table", _COUPON_DEL + "SELECT * FROM coupons WHERE id NOT IN (SELECT id FROM req)")
+def q_delete_coupons_table(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_rows(t.coupons, _small_parts(spark, d), report_missing=True)[0]
+
+
+def _low_value_events(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.where(F.col("value") < 10).select(F.col("event_id").alias("request_id"),
+                                               F.col("event_id").alias("id"))
+
+
+@register("delete_leads_outcome", """
+SELECT event_id AS request_id, true AS accepted, CAST(NULL AS VARCHAR) AS error_code
+FROM events WHERE value < 10""")
+def q_delete_leads_outcome(spark, d):
+    """M13 for leads: unknown ids are not reported."""
+    t = Tables(spark, d)
+    return CH.delete_rows(t.leads, _low_value_events(spark, d), report_missing=False)[1]
+
+
+@register("delete_leads_table", duck_with("leads") + """
+SELECT * FROM leads WHERE id NOT IN (SELECT event_id FROM events WHERE value < 10)""")
+def q_delete_leads_table(spark, d):
+    t = Tables(spark, d)
+    return CH.delete_rows(t.leads, _low_value_events(spark, d), report_missing=False)[0]

@@ -194,6 +194,133 @@ VIEWS = {
 }
 
 
+
+# ------------------------------------------------ request tables (stand-in input)
+# Requests for the bulk-change operators, one per source row. They only give
+# rows in the request schema (text fields, as in form bodies); which of them
+# pass is decided by the operators.
+def _days_json(name_col) -> Column:
+    return F.concat(F.lit('{"1":{"title":"Arrival","content":"'), name_col, F.lit('"}}'))
+
+
+def trip_requests(spark, d):
+    c = _read(spark, d, "customer")
+    return c.select(
+        F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("seq"),
+        F.col("c_name").alias("name"),
+        F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.concat(F.lit("Tour of "), F.col("c_name")))
+         .alias("description"),
+        _s(F.col("c_nationkey") % 10 + 2).alias("numberOfDays"),
+        F.when(F.col("c_custkey") % 13 == 0, F.lit('{"1":{"title":"Arrival"'))
+         .otherwise(_days_json(F.col("c_name"))).alias("daysData"),
+        _s(F.col("c_nationkey") % 10 + 2).alias("days"),
+        _s(F.col("c_nationkey") % 10 + 1).alias("nights"),
+        F.col("c_mktsegment").alias("destinations"),
+        _s(F.col("c_nationkey") % 5 + 1).alias("physicalRating"),
+        (F.col("c_nationkey") % 4).alias("n_images"),
+        F.lit(True).alias("has_itinerary"),
+    )
+
+
+def batch_requests(spark, d):
+    o = _read(spark, d, "orders")
+    start = _epoch("o_orderdate")
+    length = F.when(F.col("o_orderkey") % 17 == 0, F.lit(0)).otherwise((F.col("o_orderkey") % 10 + 1) * 86400)
+    return o.select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("seq"),
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("B"), _s("o_orderkey")))
+         .otherwise(F.concat(F.lit("N"), _s(F.expr("o_orderkey div 3")))).alias("batchName"),
+        _s("o_custkey").alias("assignedTrip"),
+        _s(start).alias("startDate"), _s(start + length).alias("endDate"),
+        _s(F.floor("o_totalprice").cast("bigint")).alias("standardPrice"),
+        F.lit(None).cast("string").alias("singleRoom"), F.lit("2").alias("doubleRoom"),
+        F.lit("0").alias("tripleRoom"), F.lit("0").alias("tax"),
+        _s(F.lit(80) + F.col("o_orderkey") % 60).alias("maxAdventurers"),
+        F.lit(None).cast("string").alias("createdAt"), F.lit(None).cast("string").alias("status"),
+    )
+
+
+def coupon_requests(spark, d):
+    p = _read(spark, d, "part")
+    return p.select(
+        F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("seq"),
+        F.concat(F.lit("K"), _s(F.col("p_partkey") % 150)).alias("couponCode"),
+        F.when(F.col("p_size") % 10 == 0, F.lit("")).otherwise(_s(F.col("p_size") * 10)).alias("deduction"),
+        F.lit("1704067200").alias("startDate"),
+        _s(F.lit(1704067200) + F.col("p_size") * 86400).alias("endDate"),
+    )
+
+
+def user_requests(spark, d):
+    s = _read(spark, d, "supplier")
+    return s.select(
+        F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("seq"),
+        F.col("s_name").alias("name"),
+        F.when(F.col("s_suppkey") % 5 == 0, F.concat(F.lit("bad"), _s("s_suppkey")))
+         .otherwise(F.concat(F.lower("s_name"), F.lit("@example.com"))).alias("email"),
+        F.lpad(_s("s_suppkey"), 10, "0").alias("phoneNumber"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.lit(" Admin "))
+         .when(F.col("s_suppkey") % 3 == 1, F.lit("user")).otherwise(F.lit("guest")).alias("role"),
+    )
+
+
+def booking_updates(spark, d):
+    li = _read(spark, d, "lineitem")
+    bid = _booking_id()
+    return li.select(
+        F.when(F.col("l_linenumber") == 4, F.concat(bid, F.lit("-x"))).otherwise(bid).alias("id"),
+        bid.alias("request_id"), bid.alias("seq"),
+        _s("l_suppkey").alias("user_ref"), _s("l_orderkey").alias("batch_ref"),
+        F.concat(F.lit("P"), _s("l_partkey")).alias("name"),
+        F.lpad(_s("l_suppkey"), 10, "0").alias("phone_number"),
+        F.lit(None).cast("string").alias("guardian_number"),
+        F.concat(F.lit("p"), _s("l_partkey"), F.lit("@example.com")).alias("email"),
+        _s(F.floor("l_extendedprice").cast("bigint")).alias("payment"),
+        _s(F.floor("l_quantity").cast("bigint") + 1).alias("travellers"),
+        _room_type().alias("room_type"),
+        F.lit(True).alias("has_invoice"),
+    )
+
+
+def trip_patches(spark, d):
+    c = _read(spark, d, "customer")
+    k = F.col("c_nationkey") % 3
+    return c.select(
+        F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("seq"),
+        F.col("c_custkey").alias("id"),
+        F.when(k == 0, F.array(F.lit("name"))).when(k == 1, F.array(F.lit("description"), F.lit("nights")))
+         .otherwise(F.array().cast("array<string>")).alias("set_fields"),
+        F.concat(F.lit("Customer#"), F.lpad(_s(F.col("c_custkey") + 1), 9, "0")).alias("name"),
+        F.concat(F.lit("Updated "), F.col("c_name")).alias("description"),
+        _s(F.col("c_nationkey") % 7 + 1).alias("nights"),
+    )
+
+
+def batch_patches(spark, d):
+    o = _read(spark, d, "orders")
+    k = F.col("o_orderkey") % 4
+    start = _epoch("o_orderdate")
+    return o.select(
+        F.col("o_orderkey").alias("request_id"), F.col("o_orderkey").alias("seq"),
+        F.col("o_orderkey").alias("id"),
+        F.when(k == 0, F.array(F.lit("startDate"), F.lit("endDate")))
+         .when(k == 1, F.array(F.lit("standardPrice"), F.lit("status")))
+         .when(k == 2, F.array(F.lit("endDate")))
+         .otherwise(F.array().cast("array<string>")).alias("set_fields"),
+        _s(start).alias("startDate"),
+        F.when(k == 0, _s(start - 86400)).otherwise(_s(start + 864000)).alias("endDate"),
+        _s(F.floor("o_totalprice").cast("bigint") + 100).alias("standardPrice"),
+        F.lit("false").alias("status"),
+    )
+
+
+REQUESTS = {"trip_requests": trip_requests, "batch_requests": batch_requests,
+            "coupon_requests": coupon_requests, "user_requests": user_requests,
+            "booking_updates": booking_updates, "trip_patches": trip_patches,
+            "batch_patches": batch_patches}
+VIEWS.update(REQUESTS)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return VIEWS[name](spark, sf_dir)
 
@@ -282,6 +409,65 @@ DUCK_VIEWS = {
 }
 
 
+_DAYS_JSON = "concat('{\"1\":{\"title\":\"Arrival\",\"content\":\"', c_name, '\"}}')"
+DUCK_VIEWS.update({
+    "trip_requests": f"""SELECT c_custkey AS request_id, c_custkey AS seq, c_name AS name,
+        CASE WHEN c_acctbal < 0 THEN '' ELSE concat('Tour of ', c_name) END AS description,
+        CAST(c_nationkey % 10 + 2 AS VARCHAR) AS "numberOfDays",
+        CASE WHEN c_custkey % 13 = 0 THEN '{{"1":{{"title":"Arrival"'
+             ELSE {_DAYS_JSON} END AS "daysData",
+        CAST(c_nationkey % 10 + 2 AS VARCHAR) AS days, CAST(c_nationkey % 10 + 1 AS VARCHAR) AS nights,
+        c_mktsegment AS destinations, CAST(c_nationkey % 5 + 1 AS VARCHAR) AS "physicalRating",
+        c_nationkey % 4 AS n_images, true AS has_itinerary FROM customer""",
+    "batch_requests": f"""SELECT o_orderkey AS request_id, o_orderkey AS seq,
+        CASE WHEN o_orderkey % 4 = 0 THEN concat('B', o_orderkey) ELSE concat('N', o_orderkey // 3) END
+          AS "batchName",
+        CAST(o_custkey AS VARCHAR) AS "assignedTrip",
+        CAST({_EPOCH.format(c='o_orderdate')} AS VARCHAR) AS "startDate",
+        CAST({_EPOCH.format(c='o_orderdate')} + CASE WHEN o_orderkey % 17 = 0 THEN 0
+             ELSE (o_orderkey % 10 + 1) * 86400 END AS VARCHAR) AS "endDate",
+        CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS "standardPrice",
+        CAST(NULL AS VARCHAR) AS "singleRoom", '2' AS "doubleRoom", '0' AS "tripleRoom", '0' AS tax,
+        CAST(80 + o_orderkey % 60 AS VARCHAR) AS "maxAdventurers",
+        CAST(NULL AS VARCHAR) AS "createdAt", CAST(NULL AS VARCHAR) AS status FROM orders""",
+    "coupon_requests": """SELECT p_partkey AS request_id, p_partkey AS seq,
+        concat('K', p_partkey % 150) AS "couponCode",
+        CASE WHEN p_size % 10 = 0 THEN '' ELSE CAST(p_size * 10 AS VARCHAR) END AS deduction,
+        '1704067200' AS "startDate", CAST(1704067200 + p_size * 86400 AS VARCHAR) AS "endDate"
+      FROM part""",
+    "user_requests": """SELECT s_suppkey AS request_id, s_suppkey AS seq, s_name AS name,
+        CASE WHEN s_suppkey % 5 = 0 THEN concat('bad', s_suppkey)
+             ELSE concat(lower(s_name), '@example.com') END AS email,
+        lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS "phoneNumber",
+        CASE WHEN s_suppkey % 3 = 0 THEN ' Admin ' WHEN s_suppkey % 3 = 1 THEN 'user' ELSE 'guest' END AS role
+      FROM supplier""",
+    "booking_updates": f"""SELECT CASE WHEN l_linenumber = 4 THEN concat({_BOOKING_ID}, '-x')
+          ELSE {_BOOKING_ID} END AS id,
+        {_BOOKING_ID} AS request_id, {_BOOKING_ID} AS seq,
+        CAST(l_suppkey AS VARCHAR) AS user_ref, CAST(l_orderkey AS VARCHAR) AS batch_ref,
+        concat('P', l_partkey) AS name, lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS phone_number,
+        CAST(NULL AS VARCHAR) AS guardian_number, concat('p', l_partkey, '@example.com') AS email,
+        CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) AS payment,
+        CAST(CAST(floor(l_quantity) AS BIGINT) + 1 AS VARCHAR) AS travellers,
+        {_ROOM} AS room_type, true AS has_invoice FROM lineitem""",
+    "trip_patches": """SELECT c_custkey AS request_id, c_custkey AS seq, c_custkey AS id,
+        CASE WHEN c_nationkey % 3 = 0 THEN ['name'] WHEN c_nationkey % 3 = 1 THEN ['description', 'nights']
+             ELSE CAST([] AS VARCHAR[]) END AS set_fields,
+        concat('Customer#', lpad(CAST(c_custkey + 1 AS VARCHAR), 9, '0')) AS name,
+        concat('Updated ', c_name) AS description, CAST(c_nationkey % 7 + 1 AS VARCHAR) AS nights
+      FROM customer""",
+    "batch_patches": f"""SELECT o_orderkey AS request_id, o_orderkey AS seq, o_orderkey AS id,
+        CASE WHEN o_orderkey % 4 = 0 THEN ['startDate', 'endDate']
+             WHEN o_orderkey % 4 = 1 THEN ['standardPrice', 'status']
+             WHEN o_orderkey % 4 = 2 THEN ['endDate'] ELSE CAST([] AS VARCHAR[]) END AS set_fields,
+        CAST({_EPOCH.format(c='o_orderdate')} AS VARCHAR) AS "startDate",
+        CAST(CASE WHEN o_orderkey % 4 = 0 THEN {_EPOCH.format(c='o_orderdate')} - 86400
+             ELSE {_EPOCH.format(c='o_orderdate')} + 864000 END AS VARCHAR) AS "endDate",
+        CAST(CAST(floor(o_totalprice) AS BIGINT) + 100 AS VARCHAR) AS "standardPrice",
+        'false' AS status FROM orders""",
+})
+
+
 def duck_with(*names: str) -> str:
     """``WITH`` clause defining the named adapter views for an oracle query."""
     return "WITH " + ",\n".join(f"{n} AS ({DUCK_VIEWS[n]})" for n in names) + "\n"
