@@ -108,7 +108,7 @@ def ref_id(c) -> Column:
 
 def ref_malformed(c) -> Column:
     """true when the text looks like JSON but does not parse."""
-    return looks_like_json(c) & F.try_parse_json(_c(c)).isNull()
+    return looks_like_json(c) & ~json_text_ok(c)
 
 
 def file_name(c) -> Column:
@@ -162,3 +162,12 @@ def trip_media_slug(key) -> Column:
     k = _c(key)
     return F.when(k.startswith(TRIPS_PREFIX) & k.substr(len(TRIPS_PREFIX) + 1, 1 << 30).contains("_"),
                   F.split_part(k.substr(len(TRIPS_PREFIX) + 1, 1 << 30), F.lit("_"), F.lit(1)))
+
+
+def json_text_ok(c) -> Column:
+    """JSON.parse would accept the text: it parses, and an object / array text
+    ends with its closing bracket (Spark's parser ignores trailing text)."""
+    t = js_trim(c)
+    closed = (F.when(t.startswith("{"), t.endswith("}"))
+              .when(t.startswith("["), t.endswith("]")).otherwise(F.lit(True)))
+    return F.coalesce(F.try_parse_json(_c(c)).isNotNull() & closed, F.lit(False))

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caravan.functions.columns import (is_email, is_phone10, is_role, js_parse_float, js_parse_int,
+from caravan.functions.columns import (is_email, json_text_ok, is_phone10, is_role, js_parse_float, js_parse_int,
                                        norm_code, norm_role, ref_id, ref_malformed, to_money)
 
 
@@ -112,7 +112,7 @@ def insert_trips(trips: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     before = [(any_of(*[blank(c) for c in TRIP_REQUIRED]), "MISSING_FIELDS"),
               (F.coalesce(F.col("n_images"), F.lit(0)) <= 0, "IMAGE_REQUIRED"),
               (~F.coalesce(F.col("has_itinerary"), F.lit(False)), "ITINERARY_REQUIRED"),
-              (F.try_parse_json(F.col("daysData")).isNull(), "INVALID_DAYS_JSON")]
+              (~json_text_ok("daysData"), "INVALID_DAYS_JSON")]
     existing = trips.select(F.col("destination_name").alias("_key"))
     d = decide(requests, before, F.col("name"), existing, "DUPLICATE_NAME")
     new = d.where(F.col("error_code").isNull()).select(

@@ -133,8 +133,8 @@ def media_owner(key: Column) -> tuple[Column, Column]:
     belong to the trip slug, ``{bookingId}.{ext}`` at the root to a booking,
     ``banners/{slug}`` to a banner."""
     trip = F.coalesce(_prefix_slug(key, "trips/"), _prefix_slug(key, ITINERARIES_PREFIX))
-    booking = F.when(~key.contains("/") & key.contains("."),
-                     F.regexp_extract(key, "^(.*)[.][^.]*$", 1))
+    # the booking delete removes the keys starting with "{id}." (ids hold no '.')
+    booking = F.when(~key.contains("/") & key.contains("."), F.split_part(key, F.lit("."), F.lit(1)))
     banner = F.when(key.startswith("banners/"), key.substr(len("banners/") + 1, 1 << 30))
     kind = (F.when(trip.isNotNull(), "trip").when(booking.isNotNull(), "booking")
             .when(banner.isNotNull(), "banner").otherwise("unknown"))
