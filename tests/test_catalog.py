@@ -48,7 +48,7 @@ def test_date_range_public_vs_admin(spark):
 
 
 def test_month_any_year_utc(spark):
-    dec31 = 1703980799  # 2023-12-31T23:59:59Z
+    dec31 = 1704067199  # 2023-12-31T23:59:59Z
     b = _b(spark, [("x", "t", 1670000000, 0, 1, 1, True, "X", 0, 0, 0, 1),   # 2022-12-02
                    ("y", "t", dec31, 0, 1, 1, True, "Y", 0, 0, 0, 1),
                    ("z", "t", 1704067200, 0, 1, 1, True, "Z", 0, 0, 0, 1)])  # 2024-01-01
