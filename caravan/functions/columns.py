@@ -19,6 +19,10 @@ ITINERARIES_PREFIX = "itineraries/"
 BANNERS_PREFIX = "banners/"
 CATALOG_FALLBACK_IMAGE = "/kashmir_lightbox_4.jpg"
 
+# Fixed values from JavaScript: the characters String.prototype.trim removes
+# (white space and line terminators of ECMAScript).
+JS_WHITESPACE = ("\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+                 "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
 _WS = "[\\s\\u00a0\\ufeff]"
 
 
@@ -27,14 +31,15 @@ def _c(c) -> Column:
 
 
 def js_trim(c) -> Column:
-    """String.prototype.trim: strips all leading / trailing white space."""
-    return F.regexp_replace(_c(c), f"^{_WS}+|{_WS}+$", "")
+    """String.prototype.trim: strips all leading / trailing white space
+    (``btrim`` over the JS white-space set; no regex)."""
+    return F.btrim(_c(c).cast("string"), F.lit(JS_WHITESPACE))
 
 
 def slug(c) -> Column:
-    """trim, lower, runs of [^a-z0-9] -> '-', outer '-' stripped."""
-    return F.regexp_replace(
-        F.regexp_replace(F.lower(js_trim(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """trim, lower, runs of [^a-z0-9] -> '-', outer '-' stripped. (Outer
+    white space becomes an outer '-', so the trim is implied.)"""
+    return F.btrim(F.regexp_replace(F.lower(_c(c)), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def epoch_to_ts(c) -> Column:
@@ -52,17 +57,24 @@ def epoch_iso(c) -> Column:
     return F.date_format(F.timestamp_seconds(_c(c)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def _all_digits(t: Column) -> Column:
+    return (F.length(t) > 0) & (F.translate(t, "0123456789", "") == "")
+
+
 def js_parse_int(c) -> Column:
-    """JavaScript parseInt(text, 10): leading integer, null if none."""
-    t = F.regexp_extract(_c(c).cast("string"), f"^{_WS}*([+-]?[0-9]+)", 1)
-    return F.when(t != "", t.try_cast("bigint"))
+    """JavaScript parseInt(text, 10): leading integer, null if none. Plain
+    digit texts take a cast; only the rest pay for the regex."""
+    s = _c(c).cast("string")
+    t = F.regexp_extract(s, f"^{_WS}*([+-]?[0-9]+)", 1)
+    return F.when(_all_digits(s), s.try_cast("bigint")).otherwise(F.when(t != "", t.try_cast("bigint")))
 
 
 def js_parse_float(c) -> Column:
-    """JavaScript parseFloat: leading decimal number as double, null if none."""
-    t = F.regexp_extract(_c(c).cast("string"),
-                         f"^{_WS}*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)", 1)
-    return F.when(t != "", t.try_cast("double"))
+    """JavaScript parseFloat: leading decimal number as double, null if
+    none (NaN never results). Plain digit texts take a cast."""
+    s = _c(c).cast("string")
+    t = F.regexp_extract(s, f"^{_WS}*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)", 1)
+    return F.when(_all_digits(s), s.try_cast("double")).otherwise(F.when(t != "", t.try_cast("double")))
 
 
 def to_money(c) -> Column:
@@ -77,7 +89,8 @@ def is_email(c) -> Column:
 
 def is_phone10(c) -> Column:
     """exactly 10 ASCII digits."""
-    return F.coalesce(_c(c).cast("string").rlike("^[0-9]{10}\\z"), F.lit(False))
+    s = _c(c).cast("string")
+    return F.coalesce((F.length(s) == 10) & _all_digits(s), F.lit(False))
 
 
 def norm_code(c) -> Column:
@@ -97,7 +110,8 @@ def is_role(c) -> Column:
 
 
 def looks_like_json(c) -> Column:
-    return F.coalesce(js_trim(c).rlike("^[{\\[]"), F.lit(False))
+    t = js_trim(c)
+    return F.coalesce(t.startswith("{") | t.startswith("["), F.lit(False))
 
 
 def ref_id(c) -> Column:

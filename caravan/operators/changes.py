@@ -229,8 +229,9 @@ def insert_users(users: DataFrame, requests: DataFrame, as_of: int) -> tuple[Dat
 
 # ------------------------------------------------------------------ M5, M9
 def _booking_rules(with_invoice: bool) -> list[tuple[Column, str]]:
-    uid, bid = ref_id("user_ref"), ref_id("batch_ref")
-    pay, trav = js_parse_float("payment"), js_parse_int("travellers")
+    # parsed once in _with_refs (the columns are referenced by several rules)
+    uid, bid = F.col("user_id"), F.col("batch_id")
+    pay, trav = F.col("_pay"), F.col("_trav")
     rules = [(ref_malformed("user_ref") | ref_malformed("batch_ref"), "INVALID_REFERENCE_FORMAT")]
     if with_invoice:
         rules.append((~F.coalesce(F.col("has_invoice"), F.lit(False)), "INVOICE_REQUIRED"))
@@ -252,14 +253,15 @@ def _with_refs(requests: DataFrame, users: DataFrame, batches: DataFrame) -> Dat
     u = users.select(F.col("id").cast("string").alias("_uid"), F.lit(True).alias("_user_ok"))
     b = batches.select(F.col("id").cast("string").alias("_bid"), F.lit(True).alias("_batch_ok"))
     r = requests.select("*", ref_id("user_ref").cast("string").alias("user_id"),
-                        ref_id("batch_ref").cast("string").alias("batch_id"))
+                        ref_id("batch_ref").cast("string").alias("batch_id"),
+                        js_parse_float("payment").alias("_pay"), js_parse_int("travellers").alias("_trav"))
     r = r.join(u, r["user_id"] == u["_uid"], "left").drop("_uid")
     return r.join(b, r["batch_id"] == b["_bid"], "left").drop("_bid")
 
 
 def _booking_values(d: DataFrame) -> DataFrame:
-    return d.select("*", to_money(js_parse_float("payment")).alias("payment_value"),
-                    js_parse_int("travellers").cast("int").alias("travellers_value"))
+    return d.select("*", to_money(F.col("_pay")).alias("payment_value"),
+                    F.col("_trav").cast("int").alias("travellers_value")).drop("_pay", "_trav")
 
 
 def validate_bookings(requests: DataFrame, users: DataFrame, batches: DataFrame) -> DataFrame:
