@@ -62,6 +62,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset; name a shared folder (e.g. on HDFS / S3) "
+                               "so checkpoints survive the loss of executors")
         d = tempfile.mkdtemp(prefix="caravan-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
