@@ -57,25 +57,24 @@ def _fold_partitions(batches):
     carries across Arrow batches of the partition."""
     cur, s, cap, used0 = None, 0, 0, 0
     for pdf in batches:
-        b = pdf["_b"].to_numpy()
-        ns = pdf["n"].to_numpy(dtype=np.int64)
-        caps = pdf["cap"].to_numpy(dtype=np.int64)
-        used = pdf["used0"].to_numpy(dtype=np.int64)
-        start = pdf["start"].to_numpy(dtype=np.float64)  # null -> nan
-        acc = np.zeros(len(ns), dtype=bool)
-        after = np.zeros(len(ns), dtype=np.int64)
-        for i in range(len(ns)):
+        b = pdf["_b"].tolist()
+        ns = pdf["n"].astype("int64").tolist()
+        caps = pdf["cap"].astype("int64").tolist()
+        used = pdf["used0"].astype("int64").tolist()
+        start = pdf["start"].tolist()  # NaN / None when the batch is not split
+        acc, after = [False] * len(ns), [0] * len(ns)
+        for i, n in enumerate(ns):
             if b[i] != cur:
-                cur, cap, used0 = b[i], int(caps[i]), int(used[i])
-                s = int(start[i]) if not np.isnan(start[i]) else min(used0, cap + 1)
-            n = int(ns[i])
+                cur, cap, used0 = b[i], caps[i], used[i]
+                st = start[i]
+                s = int(st) if st is not None and st == st else min(used0, cap + 1)
             if s + n <= cap:
                 s += n
                 acc[i] = True
             after[i] = s if s <= cap else used0
-        yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "_b": b,
-                            "seq": pdf["seq"].to_numpy(), "travellers": ns.astype(np.int32),
-                            "accepted": acc, "seats_after": after})
+        yield pd.DataFrame({"request_id": pdf["request_id"], "_b": pdf["_b"], "seq": pdf["seq"],
+                            "travellers": pdf["n"].astype("int32"), "accepted": acc,
+                            "seats_after": np.asarray(after, dtype=np.int64)})
 
 
 def admit_bookings(batches: DataFrame, bookings: DataFrame | None, requests: DataFrame,
@@ -107,14 +106,14 @@ def admit_bookings(batches: DataFrame, bookings: DataFrame | None, requests: Dat
     err = (F.when(F.col("cap").isNull(), "BATCH_NOT_FOUND")
            .when(F.col("n").isNull() | (F.col("n") <= 0), "INVALID_TRAVELLERS"))
     r = r.withColumn("_err", err)
-    bad = r.where(F.col("_err").isNotNull()).select(
+    # one pass over the input: classified, range-partitioned, sorted, checkpointed
+    ck = cut_lineage(r.repartitionByRange(p, "_b", "seq").sortWithinPartitions("_b", "seq")
+                     .withColumn("_seg", F.spark_partition_id()))
+    bad = ck.where(F.col("_err").isNotNull()).select(
         "request_id", F.col("_b").alias("batch_id"), "seq", F.col("n").alias("travellers"),
         F.lit(False).alias("accepted"), F.col("_err").alias("error_code"),
         F.lit(None).cast("bigint").alias("seats_after"))
-    ok = r.where(F.col("_err").isNull()).drop("_err")
-
-    seg = cut_lineage(ok.repartitionByRange(p, "_b", "seq").sortWithinPartitions("_b", "seq")
-                      .withColumn("_seg", F.spark_partition_id()))
+    seg = ck.where(F.col("_err").isNull()).drop("_err")
     # batches present in more than one partition (at most P - 1 of them)
     edges = seg.groupBy("_seg").agg(F.min("_b").alias("lo"), F.max("_b").alias("hi"))
     split = (edges.select(F.explode(F.array("lo", "hi")).alias("_b"), "_seg").distinct()
