@@ -294,8 +294,9 @@ def direct_bookings(bookings: DataFrame, requests: DataFrame) -> DataFrame:
 def _last_by_seq(d: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Per key, the value of each field from the request with the highest seq
     (a partial aggregate: a key with very many requests is reduced map-side)."""
-    return d.groupBy(F.col(key).alias("_id")).agg(
-        *[F.max_by(F.col(f), F.col("seq")).alias(f"_new_{f}") for f in fields])
+    last = d.groupBy(F.col(key).alias("_id")).agg(
+        F.max_by(F.struct(*[F.col(f) for f in fields]), F.col("seq")).alias("_last"))
+    return last.select("_id", *[F.col(f"_last.{f}").alias(f"_new_{f}") for f in fields])
 
 
 BOOKING_UPDATE_FIELDS = ["user_id", "batch_id", "name", "phone_number", "guardian_number", "email",
