@@ -468,10 +468,12 @@ def delete_trips_cascade(trips: DataFrame, batches: DataFrame, bookings: DataFra
     out = oc.select("request_id", F.col("_tid").isNotNull().alias("accepted"),
                     F.when(F.col("_tid").isNull(), "NOT_FOUND").alias("error_code"))
     gone = oc.where(F.col("_tid").isNotNull()).select(F.col("_tid").alias("id"))
-    del_bookings = cascade_keys(bookings, batches, gone)
-    new_bookings = bookings.join(del_bookings.select(F.col("id").alias("_x")),
-                                 bookings["id"] == F.col("_x"), "left_anti")
     g = _ids(gone)
+    # bookings go with their batch: anti join on the (small) set of deleted batch ids
+    gone_batches = (batches.join(g, batches["trip_id"].cast("string") == g["_del"], "left_semi")
+                    .select(F.col("id").cast("string").alias("_gb")))
+    new_bookings = bookings.join(gone_batches, bookings["batch_id"].cast("string") == F.col("_gb"),
+                                 "left_anti")
     new_batches = batches.join(g, batches["trip_id"].cast("string") == g["_del"], "left_anti")
     new_trips = trips.join(g, trips["id"].cast("string") == g["_del"], "left_anti")
     return new_trips, new_batches, new_bookings, out
