@@ -169,7 +169,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY price, from_dat
              count(*) OVER (PARTITION BY trip_id) AS "totalBatches" FROM up)
 SELECT {_sql_cols(BATCH_COLS, 'r')},
        CAST(COALESCE((SELECT sum(travellers) FROM bookings WHERE batch_id = r.id), 0) AS BIGINT) AS total_bookings,
-       {page} AS page, 4 AS "limit", r.position, r."totalBatches",
+       {page} AS page, 4 AS "limit", CAST(r.position AS INTEGER) AS position, r."totalBatches",
        CAST(ceil(r."totalBatches" / 4) AS BIGINT) AS "totalPages"
 FROM r WHERE position > {lo} AND position <= {hi}"""
 

@@ -328,7 +328,8 @@ SELECT CAST(t.id AS VARCHAR) AS id,
        CASE WHEN list_contains(ok.set_fields, 'description') THEN ok.description ELSE t.description END
          AS description,
        t.itinerary, t.inclusions, t.excluions, t.days,
-       CASE WHEN list_contains(ok.set_fields, 'nights') THEN {_pi('ok.nights')} ELSE t.nights END AS nights,
+       CAST(CASE WHEN list_contains(ok.set_fields, 'nights') THEN {_pi('ok.nights')} ELSE t.nights END AS INTEGER)
+         AS nights,
        t.status, t.images
 FROM trips t LEFT JOIN ok ON ok.id = t.id""")
 def q_patch_trips_table(spark, d):

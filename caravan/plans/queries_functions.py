@@ -43,7 +43,7 @@ def q_fn_trip_keys(spark, d):
 
 
 @register("fn_batch_dates", duck_with("batches") + """
-SELECT id, month(make_timestamp(from_date * 1000000)) AS from_month_no,
+SELECT id, CAST(month(make_timestamp(from_date * 1000000)) AS INTEGER) AS from_month_no,
        strftime(make_timestamp(from_date * 1000000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS from_iso,
        strftime(make_timestamp(to_date * 1000000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS to_iso
 FROM batches""")
