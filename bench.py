@@ -54,7 +54,7 @@ def main() -> None:
     scratch = tempfile.mkdtemp(prefix="caravan-bench-")
     spark = build_session(f"local[{cpus}]", app="caravan-bench",
                           shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(int(cpus) * 2))),
-                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
+                          extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "4g"),
                                  "spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
                                  "spark.sql.warehouse.dir": os.path.join(scratch, "wh")})
     spark.sparkContext.setLogLevel("ERROR")

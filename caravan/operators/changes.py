@@ -310,12 +310,16 @@ def update_bookings(bookings: DataFrame, requests: DataFrame, users: DataFrame,
     updates of one booking: the last by seq wins.
 
     requests: M5 columns plus ``id`` (the booking to update)."""
-    ids = bookings.select(F.col("id").cast("string").alias("_bk"), F.lit(True).alias("_bk_ok"))
     r = _with_refs(requests, users, batches)
-    r = r.join(ids, r["id"].cast("string") == ids["_bk"], "left").drop("_bk")
+    # outcome: NOT_FOUND comes first, so it needs the existence check
+    ids = bookings.select(F.col("id").cast("string").alias("_bk"), F.lit(True).alias("_bk_ok"))
+    rx = r.join(ids, r["id"].cast("string") == ids["_bk"], "left").drop("_bk")
     rules = [(F.col("_bk_ok").isNull(), "NOT_FOUND")] + _booking_rules(False)
-    d = _booking_values(r.withColumn("error_code", first_error(rules)))
-    ok = d.where(F.col("error_code").isNull()).select(
+    d = rx.withColumn("error_code", first_error(rules)).select("request_id", "error_code")
+    # new table: a request for an unknown id matches no booking in the final
+    # join, so the table path skips the existence check
+    v = _booking_values(r.withColumn("error_code", first_error(_booking_rules(False))))
+    ok = v.where(F.col("error_code").isNull()).select(
         F.col("id").cast("string").alias("id"), "seq", "user_id", "batch_id", "name", "phone_number",
         F.when(~blank("guardian_number"), F.col("guardian_number")).alias("guardian_number"), "email",
         F.col("payment_value").alias("payment"), F.col("travellers_value").alias("travellers"),
