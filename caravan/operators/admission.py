@@ -28,13 +28,20 @@ Every step is exact.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caravan.session import cut_lineage
 
+# The Python functions below run in executor workers; shipping this module by
+# value means workers do not need the package installed (no --py-files).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TABLE_SCHEMA = "_b string, _seg int, s0 int, tab array<int>"
 _DECISION_SCHEMA = ("request_id string, _b string, seq string, travellers int, "
                     "accepted boolean, seats_after long")

@@ -20,9 +20,12 @@ folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,6 +33,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caravan.operators.coupons import coupon_status
 
+# The Python functions below run in executor workers; shipping this module by
+# value means workers do not need the package installed (no --py-files).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # ------------------------------------------------------------------ T1
 def dedupe_leads(leads: DataFrame, key: str = "id") -> DataFrame:
