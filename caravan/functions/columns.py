@@ -170,14 +170,6 @@ def banner_key(c) -> Column:
     return F.when(t.startswith(BANNERS_PREFIX), t).otherwise(F.concat(F.lit(BANNERS_PREFIX), t))
 
 
-def trip_media_slug(key) -> Column:
-    """Slug part of a ``trips/{slug}_...`` key: text between the prefix and
-    the first '_' (slugs never hold '_'); null for other keys."""
-    k = _c(key)
-    return F.when(k.startswith(TRIPS_PREFIX) & k.substr(len(TRIPS_PREFIX) + 1, 1 << 30).contains("_"),
-                  F.split_part(k.substr(len(TRIPS_PREFIX) + 1, 1 << 30), F.lit("_"), F.lit(1)))
-
-
 def json_text_ok(c) -> Column:
     """JSON.parse would accept the text: it parses, and an object / array text
     ends with its closing bracket (Spark's parser ignores trailing text)."""

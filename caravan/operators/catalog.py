@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravan.functions.columns import epoch_month
-from caravan.plans.shapes import sum_by_key, top1_struct
+from caravan.operators.bookings import booked_travellers
+from caravan.plans.shapes import top1_struct
 
 # Fixed values from the reference: fields of the nested lowest-price batch
 # (catalogue form has created_at, the detail form does not) and the page size
@@ -183,11 +184,6 @@ def legacy_cheapest_by_destination(df: DataFrame, dest: str = "destination_name"
 
 
 # ------------------------------------------------------------------ W2
-def occupancy_by_batch(bookings: DataFrame) -> DataFrame:
-    """Travellers per batch id, pre-aggregated (map-side partial sums)."""
-    return sum_by_key(bookings, "batch_id", "travellers", "total_bookings", as_key="_batch_id")
-
-
 def trip_batch_pages(batches: DataFrame, bookings: DataFrame, as_of: int, month: int | None = None,
                      page=1, size: int = TRIP_BATCH_PAGE_SIZE) -> DataFrame:
     """For every trip the ``page`` of its upcoming batches ordered by price,
@@ -208,7 +204,7 @@ def trip_batch_pages(batches: DataFrame, bookings: DataFrame, as_of: int, month:
     totals = (up.groupBy(F.col("trip_id").alias("_t"))
               .agg(F.count(F.lit(1)).alias("totalBatches"))
               .withColumn("totalPages", F.ceil(F.col("totalBatches") / F.lit(size)).cast("bigint")))
-    occ = occupancy_by_batch(bookings)
+    occ = booked_travellers(bookings)
     out = (rows.join(occ, rows["id"] == occ["_batch_id"], "left")
            .join(totals, rows["trip_id"] == totals["_t"], "left"))
     return out.select(*[rows[c] for c in batches.columns],

@@ -9,7 +9,6 @@ offset+limit rows), never a full sort into one task.
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -71,10 +70,6 @@ def page(df: DataFrame, order: list[Column], page=None, limit=None) -> tuple[Dat
     return rows, meta
 
 
-def total_pages(total: int, limit: int) -> int:
-    return math.ceil(total / limit)
-
-
 def list_coupons(coupons: DataFrame, page_no=None, limit=None) -> tuple[DataFrame, DataFrame]:
     """O3: coupon listing, newest start first, paged."""
     return page(coupons.select(*COUPON_COLUMNS), sort_keys("coupons"), page_no, limit)
