@@ -1,9 +1,8 @@
 """Constraint report over the domain tables.
 
-Per table one aggregation pass counts NOT NULL violations of every required
-column (``count_if``); duplicate primary keys are counted from a grouped count
-(partial aggregate); orphan foreign keys with an anti join against the parent
-keys. Output rows: (table, constraint, kind, violations)."""
+Per table one grouped pass (by primary key, partial aggregation) counts the
+NOT NULL violations of every required column (``count_if``) and the duplicate
+keys; orphan foreign keys come from an anti join against the parent keys. Output rows: (table, constraint, kind, violations)."""
 
 from __future__ import annotations
 
@@ -13,6 +12,35 @@ from pyspark.sql import functions as F
 from caravan import schemas
 
 
+def _table_pass(name: str, df: DataFrame, req: list[str], pk: str | None) -> DataFrame:
+    """NOT NULL counts of ``req`` and duplicate primary keys in one grouped
+    pass: partial aggregate by key (a hot key is reduced map-side), then one
+    global sum. Rows with a null key form one group and count as such."""
+    others = [c for c in req if c != pk]
+    if pk:
+        per_key = df.groupBy(pk).agg(F.count(F.lit(1)).alias("_n"),
+                                     *[F.count_if(F.col(c).isNull()).alias(c) for c in others])
+        sums = [F.sum(F.when(F.col(pk).isNotNull() & (F.col("_n") > 1), F.col("_n") - 1).otherwise(0))
+                .alias("_dup")]
+        if pk in req:
+            sums.append(F.sum(F.when(F.col(pk).isNull(), F.col("_n")).otherwise(0)).alias(pk))
+        wide = per_key.agg(*sums, *[F.sum(c).alias(c) for c in others])
+    else:
+        wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in req])
+    parts = []
+    if req:
+        stack = ", ".join(f"'{c}', CAST(coalesce(`{c}`, 0) AS BIGINT)" for c in req)
+        parts.append(wide.selectExpr(f"stack({len(req)}, {stack}) AS (constraint, violations)")
+                     .select(F.lit(name).alias("table"),
+                             F.concat(F.col("constraint"), F.lit(" NOT NULL")).alias("constraint"),
+                             F.lit("not_null").alias("kind"), "violations"))
+    if pk:
+        parts.append(wide.select(F.lit(name).alias("table"), F.lit(f"{pk} PRIMARY KEY").alias("constraint"),
+                                 F.lit("duplicate_key").alias("kind"),
+                                 F.coalesce(F.col("_dup"), F.lit(0)).cast("bigint").alias("violations")))
+    return parts
+
+
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
     parts: list[DataFrame] = []
     for name, df in tables.items():
@@ -20,20 +48,8 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
         if st is None:
             continue
         req = [f.name for f in st.fields if not f.nullable and f.name in df.columns]
-        if req:
-            wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in req])
-            stack = ", ".join(f"'{c}', `{c}`" for c in req)
-            parts.append(wide.selectExpr(f"stack({len(req)}, {stack}) AS (constraint, violations)")
-                         .select(F.lit(name).alias("table"),
-                                 F.concat(F.col("constraint"), F.lit(" NOT NULL")).alias("constraint"),
-                                 F.lit("not_null").alias("kind"), F.col("violations").cast("bigint")))
         pk = schemas.PRIMARY_KEYS.get(name)
-        if pk and pk in df.columns:
-            dup = (df.where(F.col(pk).isNotNull()).groupBy(pk).agg(F.count(F.lit(1)).alias("_n"))
-                   .where(F.col("_n") > 1)
-                   .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("violations")))
-            parts.append(dup.select(F.lit(name).alias("table"), F.lit(f"{pk} PRIMARY KEY").alias("constraint"),
-                                    F.lit("duplicate_key").alias("kind"), "violations"))
+        parts += _table_pass(name, df, req, pk if pk in df.columns else None)
     for child, col, parent in schemas.FOREIGN_KEYS:
         if child in tables and parent in tables and col in tables[child].columns:
             c, p = tables[child], tables[parent]
