@@ -23,6 +23,21 @@ BASE_CONF = {
 }
 
 
+# Sizing for large clusters (not applied in local mode): start from many
+# shuffle partitions and let AQE coalesce them to ~256 MB each, split skewed
+# ones, and read input in 256 MB splits, so tasks fit executor memory at
+# 100 TB without spilling.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "32m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build_session(master: str | None = None, app: str = "caravan",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
@@ -32,6 +47,9 @@ def build_session(master: str | None = None, app: str = "caravan",
         b = b.master(master)
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
+    if master is not None and not master.startswith("local"):
+        for k, v in CLUSTER_CONF.items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
