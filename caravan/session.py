@@ -47,15 +47,17 @@ def build_session(master: str | None = None, app: str = "caravan",
         b = b.master(master)
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
-    if master is not None and not master.startswith("local"):
-        for k, v in CLUSTER_CONF.items():
-            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     apply_conf(spark)
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):  # cluster: sizing unless set by the user
+        for k, v in CLUSTER_CONF.items():
+            if not sc.getConf().contains(k) and k not in (extra or {}):
+                spark.conf.set(k, v)
     return spark
 
 
