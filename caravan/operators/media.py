@@ -51,8 +51,8 @@ def trip_media(trips: DataFrame, manifest: DataFrame, kind: str = "image") -> Da
     slugs = files.select(F.col("_slug").alias("_s")).distinct()
     empty = t.join(slugs, t["_tslug"] == slugs["_s"], "left_anti").select(
         "trip_id", "destination_name", F.lit(None).cast("string").alias("key"),
-        F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("size"),
-        F.lit(None).cast("timestamp").alias("last_modified"))
+        F.lit(None).cast("string").alias("name"), F.lit(None).cast(manifest.schema["size"].dataType).alias("size"),
+        F.lit(None).cast(manifest.schema["last_modified"].dataType).alias("last_modified"))
     return matched.unionByName(empty)
 
 
@@ -114,8 +114,8 @@ def media_changes(manifest: DataFrame, removed: DataFrame, added: DataFrame,
                                           F.col("destination_name"), F.col("ext"),
                                           F.col("size").cast("string")), 256), 1, 32))
     new = added.select(media_key("trip_image", F.col("destination_name"), tok, F.col("ext")).alias("key"),
-                       F.col("size").cast("bigint").alias("size"),
-                       F.lit(None).cast("timestamp").alias("last_modified"))
+                       F.col("size").cast(manifest.schema["size"].dataType).alias("size"),
+                       F.lit(None).cast(manifest.schema["last_modified"].dataType).alias("last_modified"))
     out = kept.select("key", "size", "last_modified").unionByName(new)
     counts = added.groupBy(F.col("trip_id").alias("_t")).agg(F.count(F.lit(1)).alias("_added"))
     if totals is not None:

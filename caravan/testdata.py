@@ -183,7 +183,7 @@ def media(spark, d):
                         F.concat(F.lit("itinerary-"), _s("o_orderkey"), F.lit(".pdf")))
                   .otherwise(F.concat(_s("o_orderkey"), F.lit(".jpg")))).alias("key"),
         (F.col("o_orderkey") * 10).alias("size"),
-        F.col("o_orderdate").cast("timestamp").alias("last_modified"),
+        F.col("o_orderdate").alias("last_modified"),  # kept TIMESTAMP_NTZ: no zone on collect
     )
 
 
