@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caravan.functions.columns import (is_email, json_text_ok, is_phone10, is_role, js_parse_float, js_parse_int,
-                                       norm_code, norm_role, ref_id, ref_malformed, to_money)
+                                       looks_like_json, norm_code, norm_role, to_money)
 
 
 def _c(c) -> Column:
@@ -232,7 +232,7 @@ def _booking_rules(with_invoice: bool) -> list[tuple[Column, str]]:
     # parsed once in _with_refs (the columns are referenced by several rules)
     uid, bid = F.col("user_id"), F.col("batch_id")
     pay, trav = F.col("_pay"), F.col("_trav")
-    rules = [(ref_malformed("user_ref") | ref_malformed("batch_ref"), "INVALID_REFERENCE_FORMAT")]
+    rules = [(F.col("_ubad") | F.col("_bbad"), "INVALID_REFERENCE_FORMAT")]
     if with_invoice:
         rules.append((~F.coalesce(F.col("has_invoice"), F.lit(False)), "INVOICE_REQUIRED"))
     rules += [
@@ -249,12 +249,21 @@ def _booking_rules(with_invoice: bool) -> list[tuple[Column, str]]:
     return rules
 
 
+def _ref_from(text, is_json) -> "Column":
+    """F10 with the JSON test precomputed: ``$.id`` of a JSON text, else the text."""
+    return F.when(is_json, F.get_json_object(text, "$.id")).otherwise(text)
+
+
 def _with_refs(requests: DataFrame, users: DataFrame, batches: DataFrame) -> DataFrame:
     u = users.select(F.col("id").cast("string").alias("_uid"), F.lit(True).alias("_user_ok"))
     b = batches.select(F.col("id").cast("string").alias("_bid"), F.lit(True).alias("_batch_ok"))
-    r = requests.select("*", ref_id("user_ref").cast("string").alias("user_id"),
-                        ref_id("batch_ref").cast("string").alias("batch_id"),
+    # reference texts: "looks like JSON" is decided once per column and reused
+    r = requests.select("*", looks_like_json("user_ref").alias("_uj"), looks_like_json("batch_ref").alias("_bj"),
                         js_parse_float("payment").alias("_pay"), js_parse_int("travellers").alias("_trav"))
+    r = r.select("*", _ref_from(F.col("user_ref"), F.col("_uj")).cast("string").alias("user_id"),
+                 _ref_from(F.col("batch_ref"), F.col("_bj")).cast("string").alias("batch_id"),
+                 (F.col("_uj") & ~json_text_ok("user_ref")).alias("_ubad"),
+                 (F.col("_bj") & ~json_text_ok("batch_ref")).alias("_bbad"))
     r = r.join(u, r["user_id"] == u["_uid"], "left").drop("_uid")
     return r.join(b, r["batch_id"] == b["_bid"], "left").drop("_bid")
 
@@ -274,7 +283,7 @@ def validate_bookings(requests: DataFrame, users: DataFrame, batches: DataFrame)
     guardian_number, email, payment, travellers, room_type (text), has_invoice."""
     r = _with_refs(requests, users, batches)
     d = r.withColumn("error_code", first_error(_booking_rules(True)))
-    return _booking_values(d).drop("_user_ok", "_batch_ok")
+    return _booking_values(d).drop("_user_ok", "_batch_ok", "_uj", "_bj", "_ubad", "_bbad")
 
 
 def direct_bookings(bookings: DataFrame, requests: DataFrame) -> DataFrame:
