@@ -195,3 +195,18 @@ def test_deletes_leave_no_orphans(spark):
     leads = spark.createDataFrame([("l1",)], "id string")
     nl, oc4 = CH.delete_rows(leads, spark.createDataFrame([("r", "lX")], "request_id string, id string"), False)
     assert rows(oc4, "error_code") == [(None,)] and nl.count() == 1
+
+
+def test_coupon_patches(spark):
+    c = spark.createDataFrame([("c1", "SAVE", 5, 1, 2, True)],
+                              "id string, code string, deduction int, start_date long, end_date long, "
+                              "status boolean")
+    p = spark.createDataFrame([("p1", 1, "c1", ["deduction", "status"], "12.5", "false", "NEW"),
+                               ("p2", 2, "cX", ["deduction"], "1", None, None),
+                               ("p3", 3, "c1", ["code"], None, None, "NEW")],
+                              "request_id string, seq long, id string, set_fields array<string>, deduction string, "
+                              "status string, code string")
+    new, oc = CH.apply_patches(c, p, "coupons")
+    assert dict(rows(oc, "request_id", "error_code")) == {"p1": None, "p2": "NOT_FOUND", "p3": "NO_FIELDS"}
+    r = new.collect()[0]
+    assert (r["code"], r["deduction"], r["status"]) == ("SAVE", 12, False)  # code cannot change

@@ -78,3 +78,11 @@ def test_manifest_from_files(spark, scratch):
             f.write(b"x" * 3)
     man = media_manifest(spark, scratch)
     assert rows(man, "key", "size") == [("k1.pdf", 3), ("trips/spiti_a.jpg", 3), ("trips/spiti_itinerary.pdf", 3)]
+
+
+def test_banner_objects_owned_by_banners(spark):
+    trips = spark.createDataFrame([("t1", "Spiti")], "id string, destination_name string")
+    bookings = spark.createDataFrame([("k1",)], "id string")
+    banners = spark.createDataFrame([("b1", "Summer Sale!")], "id string, banner_name string")
+    m = _manifest(spark, ["banners/summer-sale", "banners/old"])
+    assert rows(M.orphan_media(trips, bookings, m, banners), "key") == [("banners/old",)]

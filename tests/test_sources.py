@@ -72,3 +72,16 @@ def test_paging_rules(spark):
     assert meta.collect()[0]["count"] == 0
     with pytest.raises(ValueError):
         PG.page(df, order, "-1", None)
+
+
+def test_banner_listing_newest_first(spark):
+    banners = spark.createDataFrame([("b1", "Summer Sale", "d", True, 10), ("b2", "Winter", "d", False, 30),
+                                     ("b0", "Tie", "d", True, 30)],
+                                    "id string, banner_name string, description string, status boolean, "
+                                    "created_at long")
+    assert [r["id"] for r in PG.list_banners(banners).collect()] == ["b0", "b2", "b1"]
+    leads = spark.createDataFrame([("l1", None), ("l2", 5)], "id string, created_at long")
+    full = leads.selectExpr("id", "'t' AS type", "'n' AS name", "'x' AS location", "1 AS travellers", "1 AS days",
+                            "'e' AS email", "'p' AS phone", "'m' AS message", "1 AS budget",
+                            "CAST(NULL AS STRING) AS date", "created_at")
+    assert [r["id"] for r in PG.list_leads(full).collect()] == ["l1", "l2"]  # null created_at first
