@@ -27,18 +27,15 @@ def _table_pass(name: str, df: DataFrame, req: list[str], pk: str | None) -> Dat
         wide = per_key.agg(*sums, *[F.sum(c).alias(c) for c in others])
     else:
         wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in req])
-    parts = []
-    if req:
-        stack = ", ".join(f"'{c}', CAST(coalesce(`{c}`, 0) AS BIGINT)" for c in req)
-        parts.append(wide.selectExpr(f"stack({len(req)}, {stack}) AS (constraint, violations)")
-                     .select(F.lit(name).alias("table"),
-                             F.concat(F.col("constraint"), F.lit(" NOT NULL")).alias("constraint"),
-                             F.lit("not_null").alias("kind"), "violations"))
+    items = [(f"{c} NOT NULL", "not_null", f"CAST(coalesce(`{c}`, 0) AS BIGINT)") for c in req]
     if pk:
-        parts.append(wide.select(F.lit(name).alias("table"), F.lit(f"{pk} PRIMARY KEY").alias("constraint"),
-                                 F.lit("duplicate_key").alias("kind"),
-                                 F.coalesce(F.col("_dup"), F.lit(0)).cast("bigint").alias("violations")))
-    return parts
+        items.append((f"{pk} PRIMARY KEY", "duplicate_key", "CAST(coalesce(`_dup`, 0) AS BIGINT)"))
+    if not items:
+        return []
+    # every row of the table's report from the one aggregate row
+    stack = ", ".join(f"'{c}', '{k}', {v}" for c, k, v in items)
+    return [wide.selectExpr(f"stack({len(items)}, {stack}) AS (constraint, kind, violations)")
+            .select(F.lit(name).alias("table"), "constraint", "kind", "violations")]
 
 
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
