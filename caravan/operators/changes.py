@@ -335,9 +335,14 @@ def update_bookings(bookings: DataFrame, requests: DataFrame, users: DataFrame,
         "room_type")
     last = _last_by_seq(ok, "id", BOOKING_UPDATE_FIELDS)
     j = bookings.join(last, bookings["id"].cast("string") == last["_id"], "left")
-    cols = [(F.when(F.col("_id").isNotNull(), F.col(f"_new_{c}")).otherwise(bookings[c])
-             if c in BOOKING_UPDATE_FIELDS else bookings[c]).cast("string" if c in KEY_COLS else t).alias(c)
-            for c, t in bookings.dtypes]
+    def stored(c: str, t: str) -> Column:
+        t = "string" if c in KEY_COLS else t
+        if c not in BOOKING_UPDATE_FIELDS:
+            return bookings[c].cast(t).alias(c)
+        # each branch is cast to the stored type (no coercion of text ids to the old key type)
+        return F.when(F.col("_id").isNotNull(), F.col(f"_new_{c}").cast(t)).otherwise(bookings[c].cast(t)).alias(c)
+
+    cols = [stored(c, t) for c, t in bookings.dtypes]
     return j.select(*cols), outcome(d)
 
 
@@ -422,10 +427,10 @@ def apply_patches(table: DataFrame, patches: DataFrame, kind: str) -> tuple[Data
                  (given.get("name", never) & (F.col("name") != F.col("_cur_name")) & F.col("_taken").isNotNull(),
                   "DUPLICATE_NAME"), no_fields]
     elif kind == "batches":
-        both = (given.get("startDate", never) & given.get("endDate", never)
-                & ~blank("startDate") & ~blank("endDate"))
-        rules = [not_found, (both & (js_parse_int("endDate") <= js_parse_int("startDate")),
-                             "INVALID_DATES"), no_fields]
+        rules = [not_found, no_fields]
+        if "startDate" in spec and "endDate" in spec:  # the dates rule needs both given
+            both = given["startDate"] & given["endDate"] & ~blank("startDate") & ~blank("endDate")
+            rules.insert(1, (both & (js_parse_int("endDate") <= js_parse_int("startDate")), "INVALID_DATES"))
     elif kind == "coupons":
         rules = [not_found, no_fields]
     elif kind == "user_role":
@@ -450,7 +455,7 @@ def apply_patches(table: DataFrame, patches: DataFrame, kind: str) -> tuple[Data
         t = "string" if c in KEY_COLS else t
         if c in by_col:
             n = F.col(f"_n_{by_col[c]}")
-            out.append(F.when(n.isNotNull(), n["v"]).otherwise(table[c]).cast(t).alias(c))
+            out.append(F.when(n.isNotNull(), n["v"].cast(t)).otherwise(table[c].cast(t)).alias(c))
         else:
             out.append(table[c].cast(t).alias(c))
     return j.select(*out), outcome(d)

@@ -210,3 +210,27 @@ def test_coupon_patches(spark):
     assert dict(rows(oc, "request_id", "error_code")) == {"p1": None, "p2": "NOT_FOUND", "p3": "NO_FIELDS"}
     r = new.collect()[0]
     assert (r["code"], r["deduction"], r["status"]) == ("SAVE", 12, False)  # code cannot change
+
+
+def test_text_refs_into_numeric_keys(spark):
+    """Requests name parents by text; stored numeric keys become text, no cast error."""
+    bookings = spark.createDataFrame([("k1", 1, 10, "n", "0123456789", None, "a@b.co", 5, 1, "single", 0)],
+                                     "id string, user_id bigint, batch_id bigint, name string, phone_number string, "
+                                     "guardian_number string, email string, payment bigint, travellers int, "
+                                     "room_type string, invoice_id int")
+    users = spark.createDataFrame([("u-x",)], "id string")
+    batches = spark.createDataFrame([("b-y",)], "id string")
+    req = spark.createDataFrame([("k1", "r1", "1", '{"id": "u-x"}', "b-y", "N", "0123456789", None, "a@b.co", "7",
+                                  "2", "double", True)],
+                                "id string, request_id string, seq string, user_ref string, batch_ref string, "
+                                "name string, phone_number string, guardian_number string, email string, "
+                                "payment string, travellers string, room_type string, has_invoice boolean")
+    new, oc = CH.update_bookings(bookings, req, users, batches)
+    assert rows(oc, "error_code") == [(None,)]
+    r = new.collect()[0]
+    assert (r["user_id"], r["batch_id"], r["travellers"]) == ("u-x", "b-y", 2)
+    b2 = spark.createDataFrame([(1, 5, 100, 200)], "id bigint, trip_id bigint, from_date long, to_date long")
+    p = spark.createDataFrame([("p", 1, "1", ["assignedTrip"], "trip-text")],
+                              "request_id string, seq long, id string, set_fields array<string>, assignedTrip string")
+    nb, _ = CH.apply_patches(b2, p, "batches")
+    assert nb.collect()[0]["trip_id"] == "trip-text"
