@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravan.llm import (exact_dedup, line_dedup, mixing, packing, sharding, sql, token_output)
+from caravan.llm import (exact_dedup, language_id, line_dedup, mixing, packing, sharding, sql, token_output, topk)
 from caravan.llm.common import read, scratch_path
 
 
@@ -25,12 +25,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th vector."""
+    return topk.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id stays."""
     out = exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
     return out.withColumnRenamed("digest", "text_sha256")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    return language_id.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all sources to weights 1, 2, 3."""
     out = mixing.mix(read(spark, sf_dir, "documents"))
@@ -52,7 +62,9 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, sql.LINE_DEDUP),
     "op2_sharding": (op2_sharding, None),
+    "op3_topk": (op3_topk, sql.TOP_K),
     "op5_exact_dedup": (op5_exact_dedup, sql.EXACT_DEDUP),
+    "op7_language_id": (op7_language_id, None),
     "op8_mixing": (op8_mixing, sql.MIXING),
     "op9_packing": (op9_packing, None),
     "op10_token_output": (op10_token_output, None),

@@ -74,3 +74,22 @@ SELECT d.doc_id, d.size, t.source_size, t.target,
              / 4503599627370496.0 < t.rate - floor(t.rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
 FROM doc d JOIN target t ON d.source IS NOT DISTINCT FROM t.source
 """
+
+TOP_K = """
+WITH vec AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.v, d.v) AS BIGINT) AS score
+  FROM vec q JOIN vec d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+         vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
