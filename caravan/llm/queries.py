@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravan.llm import (exact_dedup, language_id, line_dedup, mixing, packing, sharding, sql, token_output, topk)
+from caravan.llm import (exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, sharding, sql,
+                         token_output, topk)
 from caravan.llm.common import read, scratch_path
 
 
@@ -36,6 +37,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("digest", "text_sha256")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a Jaccard similarity of 0.9 or more on
+    three-word shingles."""
+    return jaccard_join.similar_components(read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from two thirds of them."""
     return language_id.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
@@ -64,6 +71,7 @@ QUERIES = {
     "op2_sharding": (op2_sharding, None),
     "op3_topk": (op3_topk, sql.TOP_K),
     "op5_exact_dedup": (op5_exact_dedup, sql.EXACT_DEDUP),
+    "op6_jaccard_join": (op6_jaccard_join, sql.JACCARD_JOIN),
     "op7_language_id": (op7_language_id, None),
     "op8_mixing": (op8_mixing, sql.MIXING),
     "op9_packing": (op9_packing, None),

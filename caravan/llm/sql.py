@@ -93,3 +93,36 @@ ranked AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+JACCARD_JOIN = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)]) END AS s
+  FROM word
+),
+gram AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+pair AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common, any_value(a.n) AS n, any_value(b.n) AS m
+  FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+  GROUP BY a.doc_id, b.doc_id
+),
+link AS (
+  SELECT x, y FROM pair WHERE 100 * common >= 90 * (n + m - common)
+  UNION ALL
+  SELECT y, x FROM pair WHERE 100 * common >= 90 * (n + m - common)
+),
+reach AS (
+  SELECT doc_id, doc_id AS to_id FROM documents
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN link l ON r.to_id = l.x
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.to_id) AS component_id
+FROM sets s JOIN reach r ON r.doc_id = s.doc_id
+GROUP BY s.doc_id, len(s.s)
+"""

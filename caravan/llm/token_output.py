@@ -20,7 +20,7 @@ store is reachable through Spark's writers only.
 reads any id range of a block by bit offset without unpacking the rest.
 
 Defined results: a null text is empty and has the end id alone; null ids sort
-first; rows that repeat an id follow each other in text order; an empty table
+first; rows that repeat an id follow each other in text checksum order; an empty table
 gives no rows; other columns are not read.
 """
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravan.llm.common import shuffle_partitions, starts
+from caravan.llm.common import shuffle_partitions, starts, text_or_empty
 from caravan.llm.tokens import default_tokenizer, word_ids
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -108,9 +108,10 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     from tokenizers import Tokenizer
     tokenizer = tokenizer or default_tokenizer()
     bits = bits_for(Tokenizer.from_file(tokenizer).get_vocab_size())
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       F.crc32(text_or_empty(text_col).cast("binary")).alias("crc"))  # a short key to order repeated ids
     spark = docs.sparkSession
-    (rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    (rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "crc").sortWithinPartitions("doc_id", "crc")
      .mapInArrow(_blocks(tokenizer, end_id, bits, block_ids), BLOCK_SCHEMA)
      .write.option("compression", "none").parquet(f"{path}/blocks"))  # packed bits do not compress
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
