@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravan.llm import (exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, sharding, sql,
-                         token_output, topk)
+from caravan.llm import (exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, packing, sharding,
+                         sql, token_output, topk)
 from caravan.llm.common import read, scratch_path
 
 
@@ -31,6 +31,11 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.main_texts(read(spark, sf_dir, "pages"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts; the largest doc_id stays."""
     out = exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_line_dedup": (op1_line_dedup, sql.LINE_DEDUP),
     "op2_sharding": (op2_sharding, None),
     "op3_topk": (op3_topk, sql.TOP_K),
+    "op4_html_extract": (op4_html_extract, None),
     "op5_exact_dedup": (op5_exact_dedup, sql.EXACT_DEDUP),
     "op6_jaccard_join": (op6_jaccard_join, sql.JACCARD_JOIN),
     "op7_language_id": (op7_language_id, None),
