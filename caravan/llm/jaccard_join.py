@@ -42,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravan.llm.common import scratch_table
@@ -137,9 +137,9 @@ def _nodes(width: int):
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"),
+                [b.column("doc_id"), b.column("row_hash"),
                  pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "text_hash", "node", "n"])
+                 pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "row_hash", "node", "n"])
     return run
 
 
@@ -309,15 +309,16 @@ def _blocks(near: DataFrame, percent: int) -> DataFrame:
 def similar_components(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id
-    that links reach)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
+    that links reach), row_hash (of id and text) and kept (whether it has no
+    words or is its component's smallest id)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_hash"),
                        F.col(text_col).alias("text"))
-    named = scratch_table(rows.mapInArrow(_nodes(width), "doc_id long, text_hash long, node long, n long"),
+    named = scratch_table(rows.mapInArrow(_nodes(width), "doc_id long, row_hash long, node long, n long"),
                           "jaccard-nodes")
-    # of each node the smallest id, nulls last, and which text carries it
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    # of each node the row with the smallest id, nulls last
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash"))
     smallest = scratch_table(named.where("n > 0").groupBy("node").agg(pick.alias("p"))
-                             .select("node", "p.doc_id", "p.text_hash"), "jaccard-smallest")
+                             .select("node", "p.doc_id", "p.row_hash"), "jaccard-smallest")
 
     shared = (rows.select("text").mapInArrow(_digest_rows(width, percent), "digest long, node long")
               .repartition("digest").sortWithinPartitions("digest", "node")
@@ -332,8 +333,7 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
 
     # one document of each node in a family gives the set
     wanted = family.join(hubs, "family").join(smallest, "node")
-    sets = rows.alias("r").join(wanted.alias("w"), F.expr("r.doc_id <=> w.doc_id and r.text_hash = w.text_hash")).select(
-        "w.node", "w.family", "w.hub", "r.text")
+    sets = rows.select("row_hash", "text").join(wanted, "row_hash").select("node", "family", "hub", "text")
     sets = scratch_table(sets.mapInArrow(_sets(width), "node long, family long, hub long, grams binary"), "jaccard-sets")
 
     of_hub = (sets.where("node = hub").select("family", F.col("grams").alias("hub_grams"))
@@ -344,8 +344,25 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     label = components(links.unionByName(_blocks(near, percent)))
 
     joined = smallest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    first = joined.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_node = joined.join(first, "label").select("node", "component_id")
+    first = joined.groupBy("label").agg(pick.alias("p")).select(
+        "label", F.col("p.doc_id").alias("component_id"), F.col("p.row_hash").alias("first_hash"))
+    of_node = joined.join(first, "label").select("node", "component_id", "first_hash")
+    alone = F.col("n") == 0
     return named.join(of_node, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "row_hash", (alone | (F.col("row_hash") == F.col("first_hash"))).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest
+    id; documents without words all stay. Of rows that repeat id and text the
+    first in order of the other columns stays."""
+    found = similar_components(docs, width, percent, id_col, text_col).where("kept")
+    keep = found.groupBy("row_hash").agg(F.max(F.col("n_shingles") == 0).alias("alone"))
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(id_col, text_col).alias("row_hash"))
+    d = d.join(keep, "row_hash")
+    order = [F.col(f"row.`{c}`") for c, t in docs.dtypes if c not in (id_col, text_col) and "map" not in t]
+    w = Window.partitionBy("row_hash").orderBy(*order or [F.lit(0)])  # the join's partitions
+    return d.withColumn("i", F.row_number().over(w)).where("alone or i = 1").select("row.*")

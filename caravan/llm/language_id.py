@@ -144,11 +144,14 @@ def infer(p: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> dict[int, f
     return dict(zip(chosen, pi.tolist(), strict=True))
 
 
-def _predict(langs: list[str], table: np.ndarray, penalty: float):
+_NEW = ("lang_pred", "score", "langs")
+
+
+def _predict(langs: list[str], table: np.ndarray, penalty: float, text_col: str = "text", keep_text: bool = False):
     def run(batches):
         for b in batches:
             pred, score, sets = [], [], []
-            for text in b.column("text").to_pylist():
+            for text in b.column(text_col).to_pylist():
                 grams = trigrams(text) if langs else ()
                 if not len(grams):
                     pred.append(UNKNOWN)
@@ -161,10 +164,10 @@ def _predict(langs: list[str], table: np.ndarray, penalty: float):
                 pred.append(langs[k])
                 score.append(min(1.0, mix[k]))
                 sets.append([langs[i] for i in sorted(mix)])
-            keep = [c for c in b.schema.names if c != "text"]
+            keep = [i for i, c in enumerate(b.schema.names) if keep_text or c != text_col]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(sets, pa.list_(pa.string()))], names=[*keep, "lang_pred", "score", "langs"])
+                [*(b.column(i) for i in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                 pa.array(sets, pa.list_(pa.string()))], names=[*(b.schema.names[i] for i in keep), *_NEW])
     return run
 
 
@@ -173,13 +176,32 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
+def _learn_from(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
+    return learn(docs.where(fold(id_col) != 1).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
              penalty: float = PENALTY) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, langs (the
     chosen set). Learns from the rows that are not held out."""
-    langs, table = learn(docs.where(fold(id_col) != 1).select(F.col(lang_col).alias("lang"),
-                                                              F.col(text_col).alias("text")))
+    langs, table = _learn_from(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(fold(id_col) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_predict(langs, table, penalty), "doc_id long, held_out boolean, lang_pred string, "
                                                             "score double, langs array<string>")
+
+
+def in_one_language(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
+                    lang_col: str = "lang", penalty: float = PENALTY) -> DataFrame:
+    """``docs`` without those that language ID rejects: no letter, or no language
+    with at least ``min_score`` of the trigrams. ``lang_col`` becomes the
+    predicted language; the other columns stay."""
+    langs, table = _learn_from(docs, id_col, text_col, lang_col)
+    # names of its own, so that no column of docs clashes with the new ones
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+    at = docs.columns.index(text_col)
+    out = rows.mapInArrow(_predict(langs, table, penalty, f"c{at}", keep_text=True),
+                          f"{kind}, lang_pred string, score double, langs array<string>")
+    out = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return out.select(*[F.col("lang_pred" if c == lang_col else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -57,9 +57,8 @@ def boilerplate(rows: DataFrame, max_ratio: float, min_docs: int) -> DataFrame:
 
 def drop_boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text",
                            max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with the cleaned text in ``text_col``, and two columns around
-    it: ``row`` (all input columns as a struct, text as it was) stays hidden;
-    the result has the columns of ``docs`` plus n_lines and n_dropped."""
+    """``docs`` with the cleaned text in ``text_col``, plus n_lines and
+    n_dropped."""
     d = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), F.col(text_col).alias("text"))
     found = scratch_table(boilerplate(d.select("host", "text"), max_ratio, min_docs), "boilerplate")
     d, b = d.alias("d"), found.alias("b")

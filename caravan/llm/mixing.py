@@ -62,6 +62,17 @@ def source_targets(sizes: DataFrame, max_rate: int, weights: int) -> DataFrame:
                       F.least(cap.cast("double"), F.lit(float(level)) * F.col("weight")).alias("target"))
 
 
+def copies(rate: Column, id_col: str, seed: str) -> Column:
+    """floor(rate), and one more if the document's draw is below the fraction."""
+    return (F.floor(rate) + (draw(id_col, seed) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
+def source_rates(rows: DataFrame, max_rate: int, weights: int) -> DataFrame:
+    """(source, source_size, target, rate) from rows (source, size)."""
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return source_targets(rows, max_rate, weights).withColumn("rate", rate)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         max_rate: int = 3, weights: int = 3, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target and
@@ -70,21 +81,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                        n_words(text_col).alias("size"))
     # read again for every document below: kept as a narrow table, texts are counted once
     rows = scratch_table(rows, "mix-sizes")
-    targets = source_targets(rows, max_rate, weights)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = rows.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source")).select(
-        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", rate.alias("rate"))
+    rates = source_rates(rows, max_rate, weights)
+    joined = rows.alias("d").join(rates.alias("t"), F.expr("d.source <=> t.source")).select(
+        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.rate")
     return joined.select("doc_id", "source", "size", "source_size", "target",
-                         (F.floor("rate") + (draw("doc_id", seed) < F.col("rate") - F.floor("rate")).cast("long"))
-                         .cast("long").alias("copies"))
+                         copies(F.col("rate"), "doc_id", seed).alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    max_rate: int = 3, weights: int = 3, seed: str = SEED) -> DataFrame:
     """The mix itself: every document of ``docs`` as often as ``mix`` takes it,
-    with the columns of ``docs``. One id decides for all rows that carry it."""
-    copies = mix(docs, id_col=id_col, **kw).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    copies = copies.where("copies > 0")
-    d = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("key"))
-    out = d.join(copies, F.expr("key <=> doc_id")).select(
-        "row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    with the columns of ``docs``. Texts meet only the table of sources."""
+    sizes = docs.select(F.col(source_col).alias("source"), n_words(text_col).alias("size"))
+    rates = source_rates(sizes, max_rate, weights).select("source", "rate")
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("key"), F.col(source_col).alias("of"))
+    taken = d.join(rates, F.expr("of <=> source")).select("row", copies(F.col("rate"), "key", seed).alias("n"))
+    out = taken.where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return out.select("row.*")

@@ -45,7 +45,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with a Jaccard similarity of 0.9 or more on
     three-word shingles."""
-    return jaccard_join.similar_components(read(spark, sf_dir, "documents"), width=3, percent=90)
+    out = jaccard_join.similar_components(read(spark, sf_dir, "documents"), width=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
