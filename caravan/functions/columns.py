@@ -23,7 +23,14 @@ CATALOG_FALLBACK_IMAGE = "/kashmir_lightbox_4.jpg"
 # (white space and line terminators of ECMAScript).
 JS_WHITESPACE = ("\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
                  "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
-_WS = "[\\s\\u00a0\\ufeff]"
+_WS_CLASS = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"  # the same set in a regex
+LEADING_INT = rf"^[{_WS_CLASS}]*([+-]?[0-9]+)"
+LEADING_HEX = rf"^[{_WS_CLASS}]*([+-]?)0[xX]([0-9a-fA-F]+)"
+LEADING_FLOAT = rf"^[{_WS_CLASS}]*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)"
+EMAIL = rf"^[^{_WS_CLASS}@]+@[^{_WS_CLASS}@]+\.[^{_WS_CLASS}@]+\z"
+# JSON.parse: double-quoted names and texts only, no NaN.
+JSON_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+               "allowUnquotedFieldNames": "false"}
 
 
 def _c(c) -> Column:
@@ -62,29 +69,35 @@ def _all_digits(t: Column) -> Column:
 
 
 def js_parse_int(c) -> Column:
-    """JavaScript parseInt(text, 10): leading integer, null if none. Plain
-    digit texts take a cast; only the rest pay for the regex."""
+    """JavaScript parseInt(text): leading integer (``0x`` reads
+    hexadecimal), null if none or beyond 64 bits. Plain digit texts take a cast;
+    only the rest pay for the regexes."""
     s = _c(c).cast("string")
-    t = F.regexp_extract(s, f"^{_WS}*([+-]?[0-9]+)", 1)
-    return F.when(_all_digits(s), s.try_cast("bigint")).otherwise(F.when(t != "", t.try_cast("bigint")))
+    t = F.regexp_extract(s, LEADING_INT, 1)
+    x = F.regexp_extract(s, LEADING_HEX, 2)
+    hexed = F.concat(F.regexp_extract(s, LEADING_HEX, 1), F.conv(x, 16, 10)).try_cast("bigint")
+    return (F.when(_all_digits(s), s.try_cast("bigint")).when(x != "", hexed)
+            .otherwise(F.when(t != "", t.try_cast("bigint"))))
 
 
 def js_parse_float(c) -> Column:
     """JavaScript parseFloat: leading decimal number as double, null if
     none (NaN never results). Plain digit texts take a cast."""
     s = _c(c).cast("string")
-    t = F.regexp_extract(s, f"^{_WS}*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?)", 1)
+    t = F.regexp_extract(s, LEADING_FLOAT, 1)
     return F.when(_all_digits(s), s.try_cast("double")).otherwise(F.when(t != "", t.try_cast("double")))
 
 
 def to_money(c) -> Column:
-    """Numbers stored as money: decimal(12,2)."""
+    """Numbers stored as money: decimal(12,2); null beyond it (callers give
+    such a number an error code)."""
     return _c(c).try_cast("decimal(12,2)")
 
 
 def is_email(c) -> Column:
-    """^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$ (JavaScript end anchor)."""
-    return F.coalesce(_c(c).cast("string").rlike("^[^\\s@]+@[^\\s@]+\\.[^\\s@]+\\z"), F.lit(False))
+    """x@y.z without white space or a further @ (JavaScript's white space
+    and end anchor)."""
+    return F.coalesce(_c(c).cast("string").rlike(EMAIL), F.lit(False))
 
 
 def is_phone10(c) -> Column:
@@ -146,12 +159,14 @@ def media_key(kind: str, name, token=None, ext=None) -> Column:
     kind: 'trip_image' -> trips/{slug}_{token}.{ext}; 'trip_itinerary' ->
     trips/{slug}_itinerary.{ext}; 'itinerary_dir' -> itineraries/{slug}_itinerary.{ext};
     'banner' -> banners/{slug}; 'invoice' -> {name}.{ext} (name = booking id).
-    The reference's token is random hex; here it is a hash of the inputs, so
-    re-runs give equal keys."""
+    The reference's token is random hex, a new one for each image; here the
+    caller passes a token that tells its images apart (``media_changes`` hashes
+    the upload), so re-runs give equal keys."""
     s = slug(name)
     if kind == "trip_image":
-        tok = _c(token) if token is not None else F.substring(F.sha2(_c(name).cast("string"), 256), 1, 32)
-        return F.concat(F.lit(TRIPS_PREFIX), s, F.lit("_"), tok, F.lit("."), _c(ext))
+        if token is None:
+            raise ValueError("a trip image needs a token of its own")
+        return F.concat(F.lit(TRIPS_PREFIX), s, F.lit("_"), _c(token), F.lit("."), _c(ext))
     if kind == "trip_itinerary":
         return F.concat(F.lit(TRIPS_PREFIX), s, F.lit("_itinerary."), _c(ext))
     if kind == "itinerary_dir":
@@ -170,10 +185,11 @@ def banner_key(c) -> Column:
     return F.when(t.startswith(BANNERS_PREFIX), t).otherwise(F.concat(F.lit(BANNERS_PREFIX), t))
 
 
-def json_text_ok(c) -> Column:
-    """JSON.parse would accept the text: it parses, and an object / array text
-    ends with its closing bracket (Spark's parser ignores trailing text)."""
+def json_text_ok(c, options: dict | None = None) -> Column:
+    """JSON.parse would accept the text. As the only element of an array it must
+    give exactly one element, so text after it does not pass, and repeated names
+    do."""
     t = js_trim(c)
-    closed = (F.when(t.startswith("{"), t.endswith("}"))
-              .when(t.startswith("["), t.endswith("]")).otherwise(F.lit(True)))
-    return F.coalesce(F.try_parse_json(_c(c)).isNotNull() & closed, F.lit(False))
+    options = {**(options or JSON_STRICT), "mode": "PERMISSIVE"}
+    one = F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>", options)
+    return F.coalesce((F.size(one) == 1) & (t != ""), F.lit(False))

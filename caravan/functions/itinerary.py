@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caravan.functions.columns import js_trim
+from caravan.functions.columns import json_text_ok, js_trim
 
 ITINERARY_SCHEMA = "map<string, struct<title:string, content:string>>"
 STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
@@ -28,8 +28,9 @@ def itinerary_table(trips: DataFrame, lenient: bool = False) -> tuple[DataFrame,
     """(days, rejects): days = (trip_id, day, day_no, title, content);
     rejects = (trip_id, itinerary) whose text is not a valid itinerary object."""
     text = F.col("itinerary")
-    m = F.from_json(text, ITINERARY_SCHEMA, LENIENT if lenient else STRICT)
-    closed = js_trim(text).endswith("}")
+    options = LENIENT if lenient else STRICT
+    m = F.from_json(text, ITINERARY_SCHEMA, options)
+    closed = js_trim(text).endswith("}") & json_text_ok(text, options)
     parsed = trips.select(F.col("id").alias("trip_id"), "itinerary",
                           F.when(closed, m).alias("_m"))
     rejects = parsed.where(F.col("_m").isNull() & text.isNotNull()).select("trip_id", "itinerary")

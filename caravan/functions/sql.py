@@ -6,19 +6,26 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from caravan.functions.columns import ROLES
+from caravan.functions.columns import EMAIL, JS_WHITESPACE, LEADING_HEX, LEADING_INT, ROLES
 
-_WS = "[\\\\s\\\\u00a0\\\\ufeff]"
-_TRIM = f"regexp_replace(s, '^{_WS}+|{_WS}+$', '')"
-_ROLES = ", ".join(f"'{r}'" for r in ROLES)
+
+def _text(s: str) -> str:
+    """A Python text as a SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# the patterns and characters are those of the column functions
+_TRIM = f"btrim(s, {_text(JS_WHITESPACE)})"
+_ROLES = ", ".join(map(_text, ROLES))
+_HEX = (f"try_cast(concat(regexp_extract(s, {_text(LEADING_HEX)}, 1), "
+        f"conv(regexp_extract(s, {_text(LEADING_HEX)}, 2), 16, 10)) AS BIGINT)")
 
 FUNCTIONS = {
-    "slug": ("s STRING", "STRING",
-             f"regexp_replace(regexp_replace(lower({_TRIM}), '[^a-z0-9]+', '-'), '^-+|-+$', '')"),
+    "slug": ("s STRING", "STRING", "btrim(regexp_replace(lower(s), '[^a-z0-9]+', '-'), '-')"),
     "js_parse_int": ("s STRING", "BIGINT",
-                     f"try_cast(nullif(regexp_extract(s, '^{_WS}*([+-]?[0-9]+)', 1), '') AS BIGINT)"),
-    "is_email": ("s STRING", "BOOLEAN",
-                 "coalesce(s RLIKE '^[^\\\\s@]+@[^\\\\s@]+\\\\.[^\\\\s@]+\\\\z', false)"),
+                     f"CASE WHEN regexp_extract(s, {_text(LEADING_HEX)}, 2) <> '' THEN {_HEX} "
+                     f"ELSE try_cast(nullif(regexp_extract(s, {_text(LEADING_INT)}, 1), '') AS BIGINT) END"),
+    "is_email": ("s STRING", "BOOLEAN", f"coalesce(s RLIKE {_text(EMAIL)}, false)"),
     "is_phone10": ("s STRING", "BOOLEAN", "coalesce(s RLIKE '^[0-9]{10}\\\\z', false)"),
     "norm_code": ("s STRING", "STRING", f"nullif(upper({_TRIM}), '')"),
     "norm_role": ("s STRING", "STRING", f"lower({_TRIM})"),

@@ -43,13 +43,13 @@ from caravan.session import cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TABLE_SCHEMA = "_b string, _seg int, s0 int, tab array<int>"
-_DECISION_SCHEMA = ("request_id string, _b string, seq string, travellers int, "
+_DECISION_SCHEMA = ("request_id string, _b string, seq {seq}, travellers int, "
                     "accepted boolean, seats_after long")
 
 
 def _segment_table(pdf: pd.DataFrame) -> pd.DataFrame:
     """Composed function of one segment, tabulated over start states."""
-    pdf = pdf.sort_values("seq", kind="stable")
+    pdf = pdf.sort_values(["seq", "request_id"], kind="stable")
     cap = int(pdf["cap"].iloc[0])
     s = np.arange(cap + 2, dtype=np.int64)  # cap + 1 = "over capacity"
     for n in pdf["n"].to_numpy(dtype=np.int64):
@@ -90,7 +90,8 @@ def admit_bookings(batches: DataFrame, bookings: DataFrame | None, requests: Dat
 
     batches: (id, max_adventurers); bookings: existing (batch_id, travellers)
     or None; requests: (request_id, seq, batch_id, travellers) with ``seq``
-    the arrival order. Output per request: request_id, batch_id, seq,
+    the arrival order, in its own type's order (equal ones by request_id).
+    Output per request: request_id, batch_id, seq,
     travellers, accepted, error_code (BATCH_NOT_FOUND, INVALID_TRAVELLERS,
     NO_CAPACITY or null), seats_after (seats used after the decision; null when
     not folded)."""
@@ -99,9 +100,9 @@ def admit_bookings(batches: DataFrame, bookings: DataFrame | None, requests: Dat
     caps = batches.select(F.col("id").cast("string").alias("_cb"),
                           F.col("max_adventurers").cast("int").alias("cap"))
     r = requests.select(F.col("request_id").cast("string").alias("request_id"),
-                        F.col("seq").cast("string").alias("seq"),
+                        "seq",  # compared in the type given: 2 comes before 10
                         F.col("batch_id").cast("string").alias("_b"),
-                        F.col("travellers").cast("int").alias("n"))
+                        F.col("travellers").try_cast("int").alias("n"))
     r = r.join(caps, r["_b"] == caps["_cb"], "left").drop("_cb")
     if bookings is not None:
         used = (bookings.groupBy(F.col("batch_id").cast("string").alias("_ub"))
@@ -113,8 +114,9 @@ def admit_bookings(batches: DataFrame, bookings: DataFrame | None, requests: Dat
     err = (F.when(F.col("cap").isNull(), "BATCH_NOT_FOUND")
            .when(F.col("n").isNull() | (F.col("n") <= 0), "INVALID_TRAVELLERS"))
     r = r.withColumn("_err", err)
-    # one pass over the input: classified, range-partitioned, sorted, checkpointed
-    ck = cut_lineage(r.repartitionByRange(p, "_b", "seq").sortWithinPartitions("_b", "seq")
+    # classified, range-partitioned (which samples it first), sorted, checkpointed
+    order = ["_b", "seq", "request_id"]
+    ck = cut_lineage(r.repartitionByRange(p, *order).sortWithinPartitions(*order)
                      .withColumn("_seg", F.spark_partition_id()))
     bad = ck.where(F.col("_err").isNotNull()).select(
         "request_id", F.col("_b").alias("batch_id"), "seq", F.col("n").alias("travellers"),
@@ -139,7 +141,7 @@ def admit_bookings(batches: DataFrame, bookings: DataFrame | None, requests: Dat
     # keeps the sorted order of the streamed side
     folded = (seg.join(F.broadcast(starts), ["_b", "_seg"], "left")
               .select("request_id", "seq", "_b", "n", "cap", "used0", "start")
-              .mapInPandas(_fold_partitions, _DECISION_SCHEMA))
+              .mapInPandas(_fold_partitions, _DECISION_SCHEMA.format(seq=dict(r.dtypes)["seq"])))
     good = folded.select("request_id", F.col("_b").alias("batch_id"), "seq", "travellers", "accepted",
                          F.when(~F.col("accepted"), F.lit("NO_CAPACITY")).alias("error_code"),
                          "seats_after")

@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caravan.operators.admission import admit_bookings
+from caravan.session import cut_lineage
 from caravan.functions.columns import (is_email, json_text_ok, is_phone10, is_role, js_parse_float, js_parse_int,
                                        looks_like_json, norm_code, norm_role, to_money)
 
@@ -118,10 +120,10 @@ def insert_trips(trips: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     new = d.where(F.col("error_code").isNull()).select(
         _stable_id("request_id", "name").alias("id"),
         F.col("name").alias("destination_name"), "destinations",
-        js_parse_int("physicalRating").cast("int").alias("physical_rating"), "description",
+        js_parse_int("physicalRating").try_cast("int").alias("physical_rating"), "description",
         F.col("daysData").alias("itinerary"), F.lit("").alias("inclusions"),
         F.lit("").alias("excluions"), F.col("days").cast("string").alias("days"),
-        js_parse_int("nights").cast("int").alias("nights"), F.lit(True).alias("status"),
+        js_parse_int("nights").try_cast("int").alias("nights"), F.lit(True).alias("status"),
         F.col("n_images").cast("int").alias("images"))
     return _append(trips, new), outcome(d)
 
@@ -133,7 +135,8 @@ KEY_COLS = ("id", "trip_id", "user_id", "batch_id")
 
 def _stored(df: DataFrame, dtypes, source: DataFrame | None = None) -> list[Column]:
     src = source if source is not None else df
-    return [(src[c] if c in src.columns else F.lit(None)).cast("string" if c in KEY_COLS else t).alias(c)
+    # a number beyond the stored type becomes null and never ends the whole job
+    return [(src[c] if c in src.columns else F.lit(None)).try_cast("string" if c in KEY_COLS else t).alias(c)
             for c, t in dtypes]
 
 
@@ -238,8 +241,9 @@ def _booking_rules(with_invoice: bool) -> list[tuple[Column, str]]:
     rules += [
         (blank(uid) | blank(bid) | blank("name") | blank("phone_number") | blank("email")
          | blank("payment") | blank("travellers") | blank("room_type"), "MISSING_FIELDS"),
-        (pay.isNull() | (pay <= 0), "INVALID_PAYMENT"),
-        (trav.isNull() | (trav <= 0), "INVALID_TRAVELLERS"),
+        # beyond the stored types the reference's insert fails
+        (pay.isNull() | (pay <= 0) | to_money(pay).isNull(), "INVALID_PAYMENT"),
+        (trav.isNull() | (trav <= 0) | trav.try_cast("int").isNull(), "INVALID_TRAVELLERS"),
         (~is_email("email"), "INVALID_EMAIL"),
         (~is_phone10("phone_number"), "INVALID_PHONE"),
         (~blank("guardian_number") & ~is_phone10("guardian_number"), "INVALID_GUARDIAN_PHONE"),
@@ -270,7 +274,7 @@ def _with_refs(requests: DataFrame, users: DataFrame, batches: DataFrame) -> Dat
 
 def _booking_values(d: DataFrame) -> DataFrame:
     return d.select("*", to_money(F.col("_pay")).alias("payment_value"),
-                    F.col("_trav").cast("int").alias("travellers_value")).drop("_pay", "_trav")
+                    F.col("_trav").try_cast("int").alias("travellers_value")).drop("_pay", "_trav")
 
 
 def validate_bookings(requests: DataFrame, users: DataFrame, batches: DataFrame) -> DataFrame:
@@ -286,6 +290,28 @@ def validate_bookings(requests: DataFrame, users: DataFrame, batches: DataFrame)
     return _booking_values(d).drop("_user_ok", "_batch_ok", "_uj", "_bj", "_ubad", "_bbad")
 
 
+def book_requests(bookings: DataFrame, requests: DataFrame, users: DataFrame,
+                  batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The admin booking write, M5 then M6 then the insert: valid requests are
+    decided in ``seq`` order against the seats that ``bookings`` leave, the
+    accepted ones are appended. The outcome has M5's codes and NO_CAPACITY.
+
+    requests: as for ``validate_bookings``; request_id is unique."""
+    v = validate_bookings(requests, users, batches)
+    valid = v.where(F.col("error_code").isNull())
+    d = admit_bookings(batches.select("id", "max_adventurers"), bookings.select("batch_id", "travellers"),
+                       valid.select("request_id", "seq", "batch_id", F.col("travellers_value").alias("travellers")))
+    d = cut_lineage(d.select(F.col("request_id").alias("_rid"), "accepted", F.col("error_code").alias("_refused")))
+    j = v.join(d, v["request_id"].cast("string") == d["_rid"], "left")
+    new = j.where("accepted").select(
+        _stable_id("request_id").alias("id"), "user_id", "batch_id", "name", "phone_number",
+        F.when(~blank("guardian_number"), F.col("guardian_number")).alias("guardian_number"), "email",
+        F.col("payment_value").alias("payment"), F.col("travellers_value").alias("travellers"), "room_type",
+        F.lit(0).alias("invoice_id"))
+    decided = j.withColumn("error_code", F.coalesce("error_code", "_refused"))
+    return _append(bookings, new), outcome(decided)
+
+
 def direct_bookings(bookings: DataFrame, requests: DataFrame) -> DataFrame:
     """M7: the customer-side insert: no validation, no capacity check,
     invoice_id 0. requests: request_id, userId, batch_id, fullName, number,

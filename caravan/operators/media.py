@@ -102,17 +102,16 @@ def media_changes(manifest: DataFrame, removed: DataFrame, added: DataFrame,
     """Manifest after removals and uploads, and the image count stored on
     each changed trip.
 
-    removed: (key); added: (trip_id, destination_name, ext, size[, token]) new
-    image uploads, keyed ``trips/{slug}_{token}.{ext}`` (token: a hash of the
-    upload when not given); totals: optional (trip_id, total_image_count) as
+    removed: (key); added: (trip_id, destination_name, ext, size, upload_id[,
+    token]) new image uploads, keyed ``trips/{slug}_{token}.{ext}`` (token: a hash
+    of the upload id when not given, so no two uploads share a key); totals: optional (trip_id, total_image_count) as
     supplied by the client. Existing keys keep their names. The stored count is
     the supplied total, else the number of images added; trips with neither
     are not changed."""
     kept = manifest.join(removed.select("key").distinct(), "key", "left_anti")
     tok = (F.col("token") if "token" in added.columns else
            F.substring(F.sha2(F.concat_ws("/", F.col("trip_id").cast("string"),
-                                          F.col("destination_name"), F.col("ext"),
-                                          F.col("size").cast("string")), 256), 1, 32))
+                                          F.col("upload_id").cast("string")), 256), 1, 32))
     new = added.select(media_key("trip_image", F.col("destination_name"), tok, F.col("ext")).alias("key"),
                        F.col("size").cast(manifest.schema["size"].dataType).alias("size"),
                        F.lit(None).cast(manifest.schema["last_modified"].dataType).alias("last_modified"))
@@ -135,7 +134,7 @@ def media_owner(key: Column) -> tuple[Column, Column]:
     trip = F.coalesce(_prefix_slug(key, "trips/"), _prefix_slug(key, ITINERARIES_PREFIX))
     # the booking delete removes the keys starting with "{id}." (ids hold no '.')
     booking = F.when(~key.contains("/") & key.contains("."), F.split_part(key, F.lit("."), F.lit(1)))
-    banner = F.when(key.startswith("banners/"), key.substr(len("banners/") + 1, 1 << 30))
+    banner = F.when(key.startswith("banners/"), F.substring(key, len("banners/") + 1, F.length(key)))
     kind = (F.when(trip.isNotNull(), "trip").when(booking.isNotNull(), "booking")
             .when(banner.isNotNull(), "banner").otherwise("unknown"))
     return kind, F.coalesce(trip, booking, banner)
@@ -143,7 +142,8 @@ def media_owner(key: Column) -> tuple[Column, Column]:
 
 def orphan_media(trips: DataFrame, bookings: DataFrame, manifest: DataFrame,
                  banners: DataFrame | None = None) -> DataFrame:
-    """Objects that no live trip, booking (or banner, when given) owns.
+    """Objects that no live trip, booking or banner owns. Without ``banners``
+    nothing is known about banner files, so none is reported.
     Deleting a trip leaves its files in place in the reference; deleting a
     booking removes ``{id}.*``. Anti join on (owner kind, owner key)."""
     kind, owner = media_owner(F.col("key"))
@@ -154,5 +154,7 @@ def orphan_media(trips: DataFrame, bookings: DataFrame, manifest: DataFrame,
     if banners is not None:
         owners = owners.unionByName(banners.select(F.lit("banner").alias("_k"),
                                                    slug("banner_name").alias("_o")))
+    else:
+        m = m.where(m["owner_kind"] != "banner")
     return m.join(owners, (m["owner_kind"] == owners["_k"]) & (m["owner_key"] == owners["_o"]),
                   "left_anti")

@@ -268,7 +268,49 @@ def q_admit(spark, d):
     return AD.admit_bookings(t.batches, None, req)
 
 
-@register("admit_bookings_summary", None)
+# Arrival numbers 10 times the line number plus a digit: 20 comes before 110, as
+# text it would not. FOLD decides rows rb(request_id, seq, b, n, cap, used0, rn).
+_NUMERIC_SEQ = "l_linenumber * 10 + l_partkey % 10"
+_FOLD = """
+fold AS (
+  SELECT b, rn, request_id, seq, n, cap, used0 + n <= cap AS accepted,
+         CASE WHEN used0 + n <= cap THEN used0 + n ELSE used0 END AS used
+  FROM rb WHERE rn = 1
+  UNION ALL
+  SELECT rb.b, rb.rn, rb.request_id, rb.seq, rb.n, rb.cap, f.used + rb.n <= rb.cap,
+         CASE WHEN f.used + rb.n <= rb.cap THEN f.used + rb.n ELSE f.used END
+  FROM fold f JOIN rb ON rb.b = f.b AND rb.rn = f.rn + 1)"""
+
+
+def _numeric_requests_sql(*views: str) -> str:
+    """booking_requests with a numeric seq (columns as in the adapter's view)."""
+    return duck_with(*views).replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, req AS (SELECT r.* EXCLUDE (seq), l.seq FROM booking_requests r JOIN
+  (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                             epoch_us(l_shipdate) // 1000000 // 86400) AS id, {_NUMERIC_SEQ} AS seq
+   FROM lineitem) l ON l.id = r.request_id),
+caps AS (SELECT CAST(id AS VARCHAR) AS b, max_adventurers AS cap FROM batches)"""
+
+
+def _numeric_requests(t: Tables):
+    part = F.split_part("request_id", F.lit("-"), F.lit(3)).cast("long")
+    line = F.split_part("request_id", F.lit("-"), F.lit(2)).cast("long")
+    return t.booking_requests.withColumn("seq", line * 10 + part % 10)
+
+
+_USED = """
+, used AS (SELECT CAST(batch_id AS VARCHAR) AS b, sum(travellers) AS used0 FROM bookings GROUP BY batch_id)"""
+
+
+@register("admit_bookings_summary", _numeric_requests_sql("batches", "booking_requests", "bookings") + _USED + f""",
+rb AS (SELECT r.request_id, r.seq, r.batch_ref AS b, CAST(r.travellers AS INTEGER) AS n, c.cap,
+              coalesce(u.used0, 0) AS used0, row_number() OVER (PARTITION BY r.batch_ref ORDER BY r.seq) AS rn
+       FROM booking_requests r JOIN caps c ON c.b = r.batch_ref LEFT JOIN used u ON u.b = r.batch_ref), {_FOLD}
+SELECT accepted, CASE WHEN NOT accepted THEN 'NO_CAPACITY' END AS error_code, count(*) AS requests
+FROM fold GROUP BY accepted
+UNION ALL
+SELECT false, 'BATCH_NOT_FOUND', count(*) FROM booking_requests WHERE batch_ref NOT IN (SELECT b FROM caps)
+HAVING count(*) > 0""")
 def q_admit_summary(spark, d):
     """M6 totals per outcome, starting from the existing bookings."""
     t = Tables(spark, d)
@@ -278,6 +320,63 @@ def q_admit_summary(spark, d):
     return a.groupBy("accepted", "error_code").agg(F.count(F.lit(1)).alias("requests"))
 
 
+@register("admit_bookings_numeric_seq", _numeric_requests_sql("batches", "booking_requests", "bookings") + f"""
+, used AS (SELECT CAST(batch_id AS VARCHAR) AS b, sum(travellers) // 3 AS used0 FROM bookings GROUP BY batch_id),
+rb AS (SELECT req.request_id, req.seq, req.batch_ref AS b, CAST(req.travellers AS INTEGER) AS n, c.cap,
+              coalesce(u.used0, 0) AS used0,
+              row_number() OVER (PARTITION BY req.batch_ref ORDER BY req.seq, req.request_id) AS rn
+       FROM req JOIN caps c ON c.b = req.batch_ref LEFT JOIN used u ON u.b = req.batch_ref), {_FOLD}
+SELECT request_id, b AS batch_id, seq, n AS travellers, accepted,
+       CASE WHEN NOT accepted THEN 'NO_CAPACITY' END AS error_code, CAST(used AS BIGINT) AS seats_after
+FROM fold
+UNION ALL
+SELECT request_id, batch_ref, seq, CAST(travellers AS INTEGER), false, 'BATCH_NOT_FOUND', NULL FROM req
+WHERE batch_ref NOT IN (SELECT b FROM caps)""")
+def q_admit_numeric(spark, d):
+    """M6 with numeric arrival numbers, starting from batches a third full."""
+    t = Tables(spark, d)
+    taken = t.bookings.groupBy("batch_id").agg((F.sum("travellers") / 3).cast("bigint").alias("travellers"))
+    req = _numeric_requests(t).select("request_id", "seq", F.col("batch_ref").alias("batch_id"),
+                                      F.col("travellers").cast("int").alias("travellers"))
+    return AD.admit_bookings(t.batches, taken, req)
+
+
+def _booked_sql() -> str:
+    return _numeric_requests_sql("bookings", "booking_requests", "users", "batches") + f"""
+, v AS (SELECT request_id, seq, user_ref, batch_ref, name, phone_number, guardian_number, email, payment,
+               travellers, room_type, {_booking_rules_sql(True, False)} AS code FROM req),
+used AS (SELECT CAST(batch_id AS VARCHAR) AS b, sum(travellers) AS used0 FROM bookings GROUP BY batch_id),
+rb AS (SELECT v.request_id, v.seq, v.batch_ref AS b, {_pi('v.travellers')} AS n, c.cap,
+              coalesce(u.used0, 0) AS used0,
+              row_number() OVER (PARTITION BY v.batch_ref ORDER BY v.seq, v.request_id) AS rn
+       FROM v JOIN caps c ON c.b = v.batch_ref LEFT JOIN used u ON u.b = v.batch_ref WHERE v.code IS NULL), {_FOLD},
+d AS (SELECT v.*, coalesce(v.code, CASE WHEN NOT f.accepted THEN 'NO_CAPACITY' END) AS error_code
+      FROM v LEFT JOIN fold f ON f.request_id = v.request_id)
+"""
+
+
+@register("book_requests_outcome", _booked_sql() + _OUTCOME)
+def q_book_outcome(spark, d):
+    """M5, M6 and the insert in one, on top of the existing bookings: the outcome."""
+    t = Tables(spark, d)
+    return CH.book_requests(t.bookings, _numeric_requests(t), t.users, t.batches)[1]
+
+
+@register("book_requests_table", _booked_sql() + f"""
+SELECT id, CAST(user_id AS VARCHAR) AS user_id, CAST(batch_id AS VARCHAR) AS batch_id, name, phone_number,
+       guardian_number, email, payment, travellers, room_type, invoice_id FROM bookings
+UNION ALL
+SELECT {_sha('request_id')}, user_ref, batch_ref, name, phone_number,
+       nullif(guardian_number, '') AS guardian_number, email,
+       CAST(CAST({_pf('payment')} AS DECIMAL(12, 2)) AS BIGINT) AS payment,
+       CAST({_pi('travellers')} AS INTEGER) AS travellers, room_type, 0 AS invoice_id
+FROM d WHERE error_code IS NULL""")
+def q_book_table(spark, d):
+    """M5, M6 and the insert in one: the new bookings table."""
+    t = Tables(spark, d)
+    return CH.book_requests(t.bookings, _numeric_requests(t), t.users, t.batches)[0]
+
+
 # ------------------------------------------------------------------ M7
 @register("direct_bookings", duck_with("bookings") + f"""
 SELECT id, CAST(user_id AS VARCHAR) AS user_id, CAST(batch_id AS VARCHAR) AS batch_id, name, phone_number,

@@ -63,7 +63,8 @@ def _changes_inputs(t):
     removed = (M.trip_media(t.trips.where(~F.col("status")), t.media)
                .where(F.col("key").isNotNull()).select("key"))
     added = (M.trip_media(t.trips.where(F.col("status")), t.media).where(F.col("key").isNull())
-             .select("trip_id", "destination_name", F.lit("jpg").alias("ext"), F.lit(0).alias("size")))
+             .select("trip_id", "destination_name", F.lit("jpg").alias("ext"), F.lit(0).alias("size"),
+                     F.col("trip_id").alias("upload_id")))
     return removed, added
 
 
@@ -77,7 +78,7 @@ added AS (SELECT t.trip_id, t.destination_name, t.s FROM t WHERE t.status AND NO
 @register("media_changes_manifest", _CHANGES + """
 SELECT key, size, last_modified FROM media WHERE key NOT IN (SELECT key FROM removed)
 UNION ALL
-SELECT 'trips/' || s || '_' || substr(sha256(concat_ws('/', trip_id, destination_name, 'jpg', '0')), 1, 32)
+SELECT 'trips/' || s || '_' || substr(sha256(concat_ws('/', trip_id, trip_id)), 1, 32)
        || '.jpg' AS key, 0 AS size, CAST(NULL AS TIMESTAMP) AS last_modified FROM added""")
 def q_media_changes_manifest(spark, d):
     """Drop the images of inactive trips, add a first image to every

@@ -12,6 +12,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,9 @@ def with_group_count(df: DataFrame, keys: Sequence[str], name: str = "total_coun
     if not keys:
         total = df.select(F.count(F.lit(1)).alias(name))
         return df.select("*", total.scalar().alias(name))
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, on=list(keys), how="left")
+    counts = df.groupBy(*[F.col(k).alias(f"_w1_{k}") for k in keys]).agg(F.count(F.lit(1)).alias(name))
+    same = [df[k].eqNullSafe(counts[f"_w1_{k}"]) for k in keys]  # nulls are one group, as in a window
+    return df.join(counts, reduce(and_, same), "left").select(*[df[c] for c in df.columns], name)
 
 
 def top1_struct(*cols: str | Column) -> Column:

@@ -5,7 +5,7 @@ heart (enquiries, coupon attempts, booking requests). Each stream form gives
 the same result as its batch operator on the same rows:
 
 * T1 ``stream_leads``: append enquiries; a lead delivered twice (same id given
-  by the feed) is stored once within the watermark.
+  by the feed) is stored once, and none is too late to be stored.
 * T2 ``stream_coupon_status``: J9 as a stateless stream-static join.
 * T3 ``stream_admission``: M6 with the seats used per batch as state
   (``applyInPandasWithState``), seeded from existing bookings. Arrival order
@@ -44,18 +44,31 @@ def dedupe_leads(leads: DataFrame, key: str = "id") -> DataFrame:
     return leads.dropDuplicates([key])
 
 
-def stream_leads(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                 event_time: str = "event_ts", watermark: str = "1 hour", key: str = "id",
+def stream_leads(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, key: str = "id",
                  available_now: bool = True) -> StreamingQuery:
-    """Parquet files of enquiries under ``source`` -> leads table at ``sink``
-    (append). Duplicates of a delivered id within ``watermark`` are dropped;
-    enquiries with equal content but different ids both stay."""
-    s = (spark.readStream.schema(schema).parquet(source)
-         .withWatermark(event_time, watermark)
-         .dropDuplicatesWithinWatermark([key]))
-    w = s.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+    """Parquet files of enquiries under ``source`` -> leads log at ``sink``.
+    Each micro-batch stores the ids that no earlier one stored, whatever their
+    age, under ``sink/epoch=N``, so a replayed epoch writes the same rows again;
+    enquiries with equal content but different ids both stay. Only the id column
+    of the log is read back."""
+    kind = f"{key} {dict((f.name, f.dataType.simpleString()) for f in schema.fields)[key]}, epoch bigint"
+
+    def store(df: DataFrame, epoch: int) -> None:
+        root = sink.rstrip("/")
+        df.limit(0).write.mode("overwrite").parquet(f"{root}/epoch=-1")  # so that there is a log
+        known = spark.read.schema(kind).parquet(root).where(F.col("epoch") < epoch).select(key)
+        (dedupe_leads(df, key).join(known, key, "left_anti").select(*df.columns)
+         .write.mode("overwrite").parquet(f"{root}/epoch={epoch}"))
+
+    w = (spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(store)
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
-    return w.outputMode("append").start()
+    return w.start()
+
+
+def read_leads(spark: SparkSession, sink: str) -> DataFrame:
+    """The leads stored by T1."""
+    return spark.read.parquet(sink).drop("epoch")
 
 
 # ------------------------------------------------------------------ T2
@@ -66,13 +79,13 @@ def stream_coupon_status(attempts: DataFrame, coupons: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ T3
-_ADMIT_OUT = ("request_id string, batch_id string, seq string, travellers int, accepted boolean, "
-              "seats_after long")
+_ADMIT_OUT = ("request_id string, batch_id string, seq {seq}, travellers int, accepted boolean, "
+              "error_code string, seats_after long")
 _ADMIT_STATE = "used long"
 
 
 def _admit_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="stable")
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["seq", "request_id"], kind="stable")
     if state.exists:
         (used,) = state.get
     else:
@@ -87,22 +100,21 @@ def _admit_group(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
         after.append(used)
     state.update((used,))
     yield pd.DataFrame({"request_id": pdf["request_id"].astype(str), "batch_id": pdf["_b"].astype(str),
-                        "seq": pdf["seq"].astype(str), "travellers": pdf["n"].astype("int32"),
-                        "accepted": acc, "seats_after": after})
+                        "seq": pdf["seq"], "travellers": pdf["n"].astype("int32"), "accepted": acc,
+                        "error_code": [None if ok else "NO_CAPACITY" for ok in acc], "seats_after": after})
 
 
 def stream_admission(requests: DataFrame, batches: DataFrame, bookings: DataFrame | None) -> DataFrame:
     """Streaming M6. ``requests`` is a stream of (request_id, seq, batch_id,
-    travellers); batches / bookings are static. Requests for unknown batches
-    are dropped here (the batch operator reports them as BATCH_NOT_FOUND).
-    The state per batch is one number (seats used)."""
+    travellers); batches / bookings are static. Every request comes out, with
+    M6's error codes. The state per batch is one number (seats used); ``seq`` is
+    compared in the type given."""
     caps = batches.select(F.col("id").cast("string").alias("_cb"),
                           F.col("max_adventurers").cast("int").alias("cap"))
     r = requests.select(F.col("request_id").cast("string").alias("request_id"),
-                        F.col("seq").cast("string").alias("seq"),
-                        F.col("batch_id").cast("string").alias("_b"),
-                        F.col("travellers").cast("int").alias("n"))
-    r = r.join(caps, r["_b"] == caps["_cb"], "inner").drop("_cb")
+                        "seq", F.col("batch_id").cast("string").alias("_b"),
+                        F.col("travellers").try_cast("int").alias("n"))
+    r = r.join(caps, r["_b"] == caps["_cb"], "left").drop("_cb")
     if bookings is not None:
         used = (bookings.groupBy(F.col("batch_id").cast("string").alias("_ub"))
                 .agg(F.sum("travellers").cast("bigint").alias("used0")))
@@ -110,9 +122,15 @@ def stream_admission(requests: DataFrame, batches: DataFrame, bookings: DataFram
         r = r.withColumn("used0", F.coalesce("used0", F.lit(0).cast("bigint")))
     else:
         r = r.withColumn("used0", F.lit(0).cast("bigint"))
-    r = r.where(F.col("n") > 0)
-    return r.groupBy("_b").applyInPandasWithState(
-        _admit_group, _ADMIT_OUT, _ADMIT_STATE, "append", GroupStateTimeout.NoTimeout)
+    error = (F.when(F.col("cap").isNull(), "BATCH_NOT_FOUND")
+             .when(F.col("n").isNull() | (F.col("n") <= 0), "INVALID_TRAVELLERS"))
+    refused = r.where(error.isNotNull()).select(
+        "request_id", F.col("_b").alias("batch_id"), "seq", F.col("n").alias("travellers"),
+        F.lit(False).alias("accepted"), error.alias("error_code"), F.lit(None).cast("long").alias("seats_after"))
+    decided = r.where(error.isNull()).groupBy("_b").applyInPandasWithState(
+        _admit_group, _ADMIT_OUT.format(seq=dict(r.dtypes)["seq"]), _ADMIT_STATE, "append",
+        GroupStateTimeout.NoTimeout)
+    return decided.unionByName(refused)
 
 
 # ------------------------------------------------------------------ T4

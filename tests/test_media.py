@@ -56,14 +56,15 @@ def test_orphans_and_changes(spark):
     trips = spark.createDataFrame([("t1", "Spiti")], "id string, destination_name string")
     bookings = spark.createDataFrame([("k1",)], "id string")
     m = _manifest(spark, ["trips/spiti_1.jpg", "trips/gone_1.jpg", "k1.pdf", "k2.pdf",
-                          "itineraries/spiti_itinerary.pdf", "weird"])
+                          "itineraries/spiti_itinerary.pdf", "weird", "banners/sale"])
     orphans = rows(M.orphan_media(trips, bookings, m), "key")
     assert orphans == [("k2.pdf",), ("trips/gone_1.jpg",), ("weird",)]
-    added = spark.createDataFrame([("t1", "Spiti", "png", 5), ("t1", "Spiti", "jpg", 6)],
-                                  "trip_id string, destination_name string, ext string, size long")
+    added = spark.createDataFrame([("t1", "Spiti", "jpg", 6, "u1"), ("t1", "Spiti", "jpg", 6, "u2")],
+                                  "trip_id string, destination_name string, ext string, size long, upload_id string")
     removed = spark.createDataFrame([("trips/spiti_1.jpg",)], "key string")
     new, counts = M.media_changes(m, removed, added)
     keys = [r["key"] for r in new.collect()]
+    assert len(set(keys)) == len(keys)  # two uploads alike in all but their id
     assert "trips/spiti_1.jpg" not in keys and sum(k.startswith("trips/spiti_") for k in keys) == 2
     assert rows(counts) == [("t1", 2)]
     totals = spark.createDataFrame([("t1", 9)], "trip_id string, total_image_count int")
