@@ -9,7 +9,8 @@ exact maximum over its vectors. A centre's data is split into blocks of about
 or a crowded centre is spread over many tasks.
 
 1. Each query group searches one block of its own centre. The group's worst kth
-   score is from then on a lower bound.
+   score is from then on a lower bound (and each query's own kth score a bound
+   for what later searches hand on).
 2. A (query group, centre) pair is pruned if the largest inner product that the
    centres and radii allow, <q,p> + rq|p| + rp|q| + rq rp, is below that bound;
    the blocks of the other centres are searched, one task each.
@@ -85,13 +86,14 @@ def most(a: Node, b: Node) -> float:
 class Search:
     """Best k (score, id) of every query row."""
 
-    def __init__(self, q, q_ids, d, d_ids, k):
+    def __init__(self, q, q_ids, d, d_ids, k, low=-np.inf):
         self.q, self.q_ids, self.d, self.d_ids, self.k = q, q_ids, d, d_ids, k
+        self.low = np.broadcast_to(low, len(q))  # scores below have no use
         self.score = np.full((len(q), k), -np.inf)
         self.ids = np.full((len(q), k), np.iinfo(np.int64).max)
 
     def pair(self, a: Node, b: Node) -> None:
-        if most(a, b) < self.score[a.rows, -1].min():
+        if most(a, b) < np.maximum(self.score[a.rows, -1], self.low[a.rows]).min():
             return
         if not a.kids and not b.kids:
             self.leaves(a.rows, b.rows)
@@ -128,9 +130,10 @@ def _unit(k: int):
         if not len(queries) or not len(data):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in cols})
         q, d = _vectors(queries["query"]), _vectors(data["data"])
-        s = Search(q, queries["query_id"].to_numpy(), d, data["vec_id"].to_numpy(), k)
+        s = Search(q, queries["query_id"].to_numpy(), d, data["vec_id"].to_numpy(), k,
+                   queries["low"].to_numpy())
         s.pair(cover_tree(q, np.arange(len(q)), 0), cover_tree(d, np.arange(len(d)), 0))
-        hit = np.isfinite(s.score)
+        hit = np.isfinite(s.score) & (s.score >= s.low[:, None])
         at = np.nonzero(hit)[0]
         return pd.DataFrame({"gid": queries["gid"].iloc[0], "query_id": s.q_ids[at], "vec_id": s.ids[hit],
                              "score": s.score[hit].astype(np.int64)})[cols]
@@ -208,10 +211,10 @@ def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col:
     queries = filed.where(is_query).select(
         "vec_id", "v", "node", (F.col("node") * F.lit(1 << 32) + dealt(groups)).cast("long").alias("gid"))
 
-    def searched(pairs: DataFrame) -> DataFrame:
-        """pairs: (gid, node, block) to search, each in one task."""
-        q = queries.drop("node").join(pairs, "gid").select(
-            "gid", "node", "block", F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
+    def searched(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """asked: queries with ``low``; pairs: (gid, node, block) to search, each
+        in one task."""
+        q = asked.join(pairs, "gid").select("gid", "node", "block", "query_id", "query", "low")
         d = data.join(pairs, ["node", "block"]).select(
             *(F.col(c).alias(f"d_{c}") for c in ("gid", "node", "block")), F.col("vec_id").alias("vec_id"),
             F.col("v").alias("data"))
@@ -219,11 +222,14 @@ def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col:
             _unit(k), _FOUND)
 
     gids = queries.select("gid", "node").distinct()
-    first = scratch_table(searched(gids.withColumn("block", F.lit(0))), "topk-first")
-    kth = first.groupBy("gid", "query_id").agg(F.count("*").alias("n"), F.min("score").alias("low"))
-    kth = queries.select("gid", F.col("vec_id").alias("query_id"), "node").join(kth, ["gid", "query_id"], "left")
-    low = F.when(F.col("n") == k, F.col("low").cast("double")).otherwise(F.lit(float("-inf")))
-    worst = kth.groupBy("gid", "node").agg(F.min(low).alias("worst"))
+    asked = queries.select("gid", F.col("vec_id").alias("query_id"), F.col("v").alias("query"))
+    none = F.lit(float("-inf"))
+    first = scratch_table(searched(asked.withColumn("low", none), gids.withColumn("block", F.lit(0))), "topk-first")
+    kth = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    low = F.when(F.col("n") == k, F.col("kth").cast("double")).otherwise(none)
+    bounds = scratch_table(queries.select("gid", "node", "vec_id").join(kth, "vec_id", "left")
+                           .select("gid", "node", F.col("vec_id").alias("query_id"), low.alias("low")), "topk-bounds")
+    worst = bounds.groupBy("gid", "node").agg(F.min("low").alias("worst"))
 
     # the largest product each pair of centres allows: PIVOTS x PIVOTS numbers
     norm = np.sqrt((centers ** 2).sum(axis=1))
@@ -240,7 +246,8 @@ def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col:
         .select("gid", "own", F.col("o.node").alias("node"), F.explode(F.sequence(F.lit(0), F.col("o.blocks") - 1))
                 .alias("block"))
         .where((F.col("own") != F.col("node")) | (F.col("block") != 0)).drop("own"))
-    found = first.unionByName(searched(pairs))
+    rest = asked.join(bounds.select("query_id", "low"), "query_id")
+    found = first.unionByName(searched(rest, pairs))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

@@ -34,9 +34,10 @@ def _pref(df: DataFrame, p: str) -> DataFrame:
 
 # ------------------------------------------------------------------ J1, J2
 def _booking_batch_trip(bookings: DataFrame, batches: DataFrame, trips: DataFrame) -> DataFrame:
+    # the two dimensions first, so that the fact is shuffled once, on its own key
     ba, t = _pref(batches, "ba_"), _pref(trips, "t_")
-    j = bookings.join(ba, bookings["batch_id"] == ba["ba_id"], "left")
-    return j.join(t, j["ba_trip_id"] == t["t_id"], "left")
+    dims = ba.join(t, ba["ba_trip_id"] == t["t_id"], "left")
+    return bookings.join(dims, bookings["batch_id"] == dims["ba_id"], "left")
 
 
 def booking_detail_flat(bookings: DataFrame, batches: DataFrame, trips: DataFrame,
@@ -85,14 +86,14 @@ def admin_bookings(bookings: DataFrame, users: DataFrame, batches: DataFrame,
                      F.col("email").alias("user_email"))
     ba = batches.select(F.col("id").alias("_ba_id"), "batch_name", "from_date", "to_date",
                         F.col("trip_id").alias("_ba_trip_id"))
-    j = (bookings.select(*BOOKING_COLS)
-         .join(u, F.col("user_id") == F.col("_u_id"), "left")
-         .join(ba, F.col("batch_id") == F.col("_ba_id"), "left"))
     cols = BOOKING_COLS + ["user_name", "user_email", "batch_name", "from_date", "to_date"]
-    if trips is not None:
+    if trips is not None:  # batch and trip first: the fact is not shuffled for the trip
         t = trips.select(F.col("id").alias("_t_id"), "destination_name")
-        j = j.join(t, F.col("_ba_trip_id") == F.col("_t_id"), "left")
+        ba = ba.join(t, F.col("_ba_trip_id") == F.col("_t_id"), "left")
         cols.append("destination_name")
+    j = (bookings.select(*BOOKING_COLS)
+         .join(u, F.col("user_id") == F.col("_u_id"), "left")
+         .join(ba, F.col("batch_id") == F.col("_ba_id"), "left"))
     out = j.select(*cols)
     return out.orderBy(F.col("id").desc_nulls_first()) if ordered else out
 
@@ -179,15 +180,26 @@ def user_trips(users: DataFrame, bookings: DataFrame, batches: DataFrame, trips:
     aggregate, so a user with very many bookings is reduced map-side."""
     ba = batches.select(F.col("id").alias("_ba_id"), F.col("trip_id").alias("_ba_trip"))
     t = trips.select(F.col("id").alias("_t_id"), "destination_name")
-    pairs = (bookings.select("user_id", "batch_id")
-             .join(ba, F.col("batch_id") == F.col("_ba_id"))
-             .join(t, F.col("_ba_trip") == F.col("_t_id"))
-             .where(F.col("destination_name").isNotNull())
+    # batches with their destination, and each (user, batch) once, before they meet
+    places = (ba.join(t, F.col("_ba_trip") == F.col("_t_id")).where(F.col("destination_name").isNotNull())
+              .select("_ba_id", "destination_name"))
+    pairs = (bookings.select("user_id", "batch_id").distinct()
+             .join(places, F.col("batch_id") == F.col("_ba_id"))
              .select(F.col("user_id").alias("_uid"), "destination_name").distinct())
     j = users.select("id", "name").join(pairs, F.col("id") == F.col("_uid"), "left")
     return j.select(F.col("id").alias("user_id"), "name", "destination_name")
 
 
+def users_with_trips(users_page: DataFrame, bookings: DataFrame, batches: DataFrame, trips: DataFrame) -> DataFrame:
+    """The admin user list as served: a page of users, each with the sorted
+    distinct destinations of their bookings. Only the page's bookings are read on."""
+    mine = bookings.join(users_page.select(F.col("id").alias("_page")), F.col("user_id") == F.col("_page"), "left_semi")
+    nested = nest_user_trips(user_trips(users_page, mine, batches, trips))
+    nested = nested.select(F.col("user_id").alias("_uid"), "trips")
+    j = users_page.join(nested, users_page["id"] == nested["_uid"], "left")
+    return j.select(*[users_page[c] for c in users_page.columns], "trips")
+
+
 def nest_user_trips(long: DataFrame) -> DataFrame:
     """A5 nested form: ``trips`` = sorted distinct destination names, ``[]`` when none."""
     return (long.groupBy("user_id", "name")

@@ -184,26 +184,41 @@ def legacy_cheapest_by_destination(df: DataFrame, dest: str = "destination_name"
 
 
 # ------------------------------------------------------------------ W2
+def _batch_totals(up: DataFrame, size: int) -> DataFrame:
+    return (up.groupBy(F.col("trip_id").alias("_t")).agg(F.count(F.lit(1)).alias("totalBatches"))
+            .withColumn("totalPages", F.ceil(F.col("totalBatches") / F.lit(size)).cast("bigint")))
+
+
+def trip_batch_totals(trips: DataFrame, batches: DataFrame, as_of: int, month: int | None = None,
+                      size: int = TRIP_BATCH_PAGE_SIZE) -> DataFrame:
+    """W2 totals of every trip, also where a page is empty: trip_id,
+    totalBatches, totalPages."""
+    up = batches_in_month(batches, as_of, month) if month else upcoming_batches(batches, as_of)
+    t = _batch_totals(up, size)
+    j = trips.select(F.col("id").alias("trip_id")).join(t, F.col("trip_id") == F.col("_t"), "left")
+    return j.select("trip_id", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+                                 for c in ("totalBatches", "totalPages")])
+
+
 def trip_batch_pages(batches: DataFrame, bookings: DataFrame, as_of: int, month: int | None = None,
                      page=1, size: int = TRIP_BATCH_PAGE_SIZE) -> DataFrame:
     """For every trip the ``page`` of its upcoming batches ordered by price,
     from_date (then id), with total_bookings (travellers booked), totalBatches
     and totalPages. The row number is bounded by the page end, so Spark plans a
     partial WindowGroupLimit before the shuffle (at most page*size rows per
-    trip and map task). The reference reports a total of 0 for a page past the
-    end when a month is given; here the true total is always reported."""
+    trip and map task). A trip whose page is empty has no row; its totals are in
+    ``trip_batch_totals``. The reference reports a total of 0 for a page past the
+    end when a month is given; here totals are always the true ones."""
     p = int(page) if str(page).strip().lstrip("+").isdigit() else None
     if p is None or p < 1:
         raise ValueError(f"page must be a positive integer, got {page!r}")
     up = batches_in_month(batches, as_of, month) if month else upcoming_batches(batches, as_of)
-    w = Window.partitionBy("trip_id").orderBy(F.col("price").asc(), F.col("from_date").asc(),
-                                              F.col("id").asc())
+    w = Window.partitionBy("trip_id").orderBy(
+        F.col("price").asc_nulls_last(), F.col("from_date").asc_nulls_last(), F.col("id").asc_nulls_last())
     lo, hi = (p - 1) * size, p * size
     ranked = up.withColumn("position", F.row_number().over(w))
     rows = ranked.where((F.col("position") <= hi) & (F.col("position") > lo))
-    totals = (up.groupBy(F.col("trip_id").alias("_t"))
-              .agg(F.count(F.lit(1)).alias("totalBatches"))
-              .withColumn("totalPages", F.ceil(F.col("totalBatches") / F.lit(size)).cast("bigint")))
+    totals = _batch_totals(up, size)
     occ = booked_travellers(bookings)
     out = (rows.join(occ, rows["id"] == occ["_batch_id"], "left")
            .join(totals, rows["trip_id"] == totals["_t"], "left"))

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caravan.operators.admission import admit_bookings
+from caravan.operators.media import media_owner
 from caravan.session import cut_lineage
 from caravan.functions.columns import (is_email, json_text_ok, is_phone10, is_role, js_parse_float, js_parse_int,
                                        looks_like_json, norm_code, norm_role, to_money)
@@ -527,7 +528,10 @@ def _restricted_delete(table: DataFrame, refs: DataFrame, ref_col: str,
                        ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     req = ids.select("request_id", F.col("id").cast("string").alias("_rid"))
     known = table.select(F.col("id").cast("string").alias("_kid"))
-    used = refs.select(F.col(ref_col).cast("string").alias("_uid")).distinct().withColumn("_used", F.lit(True))
+    # only references to requested ids: the few ids go to the many references
+    asked = req.select("_rid").distinct()
+    used = refs.select(F.col(ref_col).cast("string").alias("_uid")).join(
+        asked, F.col("_uid") == F.col("_rid"), "left_semi").distinct().withColumn("_used", F.lit(True))
     oc = (req.join(known, req["_rid"] == known["_kid"], "left")
           .join(used, F.col("_rid") == F.col("_uid"), "left"))
     err = first_error([(F.col("_kid").isNull(), "NOT_FOUND"), (F.col("_used").isNotNull(), "HAS_BOOKINGS")])
@@ -560,3 +564,16 @@ def delete_rows(table: DataFrame, ids: DataFrame, report_missing: bool = True) -
     g = _ids(ids)
     new = table.join(g, table["id"].cast("string") == g["_del"], "left_anti")
     return new, outcome(oc)
+
+
+def delete_bookings(bookings: DataFrame, manifest: DataFrame,
+                    ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """M13 for bookings: the rows go and with them their files ``{id}.*``.
+    Returns (bookings, manifest, outcome)."""
+    new, out = delete_rows(bookings, ids)
+    kind, owner = media_owner(F.col("key"))
+    m = manifest.select("*", kind.alias("_kind"), owner.alias("_owner"))
+    gone = bookings.select(F.col("id").cast("string").alias("_bk")).join(
+        _ids(ids), F.col("_bk") == F.col("_del"), "left_semi")
+    files = m.join(gone, (F.col("_kind") == "booking") & (F.col("_owner") == F.col("_bk")), "left_anti")
+    return new, files.drop("_kind", "_owner"), out

@@ -44,6 +44,17 @@ def q_booking_detail_nested(spark, d):
                     *[F.col(f"batch.trip.{c}").alias(f"batch__trip__{c}") for c in tr_fields])
 
 
+@register("booking_detail_list", duck_with("bookings", "batches", "trips") + f"""
+SELECT {_BK}, ba.id AS batch_id, ba.id AS batch__id, t.id AS batch__trip__id,
+       t.destination_name AS batch__trip__destination_name {_JOIN3}""")
+def q_booking_detail_list(spark, d):
+    """J2 list form: batch_id is the joined batch's."""
+    t = Tables(spark, d)
+    n = B.booking_detail_nested(t.bookings, t.batches, t.trips)
+    return n.select(*B.BOOKING_COLS, F.col("batch.id").alias("batch__id"), F.col("batch.trip.id").alias("batch__trip__id"),
+                    F.col("batch.trip.destination_name").alias("batch__trip__destination_name"))
+
+
 _J3_COLS = ", ".join(f"b.{c}" for c in B.BOOKING_COLS)
 
 

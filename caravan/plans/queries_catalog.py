@@ -160,6 +160,22 @@ def q_with_total(spark, d):
     return with_group_count(C.upcoming_batches(Tables(spark, d).batches, AS_OF), ["trip_id"])
 
 
+@register("upcoming_with_grand_total", duck_with("batches") + f"""
+SELECT *, count(*) OVER () AS total_count FROM batches WHERE status AND from_date > {AS_OF}""")
+def q_with_grand_total(spark, d):
+    """W1 without keys: the total of all rows next to every row."""
+    return with_group_count(C.upcoming_batches(Tables(spark, d).batches, AS_OF), [])
+
+
+@register("trip_batch_totals", duck_with("trips", "batches") + f"""
+SELECT t.id AS trip_id, count(b.id) AS "totalBatches", CAST(ceil(count(b.id) / 4) AS BIGINT) AS "totalPages"
+FROM trips t LEFT JOIN batches b ON b.trip_id = t.id AND b.status AND b.from_date > {AS_OF} GROUP BY t.id""")
+def q_trip_batch_totals(spark, d):
+    """W2 totals of every trip."""
+    t = Tables(spark, d)
+    return C.trip_batch_totals(t.trips, t.batches, AS_OF)
+
+
 def _pages_sql(page: int, month: int | None) -> str:
     month_cond = f" AND month(make_timestamp(from_date * 1000000)) = {month}" if month else ""
     lo, hi = (page - 1) * 4, page * 4

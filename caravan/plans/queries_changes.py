@@ -620,3 +620,42 @@ SELECT * FROM leads WHERE id NOT IN (SELECT event_id FROM events WHERE value < 1
 def q_delete_leads_table(spark, d):
     t = Tables(spark, d)
     return CH.delete_rows(t.leads, _low_value_events(spark, d), report_missing=False)[0]
+
+
+# ------------------------------------------------------------------ M13 bookings
+# Requests: the bookings of up to 4 travellers, every third id unknown. Files: one
+# invoice per booking beside the trips' media.
+_BOOKING_DEL = duck_with("bookings", "media") + """
+, req AS (SELECT id AS request_id, CASE WHEN travellers = 3 THEN concat(id, 'x') ELSE id END AS id
+          FROM bookings WHERE travellers <= 4),
+files AS (SELECT key, size, last_modified FROM media
+          UNION ALL SELECT concat(id, '.pdf'), 1, CAST(NULL AS TIMESTAMP) FROM bookings),
+d AS (SELECT request_id, CASE WHEN id NOT IN (SELECT id FROM bookings) THEN 'NOT_FOUND' END AS error_code FROM req)
+"""
+
+
+def _booking_deletes(spark, d):
+    t = Tables(spark, d)
+    small = t.bookings.where(F.col("travellers") <= 4)
+    ids = small.select(F.col("id").alias("request_id"),
+                       F.when(F.col("travellers") == 3, F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("id"))
+    invoices = t.bookings.select(F.concat("id", F.lit(".pdf")).alias("key"), F.lit(1).cast("bigint").alias("size"),
+                                 F.lit(None).cast(t.media.schema["last_modified"].dataType).alias("last_modified"))
+    return CH.delete_bookings(t.bookings, t.media.unionByName(invoices), ids)
+
+
+@register("delete_bookings_table", _BOOKING_DEL + "SELECT * FROM bookings WHERE id NOT IN (SELECT id FROM req)")
+def q_delete_bookings_table(spark, d):
+    return _booking_deletes(spark, d)[0]
+
+
+@register("delete_bookings_files", _BOOKING_DEL + """
+SELECT * FROM files WHERE key NOT IN (SELECT concat(id, '.pdf') FROM req)""")
+def q_delete_bookings_files(spark, d):
+    """The manifest without the deleted bookings' files."""
+    return _booking_deletes(spark, d)[1]
+
+
+@register("delete_bookings_outcome", _BOOKING_DEL + _OUTCOME)
+def q_delete_bookings_outcome(spark, d):
+    return _booking_deletes(spark, d)[2]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caravan.operators import bookings as B
 from caravan.operators import paging as PG
 from caravan.plans.registry import register
+from caravan.session import cut_lineage
 from caravan.sources import constraints as CS
 from caravan.sources import tables as ST
 from caravan.testdata import Tables, duck_with
@@ -131,11 +133,39 @@ def q_list_leads(spark, d):
     return PG.list_leads(Tables(spark, d).leads)
 
 
-@register("users_page_with_trips", duck_with("users") + """
-SELECT id, name, email, phone_number, created_at, role FROM users
-ORDER BY created_at DESC, id LIMIT 20 OFFSET 20""")
+@register("users_page_with_trips", duck_with("users", "bookings", "batches", "trips") + """
+, page AS (SELECT id, name, email, phone_number, created_at, role FROM users
+           ORDER BY created_at DESC, id LIMIT 20 OFFSET 20)
+SELECT p.*, coalesce((SELECT string_agg(DISTINCT t.destination_name, '|' ORDER BY t.destination_name)
+                      FROM bookings b JOIN batches ba ON ba.id = b.batch_id JOIN trips t ON t.id = ba.trip_id
+                      WHERE b.user_id = p.id), '') AS trips
+FROM page p""")
 def q_users_page(spark, d):
-    """O1 + O2: second page of users, newest first (A5 gives their trips)."""
-    u = Tables(spark, d).users.select("id", "name", "email", "phone_number", "created_at", "role")
+    """O1 + A5: second page of users, newest first, with their trips (joined by |)."""
+    t = Tables(spark, d)
+    u = t.users.select("id", "name", "email", "phone_number", "created_at", "role")
     rows, _ = PG.page(u, PG.sort_keys("users"), 2, 20)
-    return rows
+    out = B.users_with_trips(rows, t.bookings, t.batches, t.trips)
+    return out.withColumn("trips", F.array_join("trips", "|"))
+
+
+@register("batches_page_with_roster", duck_with("users", "bookings", "batches", "trips") + """
+, page AS (SELECT * FROM batches ORDER BY created_at DESC, id LIMIT 20 OFFSET 0)
+SELECT p.id, t.destination_name, p.total_count, string_agg(CASE WHEN b.id IS NOT NULL THEN coalesce(u.name, '-') END, '|' ORDER BY b.id) AS users,
+       string_agg(CAST(b.travellers AS VARCHAR), '|' ORDER BY b.id) AS travellers
+FROM (SELECT page.*, (SELECT count(*) FROM bookings b2 WHERE b2.batch_id = page.id) AS total_count FROM page) p
+LEFT JOIN trips t ON t.id = p.trip_id LEFT JOIN bookings b ON b.batch_id = p.id LEFT JOIN users u ON u.id = b.user_id
+GROUP BY p.id, t.destination_name, p.total_count""")
+def q_batches_page(spark, d):
+    """O1 + A4: first page of batches, newest first, with names and travellers of
+    their bookings (joined by |)."""
+    t = Tables(spark, d)
+    rows, _ = PG.page(t.batches, [F.col("created_at").desc_nulls_first(), F.col("id").asc_nulls_last()], 1, 20)
+    rows = cut_lineage(rows)
+    mine = t.bookings.join(rows.select(F.col("id").alias("_p")), F.col("batch_id") == F.col("_p"), "left_semi")
+    out = B.nest_roster(B.batch_roster(rows, t.trips, mine), B.batch_roster_entries(rows, mine, t.users))
+
+    def shown(c):
+        return F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), "|"))
+    return out.select("id", "destination_name", F.col("booking_count").alias("total_count"),
+                      shown("users").alias("users"), shown("travellers").alias("travellers"))

@@ -1,8 +1,9 @@
 """Constraint report over the domain tables.
 
-Per table one grouped pass (by primary key, partial aggregation) counts the
-NOT NULL violations of every required column (``count_if``) and the duplicate
-keys; orphan foreign keys come from an anti join against the parent keys. Output rows: (table, constraint, kind, violations)."""
+Per table a flat aggregate counts the NOT NULL violations of every required
+column (``count_if``), a grouped one over the key column the duplicate keys;
+orphan foreign keys come from an anti join against the parent keys. Output rows:
+(table, constraint, kind, violations)."""
 
 from __future__ import annotations
 
@@ -13,20 +14,14 @@ from caravan import schemas
 
 
 def _table_pass(name: str, df: DataFrame, req: list[str], pk: str | None) -> DataFrame:
-    """NOT NULL counts of ``req`` and duplicate primary keys in one grouped
-    pass: partial aggregate by key (a hot key is reduced map-side), then one
-    global sum. Rows with a null key form one group and count as such."""
-    others = [c for c in req if c != pk]
+    """NOT NULL counts of ``req`` as one flat aggregate (nothing is shuffled but
+    a row per task), duplicate primary keys as counts per key of the key column
+    alone (partial, so a hot key is reduced map-side)."""
+    wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in req], F.lit(None).alias("_none"))
     if pk:
-        per_key = df.groupBy(pk).agg(F.count(F.lit(1)).alias("_n"),
-                                     *[F.count_if(F.col(c).isNull()).alias(c) for c in others])
-        sums = [F.sum(F.when(F.col(pk).isNotNull() & (F.col("_n") > 1), F.col("_n") - 1).otherwise(0))
-                .alias("_dup")]
-        if pk in req:
-            sums.append(F.sum(F.when(F.col(pk).isNull(), F.col("_n")).otherwise(0)).alias(pk))
-        wide = per_key.agg(*sums, *[F.sum(c).alias(c) for c in others])
-    else:
-        wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in req])
+        per_key = df.where(F.col(pk).isNotNull()).groupBy(pk).agg(F.count(F.lit(1)).alias("_n"))
+        # one row on either side
+        wide = wide.join(per_key.agg(F.sum(F.col("_n") - 1).alias("_dup")))
     items = [(f"{c} NOT NULL", "not_null", f"CAST(coalesce(`{c}`, 0) AS BIGINT)") for c in req]
     if pk:
         items.append((f"{pk} PRIMARY KEY", "duplicate_key", "CAST(coalesce(`_dup`, 0) AS BIGINT)"))
