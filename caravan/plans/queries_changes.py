@@ -292,7 +292,7 @@ def _numeric_requests_sql(*views: str) -> str:
 caps AS (SELECT CAST(id AS VARCHAR) AS b, max_adventurers AS cap FROM batches)"""
 
 
-def _numeric_requests(t: Tables):
+def numeric_requests(t: Tables):
     part = F.split_part("request_id", F.lit("-"), F.lit(3)).cast("long")
     line = F.split_part("request_id", F.lit("-"), F.lit(2)).cast("long")
     return t.booking_requests.withColumn("seq", line * 10 + part % 10)
@@ -336,7 +336,7 @@ def q_admit_numeric(spark, d):
     """M6 with numeric arrival numbers, starting from batches a third full."""
     t = Tables(spark, d)
     taken = t.bookings.groupBy("batch_id").agg((F.sum("travellers") / 3).cast("bigint").alias("travellers"))
-    req = _numeric_requests(t).select("request_id", "seq", F.col("batch_ref").alias("batch_id"),
+    req = numeric_requests(t).select("request_id", "seq", F.col("batch_ref").alias("batch_id"),
                                       F.col("travellers").cast("int").alias("travellers"))
     return AD.admit_bookings(t.batches, taken, req)
 
@@ -359,7 +359,7 @@ d AS (SELECT v.*, coalesce(v.code, CASE WHEN NOT f.accepted THEN 'NO_CAPACITY' E
 def q_book_outcome(spark, d):
     """M5, M6 and the insert in one, on top of the existing bookings: the outcome."""
     t = Tables(spark, d)
-    return CH.book_requests(t.bookings, _numeric_requests(t), t.users, t.batches)[1]
+    return CH.book_requests(t.bookings, numeric_requests(t), t.users, t.batches)[1]
 
 
 @register("book_requests_table", _booked_sql() + f"""
@@ -374,7 +374,7 @@ FROM d WHERE error_code IS NULL""")
 def q_book_table(spark, d):
     """M5, M6 and the insert in one: the new bookings table."""
     t = Tables(spark, d)
-    return CH.book_requests(t.bookings, _numeric_requests(t), t.users, t.batches)[0]
+    return CH.book_requests(t.bookings, numeric_requests(t), t.users, t.batches)[0]
 
 
 # ------------------------------------------------------------------ M7

@@ -33,6 +33,7 @@ def _load_all() -> None:
     from caravan.plans import queries_changes  # noqa: F401
     from caravan.plans import queries_functions  # noqa: F401
     from caravan.plans import queries_sources  # noqa: F401
+    from caravan.plans import queries_streams  # noqa: F401
 
 
 def queries() -> dict[str, QueryFn]:

@@ -57,8 +57,8 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet", load_id: str | N
     own ``load_id=...`` partition (partition pruning reads only it back)."""
     load_id = load_id or uuid.uuid4().hex
     df.withColumn("load_id", F.lit(load_id)).write.mode("append").partitionBy("load_id").format(fmt).save(path)
-    spark = df.sparkSession
-    return spark.read.format(fmt).load(path).where(F.col("load_id") == load_id).drop("load_id")
+    stored = T.StructType([*df.schema.fields, T.StructField("load_id", T.StringType())])  # the types as written
+    return df.sparkSession.read.schema(stored).format(fmt).load(path).where(F.col("load_id") == load_id).drop("load_id")
 
 
 def write_snapshot(df: DataFrame, root: str, snapshot: str | None = None, fmt: str = "parquet") -> str:
