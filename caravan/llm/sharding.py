@@ -59,8 +59,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
     totals = placed.groupBy("part").agg(F.sum("size").alias("part_bytes"), F.count("*").alias("part_rows"))
     offsets = starts(totals, "part", {"bytes_start": "part_bytes", "rows_start": "part_rows"})
     total = totals.agg(F.sum("part_bytes").alias("all_bytes"))
-    # both sides are bounded: one row per range partition, one row in all
-    located = placed.join(F.broadcast(offsets.crossJoin(F.broadcast(total))), "part").select(
+    # one row per range partition
+    offsets = offsets.select("*", total.scalar().alias("all_bytes"))
+    located = placed.join(F.broadcast(offsets), "part").select(
         "doc_id", "size", "text_crc32",
         (F.col("rows_start") + F.col("row")).alias("place"),
         F.expr(f"cast(least({n_shards - 1}, (2 * (bytes_start + bytes_before) + size) * {n_shards} "

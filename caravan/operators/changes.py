@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravan.operators.admission import admit_bookings
@@ -412,6 +412,57 @@ def _convert(c: str, how: str) -> Column:
     return col.cast("string")
 
 
+def _refused_names(trips: DataFrame, named: DataFrame) -> DataFrame:
+    """Name patches (request_id, seq, _cid, name) that another trip's name stands
+    against when their turn comes, decided as if one after the other.
+
+    Each round knows which patches are accepted (A) or still open (U). A trip
+    holds a name for sure from the patch that gave it until its next patch, and
+    perhaps until its next accepted one. Running counts over a name's events (all
+    trips, and the patched trip itself) tell each open patch whether another trip
+    holds the name for sure (refused), or not at all (accepted). The open patch
+    with the smallest seq is always decided, and all that do not wait for another;
+    rounds are as many as the longest chain of patches that wait for each other."""
+    seq = dict(named.dtypes)["seq"]
+    todo = cut_lineage(named.select("request_id", "seq", F.col("_cid").alias("trip"), "name",
+                                    F.lit("U").alias("state")))
+    stored = trips.select(F.lit(None).cast(todo.schema["request_id"].dataType).alias("request_id"),
+                          F.lit(None).cast(seq).alias("seq"), F.col("id").cast("string").alias("trip"),
+                          F.col("destination_name").alias("name"), F.lit("A").alias("state"))
+    while not todo.where("state = 'U'").isEmpty():
+        later = (Window.partitionBy("trip").orderBy(F.col("seq").asc_nulls_first())
+                 .rowsBetween(1, Window.unboundedFollowing))
+        kept = stored.unionByName(todo.where("state <> 'R'"))
+        held = kept.select("*", F.min("seq").over(later).alias("next"),
+                           F.min(F.when(F.col("state") == "A", F.col("seq"))).over(later).alias("next_sure"))
+        held = held.where(F.col("name").isNotNull())
+        sure = F.col("state") == "A"
+        gone = F.col("at").isNotNull()  # the name is never given up without a next patch
+
+        def events(at, d_sure, d_may):
+            return held.select("trip", "name", at.alias("at"), F.lit(1).alias("turn"), d_sure.alias("sure"),
+                               d_may.alias("may"), F.lit(None).cast("string").alias("state"),
+                               F.lit(None).cast(seq).alias("seq"), F.lit(None).cast(stored.schema["request_id"].dataType)
+                               .alias("request_id"))
+        zero, one = F.lit(0), F.lit(1)
+        asked = todo.where("state = 'U'").select("trip", "name", F.col("seq").alias("at"), F.lit(0).alias("turn"),
+                                                 zero.alias("sure"), zero.alias("may"), "state", "seq", "request_id")
+        line = (asked.unionByName(events(F.col("seq"), F.when(sure, 1).otherwise(0), one))
+                .unionByName(events(F.col("next"), F.when(sure, -1).otherwise(0), zero).where(gone))
+                .unionByName(events(F.col("next_sure"), zero, F.lit(-1)).where(gone)))
+        order = [F.col("at").asc_nulls_first(), F.col("turn")]
+        every = Window.partitionBy("name").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        own = Window.partitionBy("name", "trip").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        seen = line.select("*", F.sum("sure").over(every).alias("all_sure"), F.sum("may").over(every).alias("all_may"),
+                           F.sum("sure").over(own).alias("own_sure"), F.sum("may").over(own).alias("own_may"))
+        others_sure, others_may = F.col("all_sure") - F.col("own_sure"), F.col("all_may") - F.col("own_may")
+        verdict = (F.when((F.col("own_sure") > 0) | (others_may == 0), "A")
+                   .when((F.col("own_may") == 0) & (others_sure > 0), "R").otherwise("U"))
+        decided = seen.where("turn = 0").select("request_id", "seq", "trip", "name", verdict.alias("state"))
+        todo = cut_lineage(todo.where("state <> 'U'").unionByName(decided))
+    return todo.where("state = 'R'").select("request_id", "seq")
+
+
 def apply_patches(table: DataFrame, patches: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     """M8: partial updates. ``set_fields`` (array of request field names) tells
     "given" from "given as null"; only given fields change (user_profile sets
@@ -423,9 +474,10 @@ def apply_patches(table: DataFrame, patches: DataFrame, kind: str) -> tuple[Data
     * user_role: ROLE_REQUIRED, INVALID_ROLE, NOT_FOUND
     * user_profile: NOT_FOUND
 
-    Name uniqueness is checked against the table before the run. Accepted
-    patches of one id are applied in seq order: per field the last given value
-    wins.
+    Patches are decided one after the other in ``seq`` order (``seq`` is unique in
+    a run): a name taken by an earlier accepted patch is held, one given up by an
+    earlier rename is free. Accepted patches of one id are applied in that order:
+    per field the last given value wins.
 
     patches: request_id, seq, id, set_fields, one text column per request field."""
     spec = PATCH_SPECS[kind]
@@ -446,13 +498,11 @@ def apply_patches(table: DataFrame, patches: DataFrame, kind: str) -> tuple[Data
         patches = patches.withColumn("name", F.lit(None).cast("string"))
         p = p.withColumn("name", F.lit(None).cast("string"))
     if kind == "trips":
-        names = table.select(F.col("destination_name").alias("_n"), F.col("id").cast("string").alias("_nid"))
-        other = (p.join(names, (p["name"] == names["_n"]) & (p["_cid"] != names["_nid"]), "left_semi")
-                 .select("request_id").withColumn("_taken", F.lit(True)))
-        p = p.join(other, "request_id", "left")
-        rules = [not_found,
-                 (given.get("name", never) & (F.col("name") != F.col("_cur_name")) & F.col("_taken").isNotNull(),
-                  "DUPLICATE_NAME"), no_fields]
+        named = p.where(given.get("name", never) & F.col("_cid").isNotNull() & F.col("name").isNotNull())
+        refused = _refused_names(table, named).select(F.col("request_id").alias("_rr"), F.col("seq").alias("_rs"),
+                                                      F.lit(True).alias("_taken"))
+        p = p.join(refused, (p["request_id"] == refused["_rr"]) & (p["seq"] == refused["_rs"]), "left")
+        rules = [not_found, (F.col("_taken").isNotNull(), "DUPLICATE_NAME"), no_fields]
     elif kind == "batches":
         rules = [not_found, no_fields]
         if "startDate" in spec and "endDate" in spec:  # the dates rule needs both given

@@ -403,12 +403,22 @@ def q_direct(spark, d):
 
 
 # ------------------------------------------------------------------ M8
-_TRIP_PATCH_D = duck_with("trips", "trip_patches") + """
-, p AS (SELECT tp.*, t.id AS cid, t.destination_name AS cur_name FROM trip_patches tp LEFT JOIN trips t ON t.id = tp.id),
-d AS (SELECT p.*, CASE WHEN cid IS NULL THEN 'NOT_FOUND'
-        WHEN list_contains(set_fields, 'name') AND name <> cur_name
-             AND EXISTS (SELECT 1 FROM trips t2 WHERE t2.destination_name = p.name AND t2.id <> p.cid)
-          THEN 'DUPLICATE_NAME'
+# the name patches one after the other, the trips' names as a map
+_TRIP_PATCH_D = duck_with("trips", "trip_patches").replace("WITH ", "WITH RECURSIVE ", 1) + """
+, np AS (SELECT tp.request_id, tp.id, tp.name, row_number() OVER (ORDER BY tp.seq) AS k
+         FROM trip_patches tp JOIN trips t ON t.id = tp.id WHERE list_contains(set_fields, 'name')),
+names AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS request_id, true AS ok,
+         map(list(id ORDER BY id), list(destination_name ORDER BY id)) AS m FROM trips
+  UNION ALL
+  SELECT k, request_id, ok, CASE WHEN ok THEN map_concat(m, MAP {id: name}) ELSE m END
+  FROM (SELECT np.k, np.request_id, np.id, np.name, n.m,
+               n.m[np.id] = np.name
+               OR len([e for e in map_entries(n.m) if e.value = np.name AND e.key <> np.id]) = 0 AS ok
+        FROM names n JOIN np ON np.k = n.k + 1)),
+p AS (SELECT tp.*, t.id AS cid, n.ok FROM trip_patches tp LEFT JOIN trips t ON t.id = tp.id
+      LEFT JOIN names n ON n.request_id = tp.request_id),
+d AS (SELECT p.*, CASE WHEN cid IS NULL THEN 'NOT_FOUND' WHEN NOT coalesce(ok, true) THEN 'DUPLICATE_NAME'
         WHEN len(set_fields) = 0 THEN 'NO_FIELDS' END AS error_code FROM p)
 """
 

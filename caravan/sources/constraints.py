@@ -20,8 +20,7 @@ def _table_pass(name: str, df: DataFrame, req: list[str], pk: str | None) -> Dat
     wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in req], F.lit(None).alias("_none"))
     if pk:
         per_key = df.where(F.col(pk).isNotNull()).groupBy(pk).agg(F.count(F.lit(1)).alias("_n"))
-        # one row on either side
-        wide = wide.join(per_key.agg(F.sum(F.col("_n") - 1).alias("_dup")))
+        wide = wide.select("*", per_key.agg(F.sum(F.col("_n") - 1)).scalar().alias("_dup"))
     items = [(f"{c} NOT NULL", "not_null", f"CAST(coalesce(`{c}`, 0) AS BIGINT)") for c in req]
     if pk:
         items.append((f"{pk} PRIMARY KEY", "duplicate_key", "CAST(coalesce(`_dup`, 0) AS BIGINT)"))

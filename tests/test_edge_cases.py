@@ -106,3 +106,29 @@ def test_group_count_of_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "k string, v int")
     assert rows(with_group_count(df, ["k"])) == [("a", 3, 1), (None, 1, 2), (None, 2, 2)]
     assert rows(with_group_count(df, []), "total_count") == [(3,)] * 3
+
+
+def test_patches_of_one_run_are_decided_in_turn(spark):
+    """Against a plain loop: names taken and given up within the run."""
+    import random
+    for seed in range(3):
+        rnd = random.Random(seed)
+        trips = [(i, f"n{i % 9}") for i in range(11)]
+        patches = [(f"r{k}", k, rnd.randrange(12), ["name"] if rnd.random() < 0.9 else [], f"n{rnd.randrange(12)}")
+                   for k in range(40)]
+        names, want = dict(trips), {}
+        for r, _, i, fields, name in patches:
+            taken = any(v == name for j, v in names.items() if j != i)
+            if i not in names:
+                want[r] = "NOT_FOUND"
+            elif fields and names[i] != name and taken:
+                want[r] = "DUPLICATE_NAME"
+            else:
+                want[r] = None if fields else "NO_FIELDS"
+                if fields:
+                    names[i] = name
+        t = spark.createDataFrame(trips, "id long, destination_name string")
+        q = spark.createDataFrame(patches, "request_id string, seq int, id long, set_fields array<string>, name string")
+        new, out = CH.apply_patches(t, q, "trips")
+        assert {r.request_id: r.error_code for r in out.collect()} == want
+        assert {int(r.id): r.destination_name for r in new.collect()} == names
