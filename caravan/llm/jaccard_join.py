@@ -6,20 +6,23 @@ n-gram incidence matrix with its transpose; it is taken block by block, and only
 for blocks and pairs that size-derived bounds leave possible:
 
 * Documents with equal sets are one row of the matrix (a node).
-* Sizes n <= m can link only if 100 n >= percent m, and then differ in at most
-  d = floor((n + m)(100 - percent) / (100 + percent)) shingles. Per size class the
-  n-grams are dealt by hash into more than d parts; at least one part is the same
-  in both (pigeonhole), so its digest brings the pair into one block. No link is
-  lost, however frequent a shingle is, and a shared passage alone makes no block
-  unless a whole part consists of it.
-* Nodes joined by such digests, also over others, form a block family. Every
+* Columns are ordered by how many documents use them, rare ones first. A set of
+  size n can link only if it shares one of its first n - ceil(percent n / 100) + 1
+  columns with the other's first ones, so only these bring two nodes into one
+  block family. No link is lost, whatever the order; with this order a passage
+  that thousands of documents share makes no block unless it is most of the text.
+  The counts cover all documents, in a fixed table of ``COUNTERS`` hashed counters
+  (a shared counter can only make a column look more frequent).
+* Nodes joined by such columns, also over others, form a block family. Every
   node is first multiplied with the family's hub (the node with most shared
-  parts). The Jaccard distance is a metric: nodes that link to the hub need no
+  columns). The Jaccard distance is a metric: nodes that link to the hub need no
   product among each other, and a node farther than twice the link distance
   needs none with them. This keeps a large family of near copies linear.
-* What is left is multiplied in blocks of ``BLOCK`` rows, accumulating overlap
-  counts over column chunks and discarding pairs whose count cannot reach the
-  bound any more. A block returns a spanning forest of its links, not its pairs.
+* Of what is left, pairs are discarded whose class histograms, sixteen times
+  smaller than the sets, bound the overlap below what their sizes ask for; the
+  rest is multiplied in blocks of ``BLOCK`` rows of like size (blocks whose sizes
+  cannot link do not meet), accumulating overlap counts over column chunks and
+  discarding pairs whose count cannot reach the bound any more. A block returns a spanning forest of its links, not its pairs.
 
 Components of the links follow by contraction (``components``).
 
@@ -36,13 +39,14 @@ are 64-bit hashes and a node's name is a 64-bit digest of its set.
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caravan.llm.common import scratch_table
@@ -50,8 +54,11 @@ from caravan.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CLASS_RATIO = 1.5      # width of a size class; must exceed 100 / percent
+COUNTERS = 1 << 19     # hashed document counts of the columns
+CHUNK = 1 << 12        # counters in a row of the count table
+FAN_IN = 256           # groups of tasks whose counts are summed first
 BLOCK = 128            # rows of a matrix block
+WIDE_BLOCK = 1024      # rows of a block of histograms
 COLUMNS = 4096         # columns multiplied at a time
 CACHE_WORDS = 500_000  # word hashes kept by a Python worker
 
@@ -90,45 +97,43 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(grams.tobytes()).digest()[:8], "little", signed=True)
 
 
-# ---------------------------------------------------------------- size-derived bounds
-def max_difference(size: int, percent: int) -> int:
-    """Most shingles in which a set of up to ``size`` and a smaller one that
-    links with it can differ."""
-    return 2 * size * (100 - percent) // (100 + percent)
+# ---------------------------------------------------------------- column counts
+def _count(width: int):
+    def run(batches):
+        part, n = TaskContext.get().partitionId(), np.zeros(COUNTERS, np.uint64)
+        for b in batches:
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            at = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)) % np.uint64(COUNTERS)
+            n += np.bincount(at.astype(np.int64), minlength=COUNTERS).astype(np.uint64)
+        rows = n.reshape(-1, CHUNK)
+        used = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), part % FAN_IN, np.int32)),
+             pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["chunk", "part", "n"])
+    return run
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    n = sum(np.frombuffer(x, np.uint64) for x in rows["n"])
+    return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "part": 0, "n": [n.tobytes()]})
 
 
-def size_class(n: int, percent: int) -> tuple[int, int]:
-    """(number, largest size) of the class that holds size n. Class 0 has the
-    sizes of which only equal sets link."""
-    top, c = (100 + percent - 1) // (2 * (100 - percent)) if percent < 100 else n, 0
-    while n > top:
-        top, c = max(top + 1, int(top * CLASS_RATIO)), c + 1
-    return c, top
+def column_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """Documents per counter, over all documents (COUNTERS numbers)."""
+    kind = "chunk int, part int, n binary"
+    parts = texts.mapInArrow(_count(width), kind).groupBy("chunk", "part").applyInPandas(_summed, kind)
+    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint64)
+    for r in parts.groupBy("chunk").applyInPandas(_summed, kind).collect():
+        out[r["chunk"]] = np.frombuffer(r["n"], np.uint64)
+    return out.ravel()
 
 
-def digests(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Digests of the parts of a set, for each class a partner can be in."""
+def leading(grams: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The rarest columns of a set, of which a set that links shares one."""
     n = len(grams)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    out, size, widest = [], n, n * 100 // percent
-    while True:
-        c, top = size_class(size, percent)
-        d = max_difference(top, percent)
-        if c:
-            parts = int((d + 1) * 1.12) + 3  # some to spare, as parts may be empty
-            at = ((grams >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            sums = np.add.reduceat(_mix(grams + np.uint64(c))[order], first)
-            where = at[order][first]
-            if len(where) <= d:  # too few to be sure of a common one: empty parts count as well
-                empty = np.setdiff1d(np.arange(parts), where)
-                where, sums = np.concatenate([where, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-            out.append(_mix(sums ^ _mix(where.astype(np.uint64) + np.uint64(c << 32))))
-        if top >= widest:
-            return np.concatenate(out) if out else np.zeros(0, np.uint64)
-        size = top + 1
+    first = n - -(-percent * n // 100) + 1
+    order = np.lexsort((grams, counts[(grams % np.uint64(COUNTERS)).astype(np.int64)]))
+    return grams[order[:first]]
 
 
 # ---------------------------------------------------------------- passes over the texts
@@ -143,7 +148,7 @@ def _nodes(width: int):
     return run
 
 
-def _digest_rows(width: int, percent: int):
+def _leading_rows(width: int, percent: int, counts: np.ndarray):
     def run(batches):
         seen = set()  # nodes of this task: a copy adds nothing
         for b in batches:
@@ -153,25 +158,25 @@ def _digest_rows(width: int, percent: int):
                 node = node_of(grams)
                 if len(grams) and node not in seen:
                     seen.add(node)
-                    d = digests(grams, percent)
-                    found.append(d)
-                    nodes.append(np.full(len(d), node, np.int64))
+                    x = leading(grams, percent, counts)
+                    found.append(x)
+                    nodes.append(np.full(len(x), node, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))],
-                    names=["digest", "node"])
+                    names=["gram", "node"])
     return run
 
 
 def _runs(batches):
-    """Rows sorted by (digest, node): every member of a run of several nodes,
+    """Rows sorted by (gram, node): every member of a run of several nodes,
     with the run's first node."""
     last, head, alone, before = None, 0, True, 0
     for b in batches:
-        digest, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+        gram, node = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not len(node):
             continue
-        new = np.concatenate([[digest[0] != last], digest[1:] != digest[:-1]])
+        new = np.concatenate([[gram[0] != last], gram[1:] != gram[:-1]])
         start = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
         heads = np.where(start >= 0, node[np.maximum(start, 0)], head)
         repeat = np.concatenate([[not new[0] and node[0] == before], ~new[1:] & (node[1:] == node[:-1])])
@@ -182,7 +187,7 @@ def _runs(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([node[member], joined])), pa.array(np.concatenate([heads[member], joined]))],
             names=["node", "head"])
-        last, head, before = digest[-1], heads[-1], node[-1]
+        last, head, before = gram[-1], heads[-1], node[-1]
 
 
 def _sets(width: int):
@@ -204,22 +209,27 @@ def _with_hub(percent: int):
     """zone 0: links to the hub; 1: may link to what does; 2: cannot."""
     def run(batches):
         for b in batches:
-            zones = []
+            zones, sizes, histograms = [], [], []
             for mine, hubs in zip(b.column("grams").to_pylist(), b.column("hub_grams").to_pylist(), strict=True):
                 x, h = np.frombuffer(mine, np.uint64), np.frombuffer(hubs, np.uint64)
                 both = _overlap(x, h)
                 union = len(x) + len(h) - both
                 # distance <= 2 * (1 - percent / 100)
                 near = 100 * (union - both) <= 2 * (100 - percent) * union
+                sizes.append(len(x))
+                histograms.append(histogram(x).tobytes())
                 zones.append(0 if 100 * both >= percent * union else 1 if near else 2)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "family", "hub", "grams")),
-                                              pa.array(zones, pa.int32())],
-                                             names=["node", "family", "hub", "grams", "zone"])
+                                              pa.array(zones, pa.int32()), pa.array(sizes, pa.int64()),
+                                              pa.array(histograms, pa.binary())],
+                                             names=["node", "family", "hub", "grams", "zone", "n", "histogram"])
     return run
 
 
 def linked_pairs(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
     """Boolean matrix of the links between two lists of sets."""
+    if not left or not right:  # a block's hash range may be empty
+        return np.zeros((len(left), len(right)), bool)
     n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     alive = (100 * n[:, None] >= percent * m) & (100 * m >= percent * n[:, None])
     # least overlap that links: 100 o >= percent (n + m - o)
@@ -263,6 +273,31 @@ def forest(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, i
     return [(x, find(x)) for x in list(root) if find(x) != x]
 
 
+def histogram(grams: np.ndarray) -> np.ndarray:
+    """Counts of a set's columns in about n / 2 hash classes (a power of two)."""
+    classes = 1 << max(4, len(grams).bit_length() - 2)
+    at = (grams >> np.uint64(24)) & np.uint64(classes - 1)
+    return np.bincount(at.astype(np.int64), minlength=classes).astype(np.uint16)
+
+
+def _bounded(percent: int):
+    """Forest of the pairs whose overlap, bounded by the sum of the smaller
+    counts of each class, can reach the link bound."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        counts = [np.frombuffer(x, np.uint16) for x in rows["histogram"]]
+        classes = min(map(len, counts))
+        h = np.array([c.reshape(-1, classes).sum(axis=0) for c in counts], np.uint32)
+        size, nodes, side = h.sum(axis=1).astype(np.int64), rows["node"].to_numpy(), rows["side"].to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        links = np.zeros((len(left), len(right)), bool)
+        for k, i in enumerate(left):
+            both = np.minimum(h[i], h[right]).sum(axis=1)
+            links[k] = (100 + percent) * both >= percent * (size[i] + size[right])
+        links &= nodes[left][:, None] != nodes[right]
+        return pd.DataFrame(forest(links, nodes[left], nodes[right]), columns=["a", "b"], dtype=np.int64)
+    return run
+
+
 def _product(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
@@ -274,35 +309,64 @@ def _product(percent: int):
     return run
 
 
+def _block_counts(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """(family, name): the family's blocks of ``size`` rows per size step; a
+    family has some hundred steps at most."""
+    n = rows.groupBy("family", "step").agg(F.ceil(F.count("*") / size).cast("int").alias("n"))
+    return n.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias(name))
+
+
+def _met(rows: DataFrame, mine: str, other: str, payload: str, unit) -> DataFrame:
+    """Each row once for every block of ``other`` that its own block (dealt by
+    hash within its step) meets: those of its step and the two beside it."""
+    k = F.pmod(F.xxhash64("node"), F.try_element_at(mine, F.col("step"))).cast("int")
+
+    def at(d: int) -> Column:
+        n = F.coalesce(F.try_element_at(other, F.col("step") + d), F.lit(0))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda m: unit(
+            F.struct("step", F.col("k").alias("block")), F.struct((F.col("step") + d).alias("step"), m.alias("block")))))
+    units = F.flatten(F.filter(F.array(at(-1), at(0), at(1)), lambda x: x.isNotNull()))
+    return rows.withColumn("k", k).select("family", "node", payload, F.explode(units).alias("u")).select(
+        "family", "node", payload, "u.*")
+
+
+def _unit(i: Column, j: Column, side) -> Column:
+    return F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+
+def _with_itself(rows: DataFrame, payload: str, size: int) -> DataFrame:
+    """Units (family, i, j) of all pairs of rows (family, node, step, payload)."""
+    rows = rows.join(_block_counts(rows, size, "blocks"), "family")
+    return _met(rows, "blocks", "blocks", payload, lambda a, b: _unit(
+        F.least(a, b), F.greatest(a, b), F.when(a == b, 2).when(a < b, 0).otherwise(1)))
+
+
+def _between(left: DataFrame, right: DataFrame, payload: str, size: int) -> DataFrame:
+    """Units (family, i, j) of all pairs of a left and a right row."""
+    both = _block_counts(left, size, "l").join(_block_counts(right, size, "r"), "family")
+    return _met(left.join(both, "family"), "l", "r", payload, lambda a, b: _unit(a, b, F.lit(0))).unionByName(
+        _met(right.join(both, "family"), "r", "l", payload, lambda a, b: _unit(b, a, F.lit(1))))
+
+
 def _blocks(near: DataFrame, percent: int) -> DataFrame:
-    """Forest edges of all products beyond the hubs'."""
-    counts = near.groupBy("family").agg(F.sum((F.col("zone") > 0).cast("long")).alias("off"),
-                                        F.sum((F.col("zone") == 1).cast("long")).alias("shell"),
-                                        F.sum((F.col("zone") == 0).cast("long")).alias("core"))
-    counts = counts.where("off > 0").select(
-        "family", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("off", "shell", "core")])
-    rows = near.join(counts, "family")
-
-    def dealt(blocks: str):
-        return F.pmod(F.xxhash64("node"), F.greatest(F.col(blocks), F.lit(1))).cast("int")
-
-    def unit(kind: int, i, j, side):
-        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
-
-    k = F.col("k")
-    off = rows.where("zone > 0").withColumn("k", dealt("off"))
-    # block k with every other block l: unit (smaller, larger)
-    off = off.select("node", "family", "grams", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("off") - 1),
-        lambda l: unit(0, F.least(k, l), F.greatest(k, l), F.when(k == l, 2).when(k < l, 0).otherwise(1)))).alias("u"))
-    shell = rows.where("zone = 1 and core > 0").withColumn("k", dealt("shell"))
-    shell = shell.select("node", "family", "grams", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("core") - 1), lambda l: unit(1, k, l, F.lit(0)))).alias("u"))
-    core = rows.where("zone = 0 and shell > 0").withColumn("k", dealt("core"))
-    core = core.select("node", "family", "grams", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("shell") - 1), lambda l: unit(1, l, k, F.lit(1)))).alias("u"))
-    units = off.unionByName(shell).unionByName(core).select("node", "family", "grams", "u.*")
-    return units.groupBy("family", "kind", "i", "j").applyInPandas(_product(percent), "a long, b long")
+    """Forest edges of all products beyond the hubs'.
+
+    Sets more than one size step (a factor of 100 / percent) apart cannot link.
+    Rows that do not link to their hub are first compared by their histograms,
+    which bound the overlap from above and are a sixteenth of the sets; only what
+    these leave connected is a family for the products of the sets."""
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    near = near.withColumn("step", F.floor(F.log("n") / F.lit(width)).cast("int"))
+    edge = "a long, b long"
+    off = near.where("zone > 0")
+    possible = (_with_itself(off.select("family", "node", "step", "histogram"), "histogram", WIDE_BLOCK)
+                .groupBy("family", "i", "j").applyInPandas(_bounded(percent), edge))
+    finer = components(possible).withColumnRenamed("label", "family")
+    own = _with_itself(off.drop("family").join(finer, "node").select("family", "node", "step", "grams"), "grams", BLOCK)
+    cross = _between(near.where("zone = 1"), near.where("zone = 0"), "grams", BLOCK)
+    # families of the two kinds may share a name: their units must not
+    units = own.withColumn("kind", F.lit(0)).unionByName(cross.withColumn("kind", F.lit(1)))
+    return units.groupBy("kind", "family", "i", "j").applyInPandas(_product(percent), edge)
 
 
 # ---------------------------------------------------------------- operator
@@ -320,8 +384,10 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     smallest = scratch_table(named.where("n > 0").groupBy("node").agg(pick.alias("p"))
                              .select("node", "p.doc_id", "p.row_hash"), "jaccard-smallest")
 
-    shared = (rows.select("text").mapInArrow(_digest_rows(width, percent), "digest long, node long")
-              .repartition("digest").sortWithinPartitions("digest", "node")
+    texts = rows.select("text")
+    counts = column_counts(texts, width)
+    shared = (texts.mapInArrow(_leading_rows(width, percent, counts), "gram long, node long")
+              .repartition("gram").sortWithinPartitions("gram", "node")
               .mapInArrow(_runs, "node long, head long")
               .groupBy("node", "head").agg(F.count("*").alias("parts")))
     shared = scratch_table(shared, "jaccard-shared")
@@ -339,7 +405,7 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     of_hub = (sets.where("node = hub").select("family", F.col("grams").alias("hub_grams"))
               .dropDuplicates(["family"]))  # rows that repeat a null id
     near = scratch_table(sets.join(of_hub, "family").mapInArrow(
-        _with_hub(percent), "node long, family long, hub long, grams binary, zone int"), "jaccard-zones")
+        _with_hub(percent), "node long, family long, hub long, grams binary, zone int, n long, histogram binary"), "jaccard-zones")
     links = near.where("zone = 0 and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     label = components(links.unionByName(_blocks(near, percent)))
 

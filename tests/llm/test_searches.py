@@ -118,8 +118,9 @@ def copies(seed, families=6, members=25, words=60):
 def test_jaccard_components(spark, docs, monkeypatch, width, percent, block):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    monkeypatch.setattr(jaccard_join, "WIDE_BLOCK", 3 * block)
     if percent == 50:
-        monkeypatch.setattr(jaccard_join, "CLASS_RATIO", 2.5)
+        monkeypatch.setattr(jaccard_join, "COUNTERS", 1 << 12)  # crowded counters
     rows = [*ROWS, *[(1000 + i, t, "en", "s", 1) for i, t in enumerate(copies(width))]]
     d = spark.createDataFrame(rows, docs.schema).withColumn("node", F.lit("clash")).repartition(4)
     out = jaccard_join.similar_components(d, width, percent).collect()
@@ -140,9 +141,10 @@ def test_jaccard_without_documents(no_docs):
 
 
 @pytest.mark.parametrize("percent", [80, 90, 95])
-def test_digests_lose_no_pair(percent):
-    """Pairs at the threshold share a digest, for all sizes."""
+def test_leading_columns_lose_no_pair(percent):
+    """Pairs at the threshold share a leading column, for all sizes and counts."""
     rnd = np.random.default_rng(percent)
+    counts = rnd.integers(0, 50, jaccard_join.COUNTERS).astype(np.uint64)
     for n in [*range(1, 130), 500, 2000]:
         for _ in range(4):
             x = np.unique(rnd.integers(0, 2 ** 63, n, dtype=np.uint64))
@@ -152,9 +154,8 @@ def test_digests_lose_no_pair(percent):
                 out += 1
             while 100 * (len(x) - out) >= percent * (len(x) + add + 1):
                 add += 1
-            y = np.unique(np.concatenate([x[out:], rnd.integers(0, 2 ** 63, add, dtype=np.uint64)]))
-            assert (x.tolist() == y.tolist() or
-                    np.intersect1d(jaccard_join.digests(x, percent), jaccard_join.digests(y, percent)).size)
+            y = np.unique(np.concatenate([rnd.permutation(x)[out:], rnd.integers(0, 2 ** 63, add, dtype=np.uint64)]))
+            assert np.intersect1d(jaccard_join.leading(x, percent, counts), jaccard_join.leading(y, percent, counts)).size
 
 
 def test_linked_pairs_against_sets():
@@ -168,11 +169,13 @@ def test_linked_pairs_against_sets():
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(300)] + [(1000, x) for x in range(1001, 1200)] + [(7, 7), (5000, 5001), (5001, 5000)]
+    edges = [(i, i + 1) for i in range(300)] + [(1000, x) for x in range(1001, 1200)] + [(7, 7), (5000, 5001), (5001, 5000),
+                                                                                       (6005, 6001), (6005, 6003)]
     got = collections.defaultdict(set)
     for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect():
         got[r.label].add(r.node)
-    assert sorted(map(sorted, got.values())) == [list(range(301)), list(range(1000, 1200)), [5000, 5001]]
+    assert sorted(map(sorted, got.values())) == [list(range(301)), list(range(1000, 1200)), [5000, 5001],
+                                               [6001, 6003, 6005]]
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
