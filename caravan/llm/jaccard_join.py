@@ -6,23 +6,23 @@ n-gram incidence matrix with its transpose; it is taken block by block, and only
 for blocks and pairs that size-derived bounds leave possible:
 
 * Documents with equal sets are one row of the matrix (a node).
-* Columns are ordered by how many documents use them, rare ones first. A set of
-  size n can link only if it shares one of its first n - ceil(percent n / 100) + 1
-  columns with the other's first ones, so only these bring two nodes into one
-  block family. No link is lost, whatever the order; with this order a passage
-  that thousands of documents share makes no block unless it is most of the text.
-  The counts cover all documents, in a fixed table of ``COUNTERS`` hashed counters
-  (a shared counter can only make a column look more frequent).
-* Nodes joined by such columns, also over others, form a block family. Every
+* Sizes n <= m can link only if 100 n >= percent m, and then differ in at most
+  d = floor((n + m)(100 - percent) / (100 + percent)) shingles. Per size class the
+  n-grams are dealt by hash into more than d parts; at least one part is the same
+  in both (pigeonhole), so its digest brings the pair into one block. No link is
+  lost, however frequent a shingle is, and a shared passage alone makes no block
+  unless a whole part consists of it.
+* Nodes joined by such digests, also over others, form a block family. Every
   node is first multiplied with the family's hub (the node with most shared
-  columns). The Jaccard distance is a metric: nodes that link to the hub need no
+  parts). The Jaccard distance is a metric: nodes that link to the hub need no
   product among each other, and a node farther than twice the link distance
   needs none with them. This keeps a large family of near copies linear.
 * Of what is left, pairs are discarded whose class histograms, sixteen times
   smaller than the sets, bound the overlap below what their sizes ask for; the
   rest is multiplied in blocks of ``BLOCK`` rows of like size (blocks whose sizes
   cannot link do not meet), accumulating overlap counts over column chunks and
-  discarding pairs whose count cannot reach the bound any more. A block returns a spanning forest of its links, not its pairs.
+  discarding pairs whose count cannot reach the bound any more. A block returns a
+  spanning forest of its links, not its pairs.
 
 Components of the links follow by contraction (``components``).
 
@@ -45,7 +45,7 @@ import sys
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +54,7 @@ from caravan.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-COUNTERS = 1 << 19     # hashed document counts of the columns
-CHUNK = 1 << 12        # counters in a row of the count table
-FAN_IN = 256           # groups of tasks whose counts are summed first
+CLASS_RATIO = 1.5      # width of a size class; must exceed 100 / percent
 BLOCK = 128            # rows of a matrix block
 WIDE_BLOCK = 1024      # rows of a block of histograms
 COLUMNS = 4096         # columns multiplied at a time
@@ -97,43 +95,45 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.md5(grams.tobytes()).digest()[:8], "little", signed=True)
 
 
-# ---------------------------------------------------------------- column counts
-def _count(width: int):
-    def run(batches):
-        part, n = TaskContext.get().partitionId(), np.zeros(COUNTERS, np.uint64)
-        for b in batches:
-            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
-            at = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)) % np.uint64(COUNTERS)
-            n += np.bincount(at.astype(np.int64), minlength=COUNTERS).astype(np.uint64)
-        rows = n.reshape(-1, CHUNK)
-        used = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), part % FAN_IN, np.int32)),
-             pa.array([rows[i].tobytes() for i in used], pa.binary())], names=["chunk", "part", "n"])
-    return run
-
+# ---------------------------------------------------------------- size-derived bounds
+def max_difference(size: int, percent: int) -> int:
+    """Most shingles in which a set of up to ``size`` and a smaller one that
+    links with it can differ."""
+    return 2 * size * (100 - percent) // (100 + percent)
 
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    n = sum(np.frombuffer(x, np.uint64) for x in rows["n"])
-    return pd.DataFrame({"chunk": rows["chunk"].iloc[:1], "part": 0, "n": [n.tobytes()]})
 
+def size_class(n: int, percent: int) -> tuple[int, int]:
+    """(number, largest size) of the class that holds size n. Class 0 has the
+    sizes of which only equal sets link."""
+    top, c = (100 + percent - 1) // (2 * (100 - percent)) if percent < 100 else n, 0
+    while n > top:
+        top, c = max(top + 1, int(top * CLASS_RATIO)), c + 1
+    return c, top
 
-def column_counts(texts: DataFrame, width: int) -> np.ndarray:
-    """Documents per counter, over all documents (COUNTERS numbers)."""
-    kind = "chunk int, part int, n binary"
-    parts = texts.mapInArrow(_count(width), kind).groupBy("chunk", "part").applyInPandas(_summed, kind)
-    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.uint64)
-    for r in parts.groupBy("chunk").applyInPandas(_summed, kind).collect():
-        out[r["chunk"]] = np.frombuffer(r["n"], np.uint64)
-    return out.ravel()
 
-
-def leading(grams: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
-    """The rarest columns of a set, of which a set that links shares one."""
+def digests(grams: np.ndarray, percent: int) -> np.ndarray:
+    """Digests of the parts of a set, for each class a partner can be in."""
     n = len(grams)
-    first = n - -(-percent * n // 100) + 1
-    order = np.lexsort((grams, counts[(grams % np.uint64(COUNTERS)).astype(np.int64)]))
-    return grams[order[:first]]
+    if n == 0:
+        return np.zeros(0, np.uint64)
+    out, size, widest = [], n, n * 100 // percent
+    while True:
+        c, top = size_class(size, percent)
+        d = max_difference(top, percent)
+        if c:
+            parts = int((d + 1) * 1.12) + 3  # some to spare, as parts may be empty
+            at = ((grams >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            sums = np.add.reduceat(_mix(grams + np.uint64(c))[order], first)
+            where = at[order][first]
+            if len(where) <= d:  # too few to be sure of a common one: empty parts count as well
+                empty = np.setdiff1d(np.arange(parts), where)
+                where, sums = np.concatenate([where, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
+            out.append(_mix(sums ^ _mix(where.astype(np.uint64) + np.uint64(c << 32))))
+        if top >= widest:
+            return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        size = top + 1
 
 
 # ---------------------------------------------------------------- passes over the texts
@@ -148,7 +148,7 @@ def _nodes(width: int):
     return run
 
 
-def _leading_rows(width: int, percent: int, counts: np.ndarray):
+def _digest_rows(width: int, percent: int):
     def run(batches):
         seen = set()  # nodes of this task: a copy adds nothing
         for b in batches:
@@ -158,25 +158,25 @@ def _leading_rows(width: int, percent: int, counts: np.ndarray):
                 node = node_of(grams)
                 if len(grams) and node not in seen:
                     seen.add(node)
-                    x = leading(grams, percent, counts)
-                    found.append(x)
-                    nodes.append(np.full(len(x), node, np.int64))
+                    d = digests(grams, percent)
+                    found.append(d)
+                    nodes.append(np.full(len(d), node, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))],
-                    names=["gram", "node"])
+                    names=["digest", "node"])
     return run
 
 
 def _runs(batches):
-    """Rows sorted by (gram, node): every member of a run of several nodes,
+    """Rows sorted by (digest, node): every member of a run of several nodes,
     with the run's first node."""
     last, head, alone, before = None, 0, True, 0
     for b in batches:
-        gram, node = b.column(0).to_numpy(), b.column(1).to_numpy()
+        digest, node = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not len(node):
             continue
-        new = np.concatenate([[gram[0] != last], gram[1:] != gram[:-1]])
+        new = np.concatenate([[digest[0] != last], digest[1:] != digest[:-1]])
         start = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
         heads = np.where(start >= 0, node[np.maximum(start, 0)], head)
         repeat = np.concatenate([[not new[0] and node[0] == before], ~new[1:] & (node[1:] == node[:-1])])
@@ -187,7 +187,7 @@ def _runs(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate([node[member], joined])), pa.array(np.concatenate([heads[member], joined]))],
             names=["node", "head"])
-        last, head, before = gram[-1], heads[-1], node[-1]
+        last, head, before = digest[-1], heads[-1], node[-1]
 
 
 def _sets(width: int):
@@ -219,10 +219,10 @@ def _with_hub(percent: int):
                 sizes.append(len(x))
                 histograms.append(histogram(x).tobytes())
                 zones.append(0 if 100 * both >= percent * union else 1 if near else 2)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "family", "hub", "grams")),
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "family", "hub")),
                                               pa.array(zones, pa.int32()), pa.array(sizes, pa.int64()),
                                               pa.array(histograms, pa.binary())],
-                                             names=["node", "family", "hub", "grams", "zone", "n", "histogram"])
+                                             names=["node", "family", "hub", "zone", "n", "histogram"])
     return run
 
 
@@ -348,7 +348,7 @@ def _between(left: DataFrame, right: DataFrame, payload: str, size: int) -> Data
         _met(right.join(both, "family"), "r", "l", payload, lambda a, b: _unit(b, a, F.lit(1))))
 
 
-def _blocks(near: DataFrame, percent: int) -> DataFrame:
+def _blocks(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Forest edges of all products beyond the hubs'.
 
     Sets more than one size step (a factor of 100 / percent) apart cannot link.
@@ -362,8 +362,14 @@ def _blocks(near: DataFrame, percent: int) -> DataFrame:
     possible = (_with_itself(off.select("family", "node", "step", "histogram"), "histogram", WIDE_BLOCK)
                 .groupBy("family", "i", "j").applyInPandas(_bounded(percent), edge))
     finer = components(possible).withColumnRenamed("label", "family")
-    own = _with_itself(off.drop("family").join(finer, "node").select("family", "node", "step", "grams"), "grams", BLOCK)
-    cross = _between(near.where("zone = 1"), near.where("zone = 0"), "grams", BLOCK)
+    # the sets of what is still to be multiplied: a family's shell and core, if it has both
+    grams = sets.select("node", "grams")
+    own = off.select("node", "step").join(finer, "node").join(grams, "node")
+    own = _with_itself(own.select("family", "node", "step", "grams"), "grams", BLOCK)
+    shelled = near.where("zone = 1").select("family").distinct()
+    inner = near.where("zone < 2").join(shelled, "family").join(grams, "node").select(
+        "family", "node", "step", "zone", "grams")
+    cross = _between(inner.where("zone = 1").drop("zone"), inner.where("zone = 0").drop("zone"), "grams", BLOCK)
     # families of the two kinds may share a name: their units must not
     units = own.withColumn("kind", F.lit(0)).unionByName(cross.withColumn("kind", F.lit(1)))
     return units.groupBy("kind", "family", "i", "j").applyInPandas(_product(percent), edge)
@@ -384,10 +390,8 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     smallest = scratch_table(named.where("n > 0").groupBy("node").agg(pick.alias("p"))
                              .select("node", "p.doc_id", "p.row_hash"), "jaccard-smallest")
 
-    texts = rows.select("text")
-    counts = column_counts(texts, width)
-    shared = (texts.mapInArrow(_leading_rows(width, percent, counts), "gram long, node long")
-              .repartition("gram").sortWithinPartitions("gram", "node")
+    shared = (rows.select("text").mapInArrow(_digest_rows(width, percent), "digest long, node long")
+              .repartition("digest").sortWithinPartitions("digest", "node")
               .mapInArrow(_runs, "node long, head long")
               .groupBy("node", "head").agg(F.count("*").alias("parts")))
     shared = scratch_table(shared, "jaccard-shared")
@@ -405,9 +409,9 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     of_hub = (sets.where("node = hub").select("family", F.col("grams").alias("hub_grams"))
               .dropDuplicates(["family"]))  # rows that repeat a null id
     near = scratch_table(sets.join(of_hub, "family").mapInArrow(
-        _with_hub(percent), "node long, family long, hub long, grams binary, zone int, n long, histogram binary"), "jaccard-zones")
+        _with_hub(percent), "node long, family long, hub long, zone int, n long, histogram binary"), "jaccard-zones")
     links = near.where("zone = 0 and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    label = components(links.unionByName(_blocks(near, percent)))
+    label = components(links.unionByName(_blocks(near, sets, percent)))
 
     joined = smallest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = joined.groupBy("label").agg(pick.alias("p")).select(
