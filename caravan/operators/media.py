@@ -82,7 +82,7 @@ def sample_trip_images(trips: DataFrame, manifest: DataFrame, n: int, seed: int
     (trip_id, pick, key); trips without images have no rows. The row number is
     bounded by ``n``, so the limit is applied per map task before the shuffle."""
     files = trip_media(trips, manifest, "image").where(F.col("key").isNotNull())
-    w = Window.partitionBy("trip_id").orderBy(F.xxhash64(F.col("key"), F.lit(seed)), F.col("key"))
+    w = Window.partitionBy("trip_id").orderBy(F.md5(F.concat("key", F.lit(f"/{seed}"))), F.col("key"))
     return (files.select("trip_id", "key", F.row_number().over(w).alias("pick"))
             .where(F.col("pick") <= n))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caravan.functions.columns import CATALOG_FALLBACK_IMAGE
 from caravan.operators import media as M
 from caravan.plans.registry import register
 from caravan.testdata import Tables, duck_with
@@ -45,14 +46,23 @@ def q_sample_counts(spark, d):
                                     F.count_distinct("key").alias("distinct_picked"))
 
 
-@register("sample_trip_images")
+def _sampled(n: int, seed: int) -> str:
+    return duck_with("trips", "media") + _T + f"""
+, r AS (SELECT t.trip_id, m.key, row_number() OVER (PARTITION BY t.trip_id ORDER BY md5(m.key || '/{seed}'), m.key) AS pick
+        FROM t JOIN media m ON {_PREFIX} AND {_IMG})
+, s AS (SELECT * FROM r WHERE pick <= {n})
+"""
+
+
+@register("sample_trip_images", _sampled(3, 7) + "SELECT trip_id, key, pick FROM s")
 def q_sample(spark, d):
-    """Three seeded random images per trip (no SQL oracle: the seeded hash is Spark's)."""
+    """Three seeded random images per trip."""
     t = Tables(spark, d)
     return M.sample_trip_images(t.trips, t.media, 3, seed=7)
 
 
-@register("catalog_image")
+@register("catalog_image", _sampled(1, 7) + f"""
+SELECT t.trip_id, coalesce(s.key, '{CATALOG_FALLBACK_IMAGE}') AS image FROM t LEFT JOIN s ON s.trip_id = t.trip_id""")
 def q_catalog_image(spark, d):
     """W3 catalogue form: one seeded random image per trip or the fallback image."""
     t = Tables(spark, d)
