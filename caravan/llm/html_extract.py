@@ -58,6 +58,7 @@ BLOCK = set("address article aside blockquote body br caption center dd details
 CLOSES_P = BLOCK - {"br", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLING = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"},
            "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+LIKE = [{"dt", "dd"}, {"td", "th"}]  # each ends the other
 BOILERPLATE_TAGS = set("nav footer aside form head button dialog menu input label".split())
 # Words of class, id and role that name boilerplate.
 BOILERPLATE_WORDS = set("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment "
@@ -107,9 +108,9 @@ def parse(page: str | None) -> list:
                     break
             continue
         if tag in CLOSES_P:
-            _close(stack, "p", CLOSES_P - {"p"})
+            _close(stack, {"p"}, CLOSES_P - {"p"})
         if tag in SIBLING:
-            _close(stack, tag, SIBLING[tag])
+            _close(stack, next((g for g in LIKE if tag in g), {tag}), SIBLING[tag])
         names = names_of(m["attrs"])
         inside = any(x[2] in ("article", "main") for x in stack)
         key = tag + "".join("." + re.sub(r"\d+", "0", n) for n in names)
@@ -120,10 +121,11 @@ def parse(page: str | None) -> list:
     return root
 
 
-def _close(stack: list, tag: str, scope: set[str]) -> None:
-    """Ends an open ``tag`` unless an element of ``scope`` is open inside."""
+def _close(stack: list, tags: set[str], scope: set[str]) -> None:
+    """Ends the innermost open one of ``tags`` unless an element of ``scope`` is
+    open inside."""
     for k in range(len(stack) - 1, 0, -1):
-        if stack[k][2] == tag:
+        if stack[k][2] in tags:
             del stack[k:]
             return
         if stack[k][2] in scope:
@@ -204,8 +206,8 @@ def show(x: dict) -> str:
     if x["k"] == "#":
         body = "#TEXT" if x["t"] is None else repr(x["t"])
     else:
-        body = f"({inner})" if x["k"].startswith("(") else f"<{x['k']}> {inner} </>".replace("  ", " ")
-    return (f"({body})+" if x["r"] else body) + ("?" if x["o"] else "")
+        body = inner if x["k"].startswith("(") else f"<{x['k']}> {inner} </>".replace("  ", " ")
+    return body if not (x["r"] or x["o"]) else f"({body})" + ("*" if x["r"] and x["o"] else "+" if x["r"] else "?")
 
 
 # ---------------------------------------------------------------- where the article is
