@@ -49,7 +49,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravan.llm.common import scratch_table
+from caravan.llm.common import arrow_rows, scratch_table
 from caravan.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -58,7 +58,7 @@ CLASS_RATIO = 1.5      # width of a size class; must exceed 100 / percent
 BLOCK = 128            # rows of a matrix block
 WIDE_BLOCK = 1024      # rows of a block of histograms
 COLUMNS = 4096         # columns multiplied at a time
-CACHE_WORDS = 500_000  # word hashes kept by a Python worker
+CACHE_WORDS = 300_000  # word hashes kept by a Python worker
 
 
 # ---------------------------------------------------------------- sets
@@ -70,9 +70,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
-    kept = sys.__dict__.setdefault("_caravan_word_hashes", {})
-    if len(kept) > CACHE_WORDS:
-        kept.clear()
+    name, kept = sys.__dict__.get("_caravan_cache", (None, None))
+    if name != "word hashes" or len(kept) > CACHE_WORDS:  # a worker keeps one cache
+        kept = {}
+        sys.__dict__["_caravan_cache"] = ("word hashes", kept)
     for w in set(words).difference(kept):
         kept[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
@@ -383,8 +384,9 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     words or is its component's smallest id)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_hash"),
                        F.col(text_col).alias("text"))
-    named = scratch_table(rows.mapInArrow(_nodes(width), "doc_id long, row_hash long, node long, n long"),
-                          "jaccard-nodes")
+    with arrow_rows(rows.sparkSession, 2000):
+        named = scratch_table(rows.mapInArrow(_nodes(width), "doc_id long, row_hash long, node long, n long"),
+                              "jaccard-nodes")
     # of each node the row with the smallest id, nulls last
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash"))
     smallest = scratch_table(named.where("n > 0").groupBy("node").agg(pick.alias("p"))
@@ -394,7 +396,8 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
               .repartition("digest").sortWithinPartitions("digest", "node")
               .mapInArrow(_runs, "node long, head long")
               .groupBy("node", "head").agg(F.count("*").alias("parts")))
-    shared = scratch_table(shared, "jaccard-shared")
+    with arrow_rows(rows.sparkSession, 4000):
+        shared = scratch_table(shared, "jaccard-shared")
     family = components(shared.select(F.col("node").alias("a"), F.col("head").alias("b")))
     family = family.withColumnRenamed("label", "family")
     weight = shared.groupBy("node").agg(F.sum("parts").alias("parts"))
@@ -404,12 +407,13 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     # one document of each node in a family gives the set
     wanted = family.join(hubs, "family").join(smallest, "node")
     sets = rows.select("row_hash", "text").join(wanted, "row_hash").select("node", "family", "hub", "text")
-    sets = scratch_table(sets.mapInArrow(_sets(width), "node long, family long, hub long, grams binary"), "jaccard-sets")
-
-    of_hub = (sets.where("node = hub").select("family", F.col("grams").alias("hub_grams"))
-              .dropDuplicates(["family"]))  # rows that repeat a null id
-    near = scratch_table(sets.join(of_hub, "family").mapInArrow(
-        _with_hub(percent), "node long, family long, hub long, zone int, n long, histogram binary"), "jaccard-zones")
+    with arrow_rows(rows.sparkSession, 500):
+        sets = scratch_table(sets.mapInArrow(_sets(width), "node long, family long, hub long, grams binary"),
+                             "jaccard-sets")
+        of_hub = (sets.where("node = hub").select("family", F.col("grams").alias("hub_grams"))
+                  .dropDuplicates(["family"]))  # rows that repeat a null id
+        near = scratch_table(sets.join(of_hub, "family").mapInArrow(
+            _with_hub(percent), "node long, family long, hub long, zone int, n long, histogram binary"), "jaccard-zones")
     links = near.where("zone = 0 and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     label = components(links.unionByName(_blocks(near, sets, percent)))
 

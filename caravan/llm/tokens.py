@@ -20,7 +20,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHE_WORDS = 600_000  # per generation; two generations are kept
+CACHE_WORDS = 500_000  # per generation; two generations are kept
 CHUNK_BYTES = 1 << 18  # texts whose unknown words are encoded together
 # Letters, then ASCII marks but the apostrophe (which the pattern treats apart).
 _LETTERS_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
@@ -116,8 +116,10 @@ class WordIds:
 
 def word_ids(path: str) -> WordIds:
     """This worker's cache for a tokenizer file; it outlives a task, since the
-    worker process does."""
-    kept = sys.__dict__.setdefault("_caravan_word_ids", {})
-    if path not in kept:
-        kept[path] = WordIds(path)
-    return kept[path]
+    worker process does. A worker keeps one cache: the next operator's replaces it."""
+    name, cache = sys.__dict__.get("_caravan_cache", (None, None))
+    if name != path:
+        sys.__dict__["_caravan_cache"] = (None, None)
+        cache = WordIds(path)
+        sys.__dict__["_caravan_cache"] = (path, cache)
+    return cache
