@@ -9,6 +9,13 @@ are never boilerplate; the other lines stay as they are, in order.
 ``min_docs`` is the support below which a ratio says nothing (a host of one
 document repeats each of its lines in 100 %).
 
+With ``copies_vote=False`` such a line must also hold without copies: it is cut
+only if at least ``MIN_TEXTS`` distinct texts of the host, and more than
+``max_ratio`` of them, hold it among other text. A text that consists of such
+lines for more than half of its characters does not count as holding them, so
+neither exact copies nor near copies make an article boilerplate. Lines that
+only such texts hold stay.
+
 Defined results: a null text stays null and has no lines; an empty text stays
 empty; null hosts form one host; a line repeated inside a document counts once;
 repeated rows count as documents of their own; an empty table gives no rows.
@@ -29,6 +36,7 @@ from caravan.llm.common import scratch_table
 
 MAX_RATIO = 0.05
 MIN_DOCS = 5
+MIN_TEXTS = 2  # one text, however often copied, says nothing
 _EDGE = " \t\r\x0b\x0c"
 
 
@@ -55,12 +63,36 @@ def boilerplate(rows: DataFrame, max_ratio: float, min_docs: int) -> DataFrame:
             .groupBy("c.host").agg(F.collect_list("digest").alias("digests")))
 
 
-def drop_boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text",
-                           max_ratio: float = MAX_RATIO, min_docs: int = MIN_DOCS) -> DataFrame:
+def without_copies(rows: DataFrame, found: DataFrame, max_ratio: float) -> DataFrame:
+    """``found`` (host, digests) without the lines that only copies put there.
+
+    Only rows that hold a found line are exploded, to those lines."""
+    rows = rows.where("text is not null").withColumn("text_digest", F.unhex(F.md5("text")))
+    totals = rows.groupBy("host", "text_digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("total"))
+    r, b = rows.alias("r"), found.alias("b")
+
+    def chars(lines: Column) -> Column:
+        return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.char_length(_key(x)))
+
+    held = r.join(b, F.expr("r.host <=> b.host")).select("r.host", "text_digest", "digests", _lines(F.col("text")).alias("lines"))
+    held = held.withColumn("hits", F.array_intersect(F.transform("lines", _digest), F.col("digests"))).where(F.size("hits") > 0)
+    cut = F.filter("lines", lambda x: F.array_contains(F.col("hits"), _digest(x)))
+    held = held.where(2 * chars(cut) <= chars(F.col("lines")))
+    votes = held.select("host", "text_digest", F.explode("hits").alias("digest")).distinct().groupBy("host", "digest").agg(
+        F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS)
+    v, t = votes.alias("v"), totals.alias("t")
+    return (v.join(t, F.expr("v.host <=> t.host")).where(F.col("n") > F.col("total") * F.lit(max_ratio))
+            .groupBy("v.host").agg(F.collect_list("digest").alias("digests")))
+
+
+def drop_boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO,
+                           min_docs: int = MIN_DOCS, copies_vote: bool = True) -> DataFrame:
     """``docs`` with the cleaned text in ``text_col``, plus n_lines and
     n_dropped."""
     d = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), F.col(text_col).alias("text"))
     found = scratch_table(boilerplate(d.select("host", "text"), max_ratio, min_docs), "boilerplate")
+    if not copies_vote:
+        found = scratch_table(without_copies(d.select("host", "text"), found, max_ratio), "boilerplate-texts")
     d, b = d.alias("d"), found.alias("b")
     lines = _lines(F.col("d.text"))
     joined = d.join(b, F.expr("d.host <=> b.host"), "left").select(

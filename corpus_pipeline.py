@@ -27,8 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: lines that a source repeats are cut; every document stays."""
-    return _measured(line_dedup.drop_boilerplate_lines(docs, F.col("source")), docs.columns)
+    """Operator 1: lines that a source repeats are cut, but not those that only
+    copies of a document repeat; every document stays."""
+    return _measured(line_dedup.drop_boilerplate_lines(docs, F.col("source"), copies_vote=False), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
