@@ -18,6 +18,11 @@ slots hold most text, else the smallest container that holds most of the text
 outside boilerplate elements. Each page is then read along that path, block by
 block. A page that lacks the path is read by an expression of its own.
 
+<html>, <body>, <main> and <article> are never boilerplate; a class, id or role
+names it by a listed word alone or as its first part. If next to nothing of a
+page is left so, the marked elements around its article or most of its text
+(a form around the whole page) are read after all.
+
 Blocks are block elements and <br>; character references are decoded, white
 space inside a block becomes one space, empty blocks go, the rest is joined by
 \\n in page order. Literals are not dropped: a host whose pages are copies of
@@ -67,11 +72,20 @@ BOILERPLATE_WORDS = set("ad ads advert adverts advertisement advertising alert b
                         "popup promo promotion related replies reply respond search share sharing sidebar signup "
                         "social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 
+# Text of readers and links, which is no article however long it is.
+READERS = set("comment comments disqus related replies reply respond".split())
+SIDE = READERS | set("breadcrumb breadcrumbs consent cookie cookies footer gdpr menu nav navbar navigation pager "
+                     "pagination sidebar toolbar topbar".split())
+SIDE_TAGS = BOILERPLATE_TAGS - {"form"} | {"header"}
+WHOLE = {"html", "body", "main", "article"}  # never boilerplate
+REST_SHARE = 0.2   # with less of its text outside boilerplate a page is marked too far
+
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
                     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
                     r"|(?P<text>[^<]+|<)", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_WORD = re.compile(r"[a-z]+")
+# a listed word alone, first of a compound name, or with the place it is in
+_NAME = re.compile(r"(?:(?:site|page|main|global)[-_]+)?([a-z]+)(?:[-_]|\d|$)")
 
 
 # ---------------------------------------------------------------- pages as trees
@@ -83,14 +97,56 @@ def names_of(attrs: str) -> list[str]:
 
 def is_boilerplate(tag: str, names: list[str], inside: bool) -> bool:
     """``inside``: below an <article> or <main>, where <header> is its own."""
-    return (tag in BOILERPLATE_TAGS or tag == "header" and not inside
-            or any(w in BOILERPLATE_WORDS for n in names for w in _WORD.findall(n)))
+    return tag not in WHOLE and (tag in BOILERPLATE_TAGS or tag == "header" and not inside
+                                 or _named(names, BOILERPLATE_WORDS))
+
+
+def _named(names: list[str], words: set[str]) -> bool:
+    return any((m := _NAME.match(n)) and m[1] in words for n in names)
+
+
+def unmark(tree: list) -> None:
+    """Takes the mark from elements that hold the page's <main> or <article>, or
+    most of its text, if next to nothing of the page is outside boilerplate."""
+    while True:
+        marked, total, clear = [], 0, 0
+
+        def look(x: list, outer: list | None) -> tuple[int, int]:
+            """Characters below x, and whether an article (1) or <main> (2) is there."""
+            nonlocal total, clear
+            chars, holds = 0, 0
+            for c in x[3]:
+                if isinstance(c, str):
+                    n = len(c.strip())
+                    chars += n
+                    total += n
+                    clear += 0 if outer else n
+                else:
+                    n, h = look(c, outer or (c if c[1] else None))  # noqa: B023
+                    if c[2] == "main" and n:
+                        h = 2
+                    elif c[2] == "article" and n and not _named(c[4], READERS):
+                        h = max(h, 1)
+                    if c[1] and not outer:
+                        marked.append((h, n, c))  # noqa: B023
+                    chars, holds = chars + n, max(holds, h)
+            return chars, holds
+
+        look(tree, None)
+        if clear >= REST_SHARE * total:
+            return
+        best = max((m for m in marked if m[0] or 2 * m[1] > total and m[2][2] not in SIDE_TAGS
+                    and not any(n in SIDE for n in m[2][4]) and not _named(m[2][4], READERS)),
+                   key=lambda m: m[:2], default=None)
+        if best is None:
+            return
+        best[2][1] = False
 
 
 def parse(page: str | None) -> list:
-    """Tree of [key, boilerplate, tag, children]; a text is a plain string. The
-    key is the tag with its class, id and role, numbers written as 0."""
-    root = ["", False, "", []]
+    """Tree of [key, boilerplate, tag, children, names]; a text is a plain string.
+    The key is the tag with its class, id and role, numbers written as 0."""
+    root = ["", False, "", [], []]
     stack = [root]
     for m in _TOKEN.finditer(page or ""):
         text = m["text"]
@@ -114,10 +170,11 @@ def parse(page: str | None) -> list:
         names = names_of(m["attrs"])
         inside = any(x[2] in ("article", "main") for x in stack)
         key = tag + "".join("." + re.sub(r"\d+", "0", n) for n in names)
-        node = [key, is_boilerplate(tag, names, inside), tag, []]
+        node = [key, is_boilerplate(tag, names, inside), tag, [], names]
         stack[-1][3].append(node)
         if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
             stack.append(node)
+    unmark(root)
     return root
 
 
@@ -152,7 +209,7 @@ def expression(tree: list) -> dict:
 
 
 def merge(a: dict, b: dict) -> dict:
-    return {"k": a["k"], "b": a["b"], "r": a["r"] or b["r"], "o": a["o"] or b["o"], "n": a["n"] + b["n"],
+    return {"k": a["k"], "b": a["b"] and b["b"], "r": a["r"] or b["r"], "o": a["o"] or b["o"], "n": a["n"] + b["n"],
             "t": a["t"] if a["t"] == b["t"] else None, "c": align(a["c"], b["c"])}
 
 
@@ -308,6 +365,7 @@ def _skeleton(x: dict) -> str:
 def _add(a: dict, b: dict) -> None:
     """Adds b's texts to a; both have one skeleton."""
     a["n"] += b["n"]
+    a["b"] = a["b"] and b["b"]
     if a["t"] != b["t"]:
         a["t"] = None
     for x, y in zip(a["c"], b["c"], strict=True):
