@@ -13,8 +13,9 @@ aligns its pages per host (pages of one skeleton are one alignment), then up to
 ``FAN_IN`` partial wrappers per task group are aligned, then the groups'. Every
 page takes part, and a host with a third of all pages never meets in one task.
 
-The wrapper says where a host keeps its article: the <article> or <main> whose
-slots hold most text, else the smallest container that holds most of the text
+The wrapper says where a host keeps its article: the <article> or <main> (or
+what has main as its class, id or role) whose slots hold most text, if that is
+``MAIN_SHARE`` of the text outside boilerplate, else the smallest container that holds most of the text
 outside boilerplate elements. Each page is then read along that path, block by
 block. A page that lacks the path is read by an expression of its own.
 
@@ -286,13 +287,14 @@ def article_path(wrapper: dict) -> list[str]:
             if c["b"]:
                 continue
             below = path if c["k"].startswith("(") else [*path, c["k"]]
-            if c["k"].split(".")[0] in ("article", "main") or ".main" in c["k"] and c["k"].split(".")[0] != "body":
+            tag, *names = c["k"].split(".")
+            if tag in ("article", "main") or "main" in names and tag not in ("html", "body"):
                 found.append((c["w"], below))
             look(c, below)
 
     look(wrapper, [])
     best = max(found, key=lambda f: (f[0], len(f[1])), default=(0, []))
-    if best[0]:
+    if best[0] >= MAIN_SHARE * wrapper["w"]:
         return best[1]
     path, x = [], wrapper
     while True:

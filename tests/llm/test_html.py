@@ -31,3 +31,14 @@ def test_containers_of_the_article_are_read(page):
 def test_side_blocks_stay_out():
     assert texts("<nav>only menu</nav>", f"<div class=comments><article class=comment>{LONG}</article></div>") == ["", ""]
     assert texts(f"<div class=post>{ARTICLE}</div><div class=comments-area><p>{LONG * 9}</p></div>") == [TEXT]
+
+
+@pytest.mark.parametrize("head", ["<div class='main-header'>Site</div>", "<div id='maintenance'>Soon</div>",
+                                  "<div class='main'>Site</div>", "<article>teaser</article>"])
+def test_main_is_a_whole_name_and_holds_the_text(head):
+    assert texts(f"<body>{head}<div class='content'>{ARTICLE}</div></body>") == [TEXT]
+
+
+def test_main_by_name():
+    assert texts(f"<body><p>Skip</p><div id=main>{ARTICLE}</div></body>") == [TEXT]
+    assert texts(f"<body><p>Skip</p><div role=main class=x>{ARTICLE}</div></body>") == [TEXT]
