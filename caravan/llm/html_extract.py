@@ -32,8 +32,8 @@ each other has nothing but literals.
 Defined results: null or empty html gives the empty text; so does a page of
 boilerplate alone; a null or odd url belongs to the host ''; repeated rows are
 pages of their own; broken markup is read as far as it goes (an unknown end tag
-is ignored, an unclosed element ends with its parent, an unclosed script or
-comment ends the page); an empty table gives no rows; other columns are not read.
+is ignored, an unclosed element ends with its parent, an unclosed script, style
+or comment ends the page, <svg/> is empty); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -57,7 +57,12 @@ MAIN_SHARE = 0.6   # a container holds the article if it has this share of the t
 
 # HTML elements by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|noscript|iframe|svg|object|canvas|textarea|select|title"
+RAW = "script|style"       # not read, to the end of the page if unclosed
+CLOSED_RAW = "title|textarea|iframe"  # text up to the end tag, if there is one
+FOREIGN = {"svg", "math"}
+SKIP = set("template noscript iframe svg math object canvas textarea select title".split())  # not read
+BREAKS_OUT = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "pre", "br",
+              "hr", "blockquote", "center", "body"}  # ends an open foreign element
 BLOCK = set("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption "
             "figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td "
             "tfoot th thead tr ul".split())
@@ -82,6 +87,7 @@ WHOLE = {"html", "body", "main", "article"}  # never boilerplate
 REST_SHARE = 0.2   # with less of its text outside boilerplate a page is marked too far
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+                    rf"|<(?P<text_raw>{CLOSED_RAW})\b[^>]*>(?:(?!</?(?P=text_raw)\b).)*</(?P=text_raw)\s*>"
                     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
                     r"|(?P<text>[^<]+|<)", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -149,6 +155,7 @@ def parse(page: str | None) -> list:
     The key is the tag with its class, id and role, numbers written as 0."""
     root = ["", False, "", [], []]
     stack = [root]
+    never_closed: set[str] = set()
     for m in _TOKEN.finditer(page or ""):
         text = m["text"]
         if text is not None:
@@ -164,15 +171,24 @@ def parse(page: str | None) -> list:
                     del stack[k:]
                     break
             continue
+        if tag == "body":  # ends what is open in <head>
+            _close(stack, {"head"}, {"body"})
+        if tag in BREAKS_OUT:
+            _close(stack, FOREIGN, {"foreignobject"})
         if tag in CLOSES_P:
-            _close(stack, {"p"}, CLOSES_P - {"p"})
+            _close(stack, {"p"}, CLOSES_P - {"p"} | SKIP - FOREIGN)
         if tag in SIBLING:
-            _close(stack, next((g for g in LIKE if tag in g), {tag}), SIBLING[tag])
+            _close(stack, next((g for g in LIKE if tag in g), {tag}), SIBLING[tag] | SKIP - FOREIGN)
         names = names_of(m["attrs"])
         inside = any(x[2] in ("article", "main") for x in stack)
         key = tag + "".join("." + re.sub(r"\d+", "0", n) for n in names)
         node = [key, is_boilerplate(tag, names, inside), tag, [], names]
-        stack[-1][3].append(node)
+        if tag not in SKIP:
+            stack[-1][3].append(node)
+        elif tag not in FOREIGN:  # without an end tag it ends with its parent, or where that one ends
+            if tag in never_closed or not re.compile(f"</{tag}\\b", re.I).search(page, m.end()):
+                never_closed.add(tag)
+                node[2] = ""
         if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
             stack.append(node)
     unmark(root)

@@ -42,3 +42,24 @@ def test_main_is_a_whole_name_and_holds_the_text(head):
 def test_main_by_name():
     assert texts(f"<body><p>Skip</p><div id=main>{ARTICLE}</div></body>") == [TEXT]
     assert texts(f"<body><p>Skip</p><div role=main class=x>{ARTICLE}</div></body>") == [TEXT]
+
+
+@pytest.mark.parametrize("icon", [
+    '<svg class="i"/>', '<svg><use href="#i"/></svg>', '<svg viewBox="0 0"><path d="M0"/><text>icon</text></svg>',
+    "<div><svg class=i></div>", "<div><select><option>a<option>b</div>", "<div><noscript>off</div>",
+    "<div><canvas></div>", "<div><template></div>", "<div><object></div>", "<svg><path>", "<math/>",
+    "<div><textarea>x</div>", "<iframe src=a></iframe>", "<textarea></div><p>typed</textarea>"])
+def test_skipped_elements_do_not_end_the_page(icon):
+    page = f"<body><div class=post><h1>Title</h1>{icon}<p>{LONG}</p></div><footer><svg></svg><i></i></footer></body>"
+    assert texts(page) == [TEXT]
+
+
+def test_blocks_in_skipped_elements_stay_skipped():
+    page = f"<div class=post><h1>Title</h1><p>{LONG} <noscript><p>off</p><ul><li>x</ul></noscript></p></div>"
+    assert texts(page) == [TEXT]
+    assert texts(f"<div><h1>Title</h1><p>{LONG} <canvas>off<p>end</div>") == [f"{TEXT}\nend"]
+
+
+def test_unclosed_raw_text():
+    assert texts(f"<head><title>T<body><div>{ARTICLE}</div></body>") == [TEXT]
+    assert texts(f"<body><div>{ARTICLE}<style>p {{}}<p>no</div>", f"<body><div>{ARTICLE}<!-- <p>no</div>") == [TEXT] * 2
