@@ -11,7 +11,11 @@ on all pages stays a template's literal). The result is the host's wrapper.
 Wrappers align with wrappers in the same way, so the work is a tree: each task
 aligns its pages per host (pages of one skeleton are one alignment), then up to
 ``FAN_IN`` partial wrappers per task group are aligned, then the groups'. Every
-page takes part, and a host with a third of all pages never meets in one task.
+page takes part, and the pages of a hot host never meet in one task; its partial
+wrappers do, which are bounded by the template: a key (tag with its class, id and
+role) that less than ``KEY_SHARE`` of the host's pages use is aligned by its first
+class, id or role that reaches this share, else as the bare tag. So a host has at most
+1 / ``KEY_SHARE`` times as many keys as a page, besides tags with one name.
 
 The wrapper says where a host keeps its article: the <article> or <main> (or
 what has main as its class, id or role) whose slots hold most text, if that is
@@ -53,6 +57,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FAN_IN = 64        # task groups whose wrappers are aligned at the last level
 TASK_HOSTS = 2000  # hosts whose wrappers a task keeps before it hands them on
+TASK_KEYS = 200_000  # (host, key) counts a task keeps before it hands them on
+KEY_SHARE = 0.05   # share of its host's pages that a key or name needs
 MAIN_SHARE = 0.6   # a container holds the article if it has this share of the text
 
 # HTML elements by kind.
@@ -90,6 +96,7 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)
                     rf"|<(?P<text_raw>{CLOSED_RAW})\b[^>]*>(?:(?!</?(?P=text_raw)\b).)*</(?P=text_raw)\s*>"
                     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
                     r"|(?P<text>[^<]+|<)", re.S | re.I)
+_NAMED = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 # a listed word alone, first of a compound name, or with the place it is in
 _NAME = re.compile(r"(?:(?:site|page|main|global)[-_]+)?([a-z]+)(?:[-_]|\d|$)")
@@ -150,7 +157,28 @@ def unmark(tree: list) -> None:
         best[2][1] = False
 
 
-def parse(page: str | None) -> list:
+def key_of(tag: str, names: list[str], common: frozenset | None) -> str:
+    """``common``: keys and names that enough of the host's pages use, None for all."""
+    folded = [re.sub(r"\d+", "0", n) for n in names]
+    key = ".".join([tag, *folded])
+    if common is None or not names or key in common:
+        return key
+    known = [n for n in folded if f".{n}" in common]
+    return f"{tag}.{'main' if 'main' in known else known[0]}" if known else tag
+
+
+def keys_in(page: str) -> set[str]:
+    """Keys of a page's elements with names, and the names (with a leading dot)."""
+    out = set()
+    for tag, attrs in set(_NAMED.findall(page)):
+        if names := names_of(attrs):
+            folded = [re.sub(r"\d+", "0", n) for n in names]
+            out.add(".".join([tag.lower(), *folded]))
+            out.update("." + n for n in folded)
+    return out
+
+
+def parse(page: str | None, common: frozenset | None = None) -> list:
     """Tree of [key, boilerplate, tag, children, names]; a text is a plain string.
     The key is the tag with its class, id and role, numbers written as 0."""
     root = ["", False, "", [], []]
@@ -181,8 +209,7 @@ def parse(page: str | None) -> list:
             _close(stack, next((g for g in LIKE if tag in g), {tag}), SIBLING[tag] | SKIP - FOREIGN)
         names = names_of(m["attrs"])
         inside = any(x[2] in ("article", "main") for x in stack)
-        key = tag + "".join("." + re.sub(r"\d+", "0", n) for n in names)
-        node = [key, is_boilerplate(tag, names, inside), tag, [], names]
+        node = [key_of(tag, names, common), is_boilerplate(tag, names, inside), tag, [], names]
         if tag not in SKIP:
             stack[-1][3].append(node)
         elif tag not in FOREIGN:  # without an end tag it ends with its parent, or where that one ends
@@ -361,8 +388,8 @@ def text_of(tree: list) -> str:
     return "\n".join(blocks)
 
 
-def extract(page: str | None, path: list[str] | None) -> str:
-    tree = parse(page)
+def extract(page: str | None, path: list[str] | None, common: frozenset | None = None) -> str:
+    tree = parse(page, common)
     at = places(tree, path) if path else []
     if not at:
         own = article_path(expression(tree))
@@ -390,7 +417,54 @@ def _add(a: dict, b: dict) -> None:
         _add(x, y)
 
 
+def _task_keys(batches):
+    """Counts of this task's pages by host and key; the key '' counts all."""
+    counts: dict[tuple[str, str], int] = {}
+
+    def hand_on():
+        rows = [(h, k, n) for (h, k), n in counts.items()]
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in
+                                           enumerate((pa.string(), pa.string(), pa.int64()))], names=["host", "key", "n"])
+
+    for b in batches:
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k in ("", *keys_in(page)):
+                counts[host, k] = counts.get((host, k), 0) + 1
+            if len(counts) > TASK_KEYS:
+                yield hand_on()
+    yield hand_on()
+
+
+def common_keys(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(key_host, common): the keys and names that at least ``KEY_SHARE`` of a
+    host's pages use, a line each; hosts without any are left out."""
+    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).where("html is not null")
+    counts = rows.mapInArrow(_task_keys, "host string, key string, n long").groupBy("host", "key").agg(F.sum("n").alias("n"))
+    from caravan.llm.common import scratch_table
+    counts = scratch_table(counts, "html-keys")
+    total = counts.where("key = ''").select(F.col("host").alias("key_host"), F.col("n").alias("pages"))
+    many = counts.where("key <> ''").join(total, F.col("host") == F.col("key_host"))
+    many = many.where(F.col("n") >= F.col("pages") * F.lit(KEY_SHARE))
+    return scratch_table(many.groupBy("key_host").agg(F.array_join(F.sort_array(F.collect_list("key")), "\n").alias("common")),
+                         "html-common-keys")
+
+
+def _commons():
+    """Text of common keys -> set, kept for the hosts met last."""
+    kept: dict[str | None, frozenset] = {}
+
+    def of(text: str | None) -> frozenset:
+        if text not in kept:
+            if len(kept) >= 1000:
+                kept.clear()
+            kept[text] = frozenset((text or "").split("\n"))
+        return kept[text]
+    return of
+
+
 def _task_wrappers(batches):
+    common = _commons()
     part, kept = TaskContext.get().partitionId(), {}
 
     def hand_on():
@@ -401,8 +475,8 @@ def _task_wrappers(batches):
                                            pa.array([w for _, w in rows], pa.string())], names=["host", "part", "wrapper"])
 
     for b in batches:
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = expression(parse(page))
+        for host, page, keys in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            x = expression(parse(page, common(keys)))
             of_host = kept.setdefault(host, {})
             key = _skeleton(x)
             if key in of_host:
@@ -429,10 +503,12 @@ def _align_group(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "part": [int(rows["part"].iloc[0])], "wrapper": [json.dumps(out)]})
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", common: DataFrame | None = None) -> DataFrame:
     """(host, wrapper): each host's inferred expression, as JSON."""
+    common = common_keys(pages, url_col, html_col) if common is None else common
     kind = "host string, part int, wrapper string"
     rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html")).where("html is not null")
+    rows = rows.join(common, F.col("host") == F.col("key_host"), "left").select("host", "html", "common")
     parts = rows.mapInArrow(_task_wrappers, kind)
     some = parts.groupBy("host", (F.col("part") % FAN_IN).alias("group")).applyInPandas(_align_group, kind)
     return some.groupBy("host").applyInPandas(_align_group, kind).select("host", "wrapper")
@@ -446,8 +522,10 @@ def _paths(batches):
 
 
 def _extract(batches):
+    common = _commons()
     for b in batches:
-        texts = [extract(h, p) for h, p in zip(b.column("html").to_pylist(), b.column("path").to_pylist(), strict=True)]
+        texts = [extract(h, p, common(k)) for h, p, k in
+                 zip(*(b.column(c).to_pylist() for c in ("html", "path", "common")), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -456,9 +534,11 @@ def _extract(batches):
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points)."""
     from caravan.llm.common import scratch_table
-    found = scratch_table(wrappers(pages, url_col, html_col), "wrappers")
+    common = common_keys(pages, url_col, html_col)
+    found = scratch_table(wrappers(pages, url_col, html_col, common), "wrappers")
     paths = found.mapInArrow(_paths, "host string, path array<string>")
+    paths = paths.join(common, F.col("host") == F.col("key_host"), "left").select("host", "path", "common")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         F.col(html_col).alias("html"), host_of(url_col).alias("page_host"))
-    joined = rows.join(paths, F.col("page_host") == F.col("host"), "left").select("page_id", "url", "html", "path")
+    joined = rows.join(paths, F.col("page_host") == F.col("host"), "left").select("page_id", "url", "html", "path", "common")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -63,3 +63,23 @@ def test_blocks_in_skipped_elements_stay_skipped():
 def test_unclosed_raw_text():
     assert texts(f"<head><title>T<body><div>{ARTICLE}</div></body>") == [TEXT]
     assert texts(f"<body><div>{ARTICLE}<style>p {{}}<p>no</div>", f"<body><div>{ARTICLE}<!-- <p>no</div>") == [TEXT] * 2
+
+
+def test_wrapper_is_bounded_by_the_template(spark):
+    """A name of its own on each page adds nothing to the wrapper."""
+    def page(i):
+        slug = "".join(chr(97 + int(d)) for d in f"{i:04d}")
+        heads = "".join(f"<h2 id='{slug}{k}' class='css-{slug} t'>H {i}</h2><p>{LONG} {i}</p><i></i>" for k in "xyz")
+        return (f"<body class='post post-{slug}'><nav class='n{slug}'>Menu</nav>"
+                f"<div id='main' class='c{slug}'>{heads}</div><div class='foot-{slug}'>F</div></body>")
+
+    def size(n):
+        d = spark.createDataFrame([(i, u, page(i)) for i in range(n) for u in ("http://a.org/x", None)],
+                                  "page_id long, url string, html string").repartition(4)
+        found = {r.host: r.wrapper for r in H.wrappers(d).collect()}
+        assert set(found) == {"a.org", ""}
+        got = H.main_texts(d).collect()
+        assert len(got) == 2 * n and all(r.text == "\n".join([f"H {r.page_id}", f"{LONG} {r.page_id}"] * 3) for r in got)
+        return max(map(len, found.values()))
+
+    assert size(400) < 1.1 * size(100)
