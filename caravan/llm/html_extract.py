@@ -30,8 +30,13 @@ page is left so, the marked elements around its article or most of its text
 
 Blocks are block elements and <br>; character references are decoded, white
 space inside a block becomes one space, empty blocks go, the rest is joined by
-\\n in page order. Literals are not dropped: a host whose pages are copies of
-each other has nothing but literals.
+\\n in page order.
+
+Literals of the host are dropped last: a block that more than ``LITERAL_SHARE`` of
+the host's pages hold, and of its distinct texts, ``LITERAL_PAGES`` at least, beside
+slots with text. A text that consists of such blocks for more than half of its
+characters does not count, so hosts whose pages are copies or near copies of each
+other keep all; on hosts with fewer distinct texts literals stay too.
 
 Defined results: null or empty html gives the empty text; so does a page of
 boilerplate alone; a null or odd url belongs to the host ''; repeated rows are
@@ -59,6 +64,8 @@ FAN_IN = 64        # task groups whose wrappers are aligned at the last level
 TASK_HOSTS = 2000  # hosts whose wrappers a task keeps before it hands them on
 TASK_KEYS = 200_000  # (host, key) counts a task keeps before it hands them on
 KEY_SHARE = 0.05   # share of its host's pages that a key or name needs
+LITERAL_PAGES = 20   # distinct texts that show a block to be a literal
+LITERAL_SHARE = 0.5
 MAIN_SHARE = 0.6   # a container holds the article if it has this share of the text
 
 # HTML elements by kind.
@@ -537,8 +544,18 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     common = common_keys(pages, url_col, html_col)
     found = scratch_table(wrappers(pages, url_col, html_col, common), "wrappers")
     paths = found.mapInArrow(_paths, "host string, path array<string>")
-    paths = paths.join(common, F.col("host") == F.col("key_host"), "left").select("host", "path", "common")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         F.col(html_col).alias("html"), host_of(url_col).alias("page_host"))
-    joined = rows.join(paths, F.col("page_host") == F.col("host"), "left").select("page_id", "url", "html", "path", "common")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    # one after the other: each is small enough to broadcast, their join looks too large
+    joined = rows.join(paths, F.col("page_host") == F.col("host"), "left")
+    joined = joined.join(common, F.col("page_host") == F.col("key_host"), "left").select("page_id", "url", "html", "path", "common")
+    texts = joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return without_literals(scratch_table(texts, "html-texts"))
+
+
+def without_literals(texts: DataFrame) -> DataFrame:
+    """``texts`` without the blocks that are literals of their hosts."""
+    from caravan.llm.line_dedup import drop_boilerplate_lines
+    out = drop_boilerplate_lines(texts, host_of("url"), max_ratio=LITERAL_SHARE, min_docs=LITERAL_PAGES,
+                                 copies_vote=False, min_texts=LITERAL_PAGES)
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

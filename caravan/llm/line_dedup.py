@@ -10,7 +10,7 @@ are never boilerplate; the other lines stay as they are, in order.
 document repeats each of its lines in 100 %).
 
 With ``copies_vote=False`` such a line must also hold without copies: it is cut
-only if at least ``MIN_TEXTS`` distinct texts of the host, and more than
+only if at least ``min_texts`` distinct texts of the host, and more than
 ``max_ratio`` of them, hold it among other text. A text that consists of such
 lines for more than half of its characters does not count as holding them, so
 neither exact copies nor near copies make an article boilerplate. Lines that
@@ -63,7 +63,7 @@ def boilerplate(rows: DataFrame, max_ratio: float, min_docs: int) -> DataFrame:
             .groupBy("c.host").agg(F.collect_list("digest").alias("digests")))
 
 
-def without_copies(rows: DataFrame, found: DataFrame, max_ratio: float) -> DataFrame:
+def without_copies(rows: DataFrame, found: DataFrame, max_ratio: float, min_texts: int) -> DataFrame:
     """``found`` (host, digests) without the lines that only copies put there.
 
     Only rows that hold a found line are exploded, to those lines."""
@@ -79,20 +79,20 @@ def without_copies(rows: DataFrame, found: DataFrame, max_ratio: float) -> DataF
     cut = F.filter("lines", lambda x: F.array_contains(F.col("hits"), _digest(x)))
     held = held.where(2 * chars(cut) <= chars(F.col("lines")))
     votes = held.select("host", "text_digest", F.explode("hits").alias("digest")).distinct().groupBy("host", "digest").agg(
-        F.count("*").alias("n")).where(F.col("n") >= MIN_TEXTS)
+        F.count("*").alias("n")).where(F.col("n") >= min_texts)
     v, t = votes.alias("v"), totals.alias("t")
     return (v.join(t, F.expr("v.host <=> t.host")).where(F.col("n") > F.col("total") * F.lit(max_ratio))
             .groupBy("v.host").agg(F.collect_list("digest").alias("digests")))
 
 
 def drop_boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO,
-                           min_docs: int = MIN_DOCS, copies_vote: bool = True) -> DataFrame:
+                           min_docs: int = MIN_DOCS, copies_vote: bool = True, min_texts: int = MIN_TEXTS) -> DataFrame:
     """``docs`` with the cleaned text in ``text_col``, plus n_lines and
     n_dropped."""
     d = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), F.col(text_col).alias("text"))
     found = scratch_table(boilerplate(d.select("host", "text"), max_ratio, min_docs), "boilerplate")
     if not copies_vote:
-        found = scratch_table(without_copies(d.select("host", "text"), found, max_ratio), "boilerplate-texts")
+        found = scratch_table(without_copies(d.select("host", "text"), found, max_ratio, min_texts), "boilerplate-texts")
     d, b = d.alias("d"), found.alias("b")
     lines = _lines(F.col("d.text"))
     joined = d.join(b, F.expr("d.host <=> b.host"), "left").select(

@@ -83,3 +83,22 @@ def test_wrapper_is_bounded_by_the_template(spark):
         return max(map(len, found.values()))
 
     assert size(400) < 1.1 * size(100)
+
+
+def test_literals_of_a_host_go_unless_its_pages_are_copies(spark):
+    legal = "All rights reserved by the publisher"
+
+    def page(*blocks):
+        return "<body><article>" + "".join(f"<p>{b}</p>" for b in blocks) + f"<div class=legal>{legal}</div></article></body>"
+    many = [page(f"{LONG} {i}", f"more {i}") for i in range(40)] + [page(f"{LONG} copy")] * 20
+    copies, near = [page(LONG, "same")] * 30, [page(LONG, f"end {i}") for i in range(30)]
+    few = [page(f"{LONG} {i}") for i in range(10)]
+    hosts = {"many": many, "copies": copies, "near": near, "few": few}
+    rows = [(k, f"http://{h}.org/{k}", p) for h, pages in hosts.items() for k, p in enumerate(pages)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.url: (r.text, r.n_chars) for r in H.main_texts(d).collect()}
+    for k, url, p in rows:
+        blocks = p.replace("<div class=legal>", "<p>").replace("</div>", "</p>").split("<p>")[1:]
+        want = [b.split("</p>")[0] for b in blocks]
+        text = "\n".join(w for w in want if w != legal or "many" not in url)
+        assert got[url] == (text, len(text))
