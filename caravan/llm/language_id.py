@@ -191,17 +191,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                                                             "score double, langs array<string>")
 
 
-def in_one_language(docs: DataFrame, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
-                    lang_col: str = "lang", penalty: float = PENALTY) -> DataFrame:
-    """``docs`` without those that language ID rejects: no letter, or no language
-    with at least ``min_score`` of the trigrams. ``lang_col`` becomes the
-    predicted language; the other columns stay."""
+def in_one_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    penalty: float = PENALTY) -> DataFrame:
+    """``docs`` without those that have no letter. ``lang_col`` becomes the
+    predicted language, also of a text in several languages; the other columns
+    stay. If nothing can be learned, ``docs`` as they are."""
     langs, table = _learn_from(docs, id_col, text_col, lang_col)
+    if not langs:
+        return docs
     # names of its own, so that no column of docs clashes with the new ones
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     kind = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
     at = docs.columns.index(text_col)
     out = rows.mapInArrow(_predict(langs, table, penalty, f"c{at}", keep_text=True),
                           f"{kind}, lang_pred string, score double, langs array<string>")
-    out = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    out = out.where(F.size("langs") > 0)
     return out.select(*[F.col("lang_pred" if c == lang_col else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -21,8 +21,8 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents without a letter or without a majority language go;
-    ``lang`` becomes the predicted language."""
+    """Operator 7: documents without a letter go; ``lang`` becomes the predicted
+    language. If no row has a language, all pass unchanged."""
     return language_id.in_one_language(docs)
 
 
