@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from caravan.operators.admission import admit_bookings
-from conftest import rows
+from helpers import rows
 
 
 def brute(caps, used0, reqs):

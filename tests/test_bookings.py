@@ -1,7 +1,7 @@
 """Edge fixtures: roster_nulls, user_trips, nested_parents, coupon_bounds."""
 from caravan.operators import bookings as B
 from caravan.operators import coupons as CP
-from conftest import rows
+from helpers import rows
 
 BATCHES = ("id string, trip_id string, from_date long, to_date long, days int, nights int, price long, "
            "tax long, max_adventurers int, status boolean, batch_name string, single_room int, "

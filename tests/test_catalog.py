@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from caravan.operators import catalog as C
 from caravan.plans.shapes import with_group_count
-from conftest import rows
+from helpers import rows
 
 AS_OF = 1000
 BATCH = ("id string, trip_id string, from_date long, to_date long, price long, max_adventurers int, "

@@ -1,7 +1,7 @@
 """Edge fixtures: booking_rules, inserts, patches, deletes (+ properties)."""
 from caravan.operators import changes as CH
 from caravan.sources.constraints import constraint_report
-from conftest import rows
+from helpers import rows
 
 REQ = ("request_id string, seq long, user_ref string, batch_ref string, name string, phone_number string, "
        "guardian_number string, email string, payment string, travellers string, room_type string, "

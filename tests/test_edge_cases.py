@@ -10,7 +10,7 @@ from caravan.functions.sql import register_functions
 from caravan.operators import changes as CH
 from caravan.operators.admission import admit_bookings
 from caravan.plans.shapes import with_group_count
-from conftest import rows
+from helpers import rows
 
 PARSE_INT = {"0x10": 16, "-0X1f": -31, "0x": 0, " 12": 12, "﻿　7a": 7, " +5.9": 5, "x1": None, "": None,
              "99999999999999999999": None, "010": 10}

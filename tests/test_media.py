@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caravan.functions.columns import slug
 from caravan.operators import media as M
 from caravan.sources.media import media_manifest
-from conftest import rows
+from helpers import rows
 
 
 def test_slug_rules_and_idempotence(spark):

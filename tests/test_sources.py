@@ -7,7 +7,7 @@ import pytest
 from caravan.operators import paging as PG
 from caravan.sources import tables as ST
 from caravan.sources.constraints import constraint_report
-from conftest import rows
+from helpers import rows
 
 
 def test_migrate_bookings_shapes(spark):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caravan.operators.admission import admit_bookings
 from caravan.operators.coupons import coupon_status
 from caravan.streaming import feeds as S
-from conftest import rows
+from helpers import rows
 
 
 def _write_parts(df, root, n=3, order_col=None):
