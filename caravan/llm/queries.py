@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caravan.llm import (exact_dedup, html_extract, jaccard_join, language_id, line_dedup, mixing, packing, sharding,
-                         sql, token_output, topk)
-from caravan.llm.common import read, scratch_path
+from caravan.llm import (exact_dedup, hard_negatives, html_extract, jaccard_join, language_id, line_dedup, mixing,
+                         packing, periodic_runs, secret_scan, sharding, sql, token_output, topk)
+from caravan.llm.common import read, scratch_path, text_or_empty
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,38 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector's first 5 positives; every 7th
+    vector has its label moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"), every=100, label=moved)
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document: base patterns and inferred formats."""
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"), secret_scan.as_text(F.col("spans")).alias("spans"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, some made periodic by their id."""
+    docs = read(spark, sf_dir, "documents")
+    listed = periodic_runs.with_periods(text_or_empty("text"), F.col("doc_id"))
+    found = periodic_runs.periodic_runs(docs, word_list=listed).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in (
+        "start", "length", "period")]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, sql.LINE_DEDUP),
     "op2_sharding": (op2_sharding, None),
@@ -83,6 +115,9 @@ QUERIES = {
     "op8_mixing": (op8_mixing, sql.MIXING),
     "op9_packing": (op9_packing, None),
     "op10_token_output": (op10_token_output, None),
+    "op11_hard_negatives": (op11_hard_negatives, sql.HARD_NEGATIVES),
+    "op12_secret_scan": (op12_secret_scan, None),
+    "op13_periodic_runs": (op13_periodic_runs, sql.PERIODIC_RUNS),
 }
 
 

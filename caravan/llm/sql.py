@@ -126,3 +126,84 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.to_id) AS compone
 FROM sets s JOIN reach r ON r.doc_id = s.doc_id
 GROUP BY s.doc_id, len(s.s)
 """
+
+HARD_NEGATIVES = """
+WITH vec AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, d.vec_id, a.label = d.label AS same,
+         CAST(list_dot_product(a.v, d.v) AS BIGINT) AS score
+  FROM vec a JOIN vec d ON a.vec_id % 100 = 0 AND a.vec_id <> d.vec_id
+),
+positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+PERIODIC_RUNS = r"""
+WITH crc AS (  -- crc32 of the id's decimal digits, bit by bit
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+               [CAST(ascii(c) AS BIGINT) for c in string_split(CAST(doc_id AS VARCHAR), '')]),
+             lambda s, b: list_reduce(list_concat([xor(s, b)], [CAST(k AS BIGINT) for k in range(8)]),
+               lambda t, k: CASE WHEN t & 1 = 1 THEN xor(t >> 1, CAST(3988292384 AS BIGINT)) ELSE t >> 1 END)),
+             CAST(4294967295 AS BIGINT)) AS h
+  FROM documents
+),
+place AS (
+  SELECT rid, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a, (h // 10) AS g
+  FROM crc
+),
+doc AS (
+  SELECT rid, doc_id, n,
+         CASE WHEN planted THEN [CASE WHEN i >= a THEN w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] ELSE w[i + 1] END
+                                 for i in range(n)] ELSE w END AS w
+  FROM place
+),
+word AS (SELECT rid, n, unnest(w) AS w, unnest(range(n)) AS i FROM doc),
+-- places i whose word stands q places later too
+equal AS (
+  SELECT x.rid, x.i, y.i - x.i AS q
+  FROM word x JOIN word y ON x.rid = y.rid AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+),
+stretch AS (
+  SELECT rid, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM equal)
+  GROUP BY rid, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)
+),
+run AS (SELECT rid, start, length, min(q) AS period FROM stretch GROUP BY rid, start, length),
+listed AS (
+  SELECT rid, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+  FROM run GROUP BY rid
+),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length::DOUBLE / period DESC, start, period) AS place FROM run
+),
+kept AS (
+  SELECT rid, string_agg(w, ' ' ORDER BY i) AS collapsed
+  FROM word x
+  WHERE NOT EXISTS (SELECT 1 FROM run r WHERE r.rid = x.rid AND x.i >= r.start + r.period AND x.i < r.start + r.length)
+  GROUP BY rid
+)
+SELECT d.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.length, b.period,
+       CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(l.runs, '')) AS runs_sha256, sha256(coalesce(k.collapsed, '')) AS collapsed_sha256
+FROM doc d LEFT JOIN listed l ON d.rid = l.rid LEFT JOIN best b ON d.rid = b.rid AND b.place = 1
+     LEFT JOIN kept k ON d.rid = k.rid
+"""
