@@ -2,10 +2,11 @@
 property test against a brute-force sequential fold."""
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from caravan.operators.admission import admit_bookings
+from caravan.operators.admission import accepted, admit_bookings, steps
 from helpers import rows
 
 
@@ -64,3 +65,48 @@ def test_matches_sequential_fold(spark, reqs, cap, segs):
     # admitted travellers never exceed capacity
     for b, c in caps.items():
         assert sum(n for rid, _, bb, n in rr if bb == b and got[rid][0]) <= c
+
+
+def test_any_capacity_and_booked_sum(spark):
+    """Free seats beyond 2e9, booked sums below zero and above the capacity: the same with 1, 4 and 64 segments."""
+    rnd = random.Random(3)
+    caps = {"neg": 10, "big": 2_000_000_000, "over": 5, "huge": 2_000_000_000}
+    bookings = [("neg", -3), ("over", 9)]
+    reqs = [(f"n{i}", f"{i:05d}", "neg", 1) for i in range(30)]
+    reqs += [(f"b{i}", f"{i:05d}", "big", rnd.randint(1, 9)) for i in range(2000)]
+    reqs += [(f"o{i}", f"{i:05d}", "over", 1) for i in range(30)]
+    reqs += [(f"h{i}", f"{i:05d}", "huge", rnd.randint(1, 2 ** rnd.randint(1, 30))) for i in range(600)]
+    want = brute(caps, dict(bookings), reqs)
+    for segments in (1, 4, 64):
+        assert _run(spark, caps, bookings, reqs, segments=segments) == want
+    assert sum(ok for k, (ok, _) in want.items() if k[0] == "n") == 13
+
+
+def test_turn_after_known_segments(spark):
+    """All fits for many segments, then only small requests do."""
+    caps = {"b": 5000}
+    reqs = [(f"r{i}", f"{i:05d}", "b", 3 if i < 1600 else 1 + i % 7) for i in range(4000)]
+    want = brute(caps, {}, reqs)
+    for segments in (1, 7, 32):
+        assert _run(spark, caps, None, reqs, segments=segments) == want
+
+
+def test_adversarial_sizes(spark):
+    """Halving requests: every start accepts a set of its own."""
+    caps = {"b": 3000}
+    reqs = [(f"r{i}", f"{i:05d}", "b", n) for i, n in enumerate(([1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1] * 40))]
+    want = brute(caps, {}, reqs)
+    assert _run(spark, caps, None, reqs, segments=16) == want
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=25), st.integers(1, 13))
+def test_steps_compose(ns, top):
+    lo, taken = steps(np.array(ns, np.int64), top)
+    assert len(lo) <= top + 1 and list(lo) == sorted(set(lo.tolist()))
+    for r in range(-2, top):
+        left = r
+        for n in ns:
+            left -= n if n <= left else 0
+        assert r - taken[np.searchsorted(lo, r, "right") - 1] == left
+        assert r - np.array(ns, np.int64)[accepted(np.array(ns, np.int64), r)].sum() == left
