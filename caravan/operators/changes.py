@@ -11,11 +11,12 @@ Request columns are text, as in the reference's form / JSON bodies. The JS
 "required" test (``!value``) is ``blank``: null or empty text; JSON-number
 bodies also treat 0 as missing (``blank0``).
 
-Requests are decided "as if handled one after the other" in ``seq`` order:
+Requests are decided "as if handled one after the other" in ``seq`` order (equal
+ones by ``request_id``, which names one request; those without a ``seq`` last):
 * the first failing rule wins, rules in the reference's order;
-* among requests that pass all rules, the first by ``seq`` per unique key
+* among requests that pass all rules, the first in this order per unique key
   wins and the later ones get the key's DUPLICATE code; a request rejected for
-  another reason does not block the key. The first valid ``seq`` per key is a
+  another reason does not block the key. The first valid request per key is a
   partial aggregate joined back (no window over a key's whole group).
 """
 
@@ -88,11 +89,12 @@ def decide(requests: DataFrame, before: Sequence[tuple[Column, str]], key: Colum
         r = r.withColumn("_exists", F.lit(None).cast("boolean"))
     exists = F.coalesce(F.col("_exists"), F.lit(False))
     valid = F.col("_e1").isNull() & ~exists & F.col("_e3").isNull()
-    first = (r.where(valid).groupBy(F.col("_key").alias("_fk")).agg(F.min("seq").alias("_first_seq")))
+    turn = F.struct(F.col("seq").isNull().alias("last"), "seq", "request_id")
+    first = (r.where(valid).groupBy(F.col("_key").alias("_fk")).agg(F.min(turn).alias("_first")))
     r = r.join(first, r["_key"] == first["_fk"], "left").drop("_fk")
-    dup = exists | (F.col("_first_seq").isNotNull() & (F.col("seq") > F.col("_first_seq")))
+    dup = exists | (F.col("_first").isNotNull() & (turn > F.col("_first")))
     err = F.coalesce(F.col("_e1"), F.when(dup, F.lit(dup_code)), F.col("_e3"))
-    return r.withColumn("error_code", err).drop("_e1", "_e3", "_key", "_exists", "_first_seq")
+    return r.withColumn("error_code", err).drop("_e1", "_e3", "_key", "_exists", "_first")
 
 
 def outcome(decided: DataFrame) -> DataFrame:

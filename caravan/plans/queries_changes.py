@@ -34,6 +34,26 @@ def _sha(*cols: str) -> str:
     return "sha256(concat_ws(chr(1), " + ", ".join(f"CAST({c} AS VARCHAR)" for c in cols) + "))"
 
 
+def _first_sql(key: str, valid: str) -> str:
+    """The first valid request per key: by seq, those without one last, then by id."""
+    return (f"SELECT {key} AS fk, seq IS NULL AS fn, coalesce(seq, 0) AS fs, request_id AS fr FROM x WHERE {valid} "
+            f"QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY seq NULLS LAST, request_id) = 1")
+
+
+_LATER = "(x.seq IS NULL, coalesce(x.seq, 0), x.request_id) > (f.fn, f.fs, f.fr)"
+
+
+def _asked_sql(requests: str, ties: bool) -> str:
+    """The request table; with ``ties`` many requests share a seq or have none."""
+    seq = "CASE WHEN seq % 7 = 0 THEN NULL ELSE seq % 5 END" if ties else "seq"
+    return f"asked AS (SELECT * REPLACE ({seq} AS seq) FROM {requests})"
+
+
+def tied(requests):
+    """The request table of ``_asked_sql`` with ties."""
+    return requests.withColumn("seq", F.when(F.col("seq") % 7 != 0, F.col("seq") % 5))
+
+
 _OUTCOME = "SELECT request_id, error_code IS NULL AS accepted, error_code FROM d"
 
 # ------------------------------------------------------------------ M1
@@ -42,11 +62,11 @@ _TRIP_E1 = ("CASE WHEN " + " OR ".join(_blank(f'"{c}"') for c in CH.TRIP_REQUIRE
             " WHEN NOT coalesce(has_itinerary, false) THEN 'ITINERARY_REQUIRED'"
             " WHEN json_valid(\"daysData\") IS NOT TRUE THEN 'INVALID_DAYS_JSON' END")
 
-def _trips_decided_sql() -> str:
-    return duck_with("trips", "trip_requests") + f""", r1 AS (SELECT *, {_TRIP_E1} AS e1 FROM trip_requests),
+def _trips_decided_sql(ties: bool = False) -> str:
+    return duck_with("trips", "trip_requests") + f""", {_asked_sql('trip_requests', ties)}, r1 AS (SELECT *, {_TRIP_E1} AS e1 FROM asked),
 x AS (SELECT r1.*, name IN (SELECT destination_name FROM trips) AS ex FROM r1),
-f AS (SELECT name AS fk, min(seq) AS fs FROM x WHERE e1 IS NULL AND NOT coalesce(ex, false) GROUP BY name),
-d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR x.seq > f.fs THEN 'DUPLICATE_NAME' END)
+f AS ({_first_sql('name', 'e1 IS NULL AND NOT coalesce(ex, false)')}),
+d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR {_LATER} THEN 'DUPLICATE_NAME' END)
         AS error_code FROM x LEFT JOIN f ON f.fk = x.name)
 """
 
@@ -57,6 +77,13 @@ def q_insert_trips_outcome(spark, d):
     return CH.insert_trips(t.trips, t.trip_requests)[1]
 
 
+@register("insert_trips_ties", _trips_decided_sql(ties=True) + _OUTCOME)
+def q_insert_trips_ties(spark, d):
+    """Requests with equal arrival numbers, and without one."""
+    t = Tables(spark, d)
+    return CH.insert_trips(t.trips, tied(t.trip_requests))[1]
+
+
 @register("insert_trips_table", _trips_decided_sql() + f"""
 SELECT CAST(id AS VARCHAR) AS id, destination_name, destinations, physical_rating, description, itinerary,
        inclusions, excluions, days, nights, status, images FROM trips
@@ -80,13 +107,12 @@ _BATCH_E3 = ("CASE WHEN " + " OR ".join(f"{_pi(c)} IS NULL" for c in _NUMS) +
              " THEN 'TRIP_NOT_FOUND' END")
 
 
-def _batches_decided_sql() -> str:
-    return duck_with("batches", "trips", "batch_requests") + f""", r1 AS (
-  SELECT *, {_BATCH_E1} AS e1, {_BATCH_E3} AS e3 FROM batch_requests),
+def _batches_decided_sql(ties: bool = False) -> str:
+    return duck_with("batches", "trips", "batch_requests") + f""", {_asked_sql('batch_requests', ties)}, r1 AS (
+  SELECT *, {_BATCH_E1} AS e1, {_BATCH_E3} AS e3 FROM asked),
 x AS (SELECT r1.*, "batchName" IN (SELECT batch_name FROM batches) AS ex FROM r1),
-f AS (SELECT "batchName" AS fk, min(seq) AS fs FROM x WHERE e1 IS NULL AND e3 IS NULL AND NOT coalesce(ex, false)
-      GROUP BY "batchName"),
-d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR x.seq > f.fs THEN 'DUPLICATE_NAME' END, e3)
+f AS ({_first_sql('"batchName"', 'e1 IS NULL AND e3 IS NULL AND NOT coalesce(ex, false)')}),
+d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR {_LATER} THEN 'DUPLICATE_NAME' END, e3)
         AS error_code FROM x LEFT JOIN f ON f.fk = x."batchName")
 """
 
@@ -97,6 +123,13 @@ def q_insert_batches_outcome(spark, d):
     return CH.insert_batches(t.batches, t.batch_requests, t.trips, AS_OF)[1]
 
 
+@register("insert_batches_ties", _batches_decided_sql(ties=True) + _OUTCOME)
+def q_insert_batches_ties(spark, d):
+    """Requests with equal arrival numbers, and without one."""
+    t = Tables(spark, d)
+    return CH.insert_batches(t.batches, tied(t.batch_requests), t.trips, AS_OF)[1]
+
+
 @register("insert_batches_table", _batches_decided_sql() + f"""
 SELECT CAST(id AS VARCHAR) AS id, CAST(trip_id AS VARCHAR) AS trip_id, from_date, to_date, days, nights,
        price, tax, max_adventurers, status, batch_name, single_room, double_room, triple_room, created_at
@@ -114,14 +147,13 @@ def q_insert_batches_table(spark, d):
 
 
 # ------------------------------------------------------------------ M3
-def _coupons_decided_sql() -> str:
+def _coupons_decided_sql(ties: bool = False) -> str:
     e1 = ("CASE WHEN " + " OR ".join([_blank('"couponCode"'), _blank0('deduction'), _blank0('"startDate"'),
                                        _blank0('"endDate"')]) + " THEN 'MISSING_FIELDS' END")
-    return duck_with("coupons", "coupon_requests") + f""", r1 AS (SELECT *, {e1} AS e1 FROM coupon_requests),
+    return duck_with("coupons", "coupon_requests") + f""", {_asked_sql('coupon_requests', ties)}, r1 AS (SELECT *, {e1} AS e1 FROM asked),
 x AS (SELECT r1.*, "couponCode" IN (SELECT code FROM coupons) AS ex FROM r1),
-f AS (SELECT "couponCode" AS fk, min(seq) AS fs FROM x WHERE e1 IS NULL AND NOT coalesce(ex, false)
-      GROUP BY "couponCode"),
-d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR x.seq > f.fs THEN 'DUPLICATE_CODE' END)
+f AS ({_first_sql('"couponCode"', 'e1 IS NULL AND NOT coalesce(ex, false)')}),
+d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR {_LATER} THEN 'DUPLICATE_CODE' END)
         AS error_code FROM x LEFT JOIN f ON f.fk = x."couponCode")
 """
 
@@ -132,6 +164,13 @@ def q_insert_coupons_outcome(spark, d):
     return CH.insert_coupons(t.coupons, t.coupon_requests)[1]
 
 
+@register("insert_coupons_ties", _coupons_decided_sql(ties=True) + _OUTCOME)
+def q_insert_coupons_ties(spark, d):
+    """Requests with equal arrival numbers, and without one."""
+    t = Tables(spark, d)
+    return CH.insert_coupons(t.coupons, tied(t.coupon_requests))[1]
+
+
 @register("insert_coupons_table", _coupons_decided_sql() + f"""
 SELECT CAST(id AS VARCHAR) AS id, code, deduction, start_date, end_date, status FROM coupons
 UNION ALL
@@ -145,17 +184,16 @@ def q_insert_coupons_table(spark, d):
 
 
 # ------------------------------------------------------------------ M4
-def _users_decided_sql() -> str:
+def _users_decided_sql(ties: bool = False) -> str:
     e1 = ("CASE WHEN " + " OR ".join(_blank(c) for c in ['name', 'email', '"phoneNumber"', 'role']) +
           " THEN 'MISSING_FIELDS' WHEN NOT regexp_full_match(email, '[^\\s@]+@[^\\s@]+\\.[^\\s@]+')"
           " THEN 'INVALID_EMAIL' WHEN NOT regexp_full_match(\"phoneNumber\", '[0-9]{10}')"
           " THEN 'INVALID_PHONE' END")
     e3 = "CASE WHEN lower(trim(role)) NOT IN ('user', 'admin', 'superadmin') THEN 'INVALID_ROLE' END"
-    return duck_with("users", "user_requests") + f""", r1 AS (SELECT *, {e1} AS e1, {e3} AS e3 FROM user_requests),
+    return duck_with("users", "user_requests") + f""", {_asked_sql('user_requests', ties)}, r1 AS (SELECT *, {e1} AS e1, {e3} AS e3 FROM asked),
 x AS (SELECT r1.*, email IN (SELECT email FROM users) AS ex FROM r1),
-f AS (SELECT email AS fk, min(seq) AS fs FROM x WHERE e1 IS NULL AND e3 IS NULL AND NOT coalesce(ex, false)
-      GROUP BY email),
-d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR x.seq > f.fs THEN 'DUPLICATE_EMAIL' END, e3)
+f AS ({_first_sql('email', 'e1 IS NULL AND e3 IS NULL AND NOT coalesce(ex, false)')}),
+d AS (SELECT x.*, coalesce(e1, CASE WHEN coalesce(ex, false) OR {_LATER} THEN 'DUPLICATE_EMAIL' END, e3)
         AS error_code FROM x LEFT JOIN f ON f.fk = x.email)
 """
 
@@ -166,6 +204,13 @@ def q_insert_users_outcome(spark, d):
     return CH.insert_users(t.users, t.user_requests, AS_OF)[1]
 
 
+@register("insert_users_ties", _users_decided_sql(ties=True) + _OUTCOME)
+def q_insert_users_ties(spark, d):
+    """Requests with equal arrival numbers, and without one."""
+    t = Tables(spark, d)
+    return CH.insert_users(t.users, tied(t.user_requests), AS_OF)[1]
+
+
 @register("insert_users_table", _users_decided_sql() + f"""
 SELECT CAST(id AS VARCHAR) AS id, name, email, phone_number, created_at, role, gender, emergency_contact,
        address FROM users
@@ -341,6 +386,34 @@ def q_admit_numeric(spark, d):
     return AD.admit_bookings(t.batches, taken, req)
 
 
+_ODD_CAP = "CASE WHEN id % 4 = 0 THEN 2000000000 WHEN id % 4 = 1 THEN 0 ELSE max_adventurers END"
+_ODD_USED = "CASE WHEN batch_id % 3 = 0 THEN -travellers ELSE travellers // 3 END"
+
+
+@register("admit_bookings_any_capacity", duck_with("batches", "booking_requests", "bookings").replace(
+    "WITH ", "WITH RECURSIVE ", 1) + f"""
+, caps AS (SELECT CAST(id AS VARCHAR) AS b, {_ODD_CAP} AS cap FROM batches),
+used AS (SELECT CAST(batch_id AS VARCHAR) AS b, sum({_ODD_USED}) AS used0 FROM bookings GROUP BY batch_id),
+rb AS (SELECT r.request_id, r.seq, r.batch_ref AS b, CAST(r.travellers AS INTEGER) AS n, c.cap,
+              coalesce(u.used0, 0) AS used0,
+              row_number() OVER (PARTITION BY r.batch_ref ORDER BY r.seq, r.request_id) AS rn
+       FROM booking_requests r JOIN caps c ON c.b = r.batch_ref LEFT JOIN used u ON u.b = r.batch_ref), {_FOLD}
+SELECT request_id, b AS batch_id, seq, n AS travellers, accepted,
+       CASE WHEN NOT accepted THEN 'NO_CAPACITY' END AS error_code, CAST(used AS BIGINT) AS seats_after
+FROM fold
+UNION ALL
+SELECT request_id, batch_ref, seq, CAST(travellers AS INTEGER), false, 'BATCH_NOT_FOUND', NULL FROM booking_requests
+WHERE batch_ref NOT IN (SELECT b FROM caps)""")
+def q_admit_any(spark, d):
+    """M6 with capacities of 0 and 2e9 and booked sums below zero."""
+    t = Tables(spark, d)
+    caps = t.batches.withColumn("max_adventurers", F.expr(_ODD_CAP))
+    taken = t.bookings.select("batch_id", F.expr(_ODD_USED.replace("//", "div")).alias("travellers"))
+    req = t.booking_requests.select("request_id", "seq", F.col("batch_ref").alias("batch_id"),
+                                    F.col("travellers").cast("int").alias("travellers"))
+    return AD.admit_bookings(caps, taken, req)
+
+
 def _booked_sql() -> str:
     return _numeric_requests_sql("bookings", "booking_requests", "users", "batches") + f"""
 , v AS (SELECT request_id, seq, user_ref, batch_ref, name, phone_number, guardian_number, email, payment,

@@ -234,3 +234,15 @@ def test_text_refs_into_numeric_keys(spark):
                               "request_id string, seq long, id string, set_fields array<string>, assignedTrip string")
     nb, _ = CH.apply_patches(b2, p, "batches")
     assert nb.collect()[0]["trip_id"] == "trip-text"
+
+
+def test_insert_users_ties_and_null_seq(spark):
+    """One of several requests of a key with one arrival number, or with none, is accepted."""
+    users = spark.createDataFrame([], "id string, name string, email string, phone_number string, created_at long, role string")
+    req = spark.createDataFrame(
+        [("c", 1, "a@x.y"), ("b", 1, "a@x.y"), ("a", None, "a@x.y"), ("d", None, "n@x.y"), ("e", None, "n@x.y"),
+         ("f", 2, "n2@x.y"), ("g", None, "n2@x.y")], "request_id string, seq int, email string")
+    req = req.selectExpr("*", "'N' AS name", "'0123456789' AS phoneNumber", "'user' AS role")
+    table, out = CH.insert_users(users, req, 1)
+    assert sorted(r["request_id"] for r in out.where("accepted").collect()) == ["b", "d", "f"]
+    assert table.count() == 3
