@@ -12,14 +12,22 @@ for blocks and pairs that size-derived bounds leave possible:
   in both (pigeonhole), so its digest brings the pair into one block. No link is
   lost, however frequent a shingle is, and a shared passage alone makes no block
   unless a whole part consists of it.
-* Nodes joined by such digests, also over others, form a block family. Every
-  node is first multiplied with the family's hub (the node with most shared
-  parts). The Jaccard distance is a metric: nodes that link to the hub need no
-  product among each other, and a node farther than twice the link distance
-  needs none with them. This keeps a large family of near copies linear.
-* Of what is left, pairs are discarded whose class histograms, sixteen times
-  smaller than the sets, bound the overlap below what their sizes ask for; the
-  rest is multiplied in blocks of ``BLOCK`` rows of like size (blocks whose sizes
+* A set of E parts shares at least E - d of them with whatever it links with. The
+  nodes of a digest are its run. Short runs (``RUN`` nodes at most) give their
+  pairs; a pair that shares too few parts (those of short runs counted, those of
+  long runs allowed for) is none. What is left is bounded by class histograms,
+  sixteen times smaller than the sets, and then multiplied pair by pair.
+* In long runs no pairs are made. A node leaves out its E - d - 1 most common
+  parts: the rarest common part of a pair that links is never among them. The
+  long runs that stay join nodes to block families. A passage that many
+  documents share fills few of a document's parts, so it joins none; what does are large groups of
+  nearly equal documents. Every node is first multiplied with the family's hub
+  (the node with most such runs). The Jaccard distance is a metric: nodes that link to
+  the hub need no product among each other, and a node farther than twice the
+  link distance needs none with them. This keeps a large family of near copies
+  linear.
+* Of what is left in a family, pairs are discarded whose class histograms bound
+  the overlap below what their sizes ask for; the rest is multiplied in blocks of ``BLOCK`` rows of like size (blocks whose sizes
   cannot link do not meet), accumulating overlap counts over column chunks and
   discarding pairs whose count cannot reach the bound any more. A block returns a
   spanning forest of its links, not its pairs.
@@ -54,6 +62,9 @@ from caravan.llm.components import components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+RUN = 24               # nodes of a run whose pairs are listed
+HUB_ROWS = 1024        # rows of a family multiplied with one copy of its hub
+BITS = 1 << 23         # bits of the filter that picks the texts wanted (1 MB)
 CLASS_RATIO = 1.5      # width of a size class; must exceed 100 / percent
 BLOCK = 128            # rows of a matrix block
 WIDE_BLOCK = 1024      # rows of a block of histograms
@@ -112,29 +123,35 @@ def size_class(n: int, percent: int) -> tuple[int, int]:
     return c, top
 
 
-def digests(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Digests of the parts of a set, for each class a partner can be in."""
+def parts(grams: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the parts of a set, for each class a partner can be in, and
+    their marks: the number of parts shared with whatever links, times 64, plus
+    the class."""
     n = len(grams)
-    if n == 0:
-        return np.zeros(0, np.uint64)
-    out, size, widest = [], n, n * 100 // percent
-    while True:
+    out, marks, size, widest = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], n, n * 100 // percent
+    while n:
         c, top = size_class(size, percent)
         d = max_difference(top, percent)
         if c:
-            parts = int((d + 1) * 1.12) + 3  # some to spare, as parts may be empty
-            at = ((grams >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+            count = int((d + 1) * 1.12) + 3  # some to spare, as parts may be empty
+            at = ((grams >> np.uint64(7)) % np.uint64(count)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             first = np.flatnonzero(np.diff(at[order], prepend=-1))
             sums = np.add.reduceat(_mix(grams + np.uint64(c))[order], first)
             where = at[order][first]
             if len(where) <= d:  # too few to be sure of a common one: empty parts count as well
-                empty = np.setdiff1d(np.arange(parts), where)
+                empty = np.setdiff1d(np.arange(count), where)
                 where, sums = np.concatenate([where, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
             out.append(_mix(sums ^ _mix(where.astype(np.uint64) + np.uint64(c << 32))))
+            marks.append(np.full(len(where), (len(where) - d) << 6 | c, np.int32))
         if top >= widest:
-            return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            break
         size = top + 1
+    return np.concatenate(out), np.concatenate(marks)
+
+
+def digests(grams: np.ndarray, percent: int) -> np.ndarray:
+    return parts(grams, percent)[0]
 
 
 # ---------------------------------------------------------------- passes over the texts
@@ -153,42 +170,81 @@ def _digest_rows(width: int, percent: int):
     def run(batches):
         seen = set()  # nodes of this task: a copy adds nothing
         for b in batches:
-            nodes, found = [], []
+            nodes, found, marks = [], [], []
             for t in b.column("text").to_pylist():
                 grams = shingle_set(t, width)
                 node = node_of(grams)
                 if len(grams) and node not in seen:
                     seen.add(node)
-                    d = digests(grams, percent)
+                    d, m = parts(grams, percent)
                     found.append(d)
+                    marks.append(m)
                     nodes.append(np.full(len(d), node, np.int64))
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes))],
-                    names=["digest", "node"])
+                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(nodes)),
+                     pa.array(np.concatenate(marks))], names=["digest", "node", "mark"])
     return run
 
 
-def _runs(batches):
-    """Rows sorted by (digest, node): every member of a run of several nodes,
-    with the run's first node."""
-    last, head, alone, before = None, 0, True, 0
-    for b in batches:
-        digest, node = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(node):
-            continue
-        new = np.concatenate([[digest[0] != last], digest[1:] != digest[:-1]])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
-        heads = np.where(start >= 0, node[np.maximum(start, 0)], head)
-        repeat = np.concatenate([[not new[0] and node[0] == before], ~new[1:] & (node[1:] == node[:-1])])
-        member = (node != heads) & ~repeat
-        # a head counts for each run that has a second node
-        first = np.unique(start[member])
-        joined = np.where(first >= 0, node[np.maximum(first, 0)], head).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([node[member], joined])), pa.array(np.concatenate([heads[member], joined]))],
-            names=["node", "head"])
-        last, head, before = digest[-1], heads[-1], node[-1]
+def run_rows(digest: np.ndarray, node: np.ndarray, mark: np.ndarray, long_run: int | None, limit: int) -> list:
+    """(a, b, mark, long) of whole runs: the pairs (a < b) of short ones, node
+    and digest of the rows of long ones (and of ``long_run``, which goes on)."""
+    if not len(digest):
+        return []
+    start = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
+    n = np.diff(np.append(start, len(digest)))
+    big = (n > limit) | (digest[start] == long_run if long_run is not None else False)
+    rows = np.repeat(big, n)
+    out = [(node[rows], digest[rows], mark[rows], np.ones(int(rows.sum()), bool))]
+    for size in np.unique(n[~big & (n > 1)]):
+        at = start[~big & (n == size)][:, None] + np.arange(size)
+        i, j = np.triu_indices(size, 1)
+        a, b = at[:, i].ravel(), at[:, j].ravel()
+        out.append((node[a], node[b], np.maximum(mark[a], mark[b]), np.zeros(len(a), bool)))
+    return out
+
+
+def _runs(limit: int):
+    """Rows sorted by (digest, node) to ``run_rows``; at most ``limit`` rows of
+    an unfinished run are held back."""
+    def batch(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)],
+                                          names=["a", "b", "mark", "long"])
+
+    def run(batches):
+        held, long_run, last = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)], None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            digest, node, mark = (np.concatenate([h, b.column(c).to_numpy()]) for h, c in zip(held, range(3), strict=True))
+            new = np.concatenate([[(digest[0], node[0]) != last], (digest[1:] != digest[:-1]) | (node[1:] != node[:-1])])
+            digest, node, mark = digest[new], node[new], mark[new]  # copies of a node stand side by side
+            if not len(digest):
+                held = [digest, node, mark]
+                continue
+            cut = int(np.searchsorted(digest, digest[-1]))
+            goes_on = long_run == digest[-1] and cut == 0 or len(digest) - cut > limit
+            to = len(digest) if goes_on else cut
+            rows = run_rows(digest[:to], node[:to], mark[:to], long_run, limit)
+            last = (digest[-1], node[-1]) if goes_on else None
+            long_run = digest[-1] if goes_on else None
+            held = [digest[to:], node[to:], mark[to:]]
+            if rows:
+                yield batch(rows)
+        rows = run_rows(*held, long_run, limit)
+        if rows:
+            yield batch(rows)
+    return run
+
+
+def _chosen(bits: np.ndarray):
+    """Rows whose ``row_hash`` the filter may hold."""
+    def run(batches):
+        for b in batches:
+            at = b.column("row_hash").to_numpy() & (BITS - 1)
+            yield b.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
+    return run
 
 
 def _sets(width: int):
@@ -196,8 +252,10 @@ def _sets(width: int):
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), b.column("family"), b.column("hub"), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["node", "family", "hub", "grams"])
+                [*(b.column(c) for c in ("node", "family", "hub", "salt")), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([histogram(s).tobytes() for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["node", "family", "hub", "salt", "n", "histogram", "grams"])
     return run
 
 
@@ -210,20 +268,44 @@ def _with_hub(percent: int):
     """zone 0: links to the hub; 1: may link to what does; 2: cannot."""
     def run(batches):
         for b in batches:
-            zones, sizes, histograms = [], [], []
+            zones = []
             for mine, hubs in zip(b.column("grams").to_pylist(), b.column("hub_grams").to_pylist(), strict=True):
                 x, h = np.frombuffer(mine, np.uint64), np.frombuffer(hubs, np.uint64)
                 both = _overlap(x, h)
                 union = len(x) + len(h) - both
                 # distance <= 2 * (1 - percent / 100)
                 near = 100 * (union - both) <= 2 * (100 - percent) * union
-                sizes.append(len(x))
-                histograms.append(histogram(x).tobytes())
                 zones.append(0 if 100 * both >= percent * union else 1 if near else 2)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "family", "hub")),
-                                              pa.array(zones, pa.int32()), pa.array(sizes, pa.int64()),
-                                              pa.array(histograms, pa.binary())],
-                                             names=["node", "family", "hub", "zone", "n", "histogram"])
+            keep = ("node", "family", "hub", "n", "histogram")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(zones, pa.int32())],
+                                             names=[*keep, "zone"])
+    return run
+
+
+def _possible_pairs(percent: int):
+    """The pairs whose histograms allow a link."""
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint16).astype(np.int64), np.frombuffer(y, np.uint16).astype(np.int64)
+                classes = min(len(x), len(y))
+                both = np.minimum(x.reshape(-1, classes).sum(axis=0), y.reshape(-1, classes).sum(axis=0)).sum()
+                keep.append((100 + percent) * both >= percent * (x.sum() + y.sum()))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return run
+
+
+def _linked(percent: int):
+    """The pairs that link."""
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = _overlap(x, y)
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
@@ -376,6 +458,50 @@ def _blocks(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return units.groupBy("kind", "family", "i", "j").applyInPandas(_product(percent), edge)
 
 
+# ---------------------------------------------------------------- candidates
+def _families(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, family, hub, salt) of the nodes that long runs join, and (node,
+    class, held): how many of a node's parts are in long runs."""
+    rows = runs.where("long").select(F.col("a").alias("node"), F.col("b").alias("digest"), "mark",
+                                     F.col("mark").bitwiseAND(F.lit(63)).alias("class"))
+    size = rows.groupBy("digest").agg(F.count("*").alias("size"))
+    # a node's parts of one class, the most common first
+    w = Window.partitionBy("node", "class")
+    rows = scratch_table(rows.join(size, "digest").withColumn(
+        "rank", F.row_number().over(w.orderBy(F.desc("size"), "digest"))).withColumn("held", F.count("*").over(w)),
+        "jaccard-long")
+    kept = rows.where(F.col("rank") >= F.shiftright("mark", 6)).select("node", "digest")
+    family = components(kept.select(F.col("node").alias("a"), F.col("digest").alias("b")))
+    weight = kept.groupBy("node").agg(F.count("*").alias("runs"))
+    family = weight.join(family.withColumnRenamed("label", "family"), "node")
+    hubs = family.groupBy("family").agg(F.max(F.struct("runs", "node"))["node"].alias("hub"),
+                                        F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("copies"))
+    family = family.join(hubs, "family").select(
+        "node", "family", "hub", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("salt"))
+    return scratch_table(family, "jaccard-families"), rows.where("rank = 1").select("node", "class", "held")
+
+
+def _candidates(runs: DataFrame, family: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share enough parts, but for those inside a family."""
+    pairs = (runs.where("not long").groupBy("a", "b", F.col("mark").bitwiseAND(F.lit(63)).alias("class"))
+             .agg(F.count("*").alias("n"), F.max(F.shiftright("mark", 6)).alias("need")))
+    for side in ("a", "b"):
+        pairs = pairs.join(held.select(F.col("node").alias(side), "class", F.col("held").alias(f"held_{side}")),
+                           [side, "class"], "left")
+    both = F.least(F.coalesce("held_a", F.lit(0)), F.coalesce("held_b", F.lit(0)))
+    pairs = pairs.where(F.col("n") + both >= F.col("need")).select("a", "b").distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(family.select(F.col("node").alias(side), F.col("family").alias(f"family_{side}")), side, "left")
+    return pairs.where("family_a is null or family_b is null or family_a <> family_b").select("a", "b")
+
+
+def _met_pairs(pairs: DataFrame, sets: DataFrame, payload: str) -> DataFrame:
+    """(a, b, x, y): the pairs with a column of their sets."""
+    for side, name in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col(payload).alias(name)), side)
+    return pairs
+
+
 # ---------------------------------------------------------------- operator
 def similar_components(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
@@ -392,30 +518,38 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     smallest = scratch_table(named.where("n > 0").groupBy("node").agg(pick.alias("p"))
                              .select("node", "p.doc_id", "p.row_hash"), "jaccard-smallest")
 
-    shared = (rows.select("text").mapInArrow(_digest_rows(width, percent), "digest long, node long")
-              .repartition("digest").sortWithinPartitions("digest", "node")
-              .mapInArrow(_runs, "node long, head long")
-              .groupBy("node", "head").agg(F.count("*").alias("parts")))
     with arrow_rows(rows.sparkSession, 4000):
-        shared = scratch_table(shared, "jaccard-shared")
-    family = components(shared.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    family = family.withColumnRenamed("label", "family")
-    weight = shared.groupBy("node").agg(F.sum("parts").alias("parts"))
-    hubs = (family.join(weight, "node").groupBy("family")
-            .agg(F.max(F.struct("parts", "node"))["node"].alias("hub")))
-
-    # one document of each node in a family gives the set
-    wanted = family.join(hubs, "family").join(smallest, "node")
-    sets = rows.select("row_hash", "text").join(wanted, "row_hash").select("node", "family", "hub", "text")
+        runs = scratch_table(rows.select("text").mapInArrow(_digest_rows(width, percent), "digest long, node long, mark int")
+                             .repartition("digest").sortWithinPartitions("digest", "node")
+                             .mapInArrow(_runs(RUN), "a long, b long, mark int, long boolean"), "jaccard-runs")
+    family, held = _families(runs)
+    pairs = scratch_table(_candidates(runs, family, held), "jaccard-pairs")
+
+    # one document of each node wanted gives the set
+    wanted = (pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(family.select("node")).distinct()
+              .join(family, "node", "left").join(smallest.select("node", "row_hash"), "node"))
+    wanted = scratch_table(wanted.withColumn("bit", F.col("row_hash").bitwiseAND(F.lit(BITS - 1)) + 1), "jaccard-wanted")
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in wanted.groupBy(F.bitmap_bucket_number("bit").alias("k")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect():  # BITS / 32768 rows
+        bits[4096 * (r["k"] - 1):4096 * r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    texts = rows.select("row_hash", "text").mapInArrow(_chosen(bits), "row_hash long, text string")
+    sets = texts.join(wanted.drop("bit"), "row_hash").dropDuplicates(["row_hash"]).select("node", "family", "hub", "salt", "text")
     with arrow_rows(rows.sparkSession, 500):
-        sets = scratch_table(sets.mapInArrow(_sets(width), "node long, family long, hub long, grams binary"),
-                             "jaccard-sets")
-        of_hub = (sets.where("node = hub").select("family", F.col("grams").alias("hub_grams"))
-                  .dropDuplicates(["family"]))  # rows that repeat a null id
-        near = scratch_table(sets.join(of_hub, "family").mapInArrow(
-            _with_hub(percent), "node long, family long, hub long, zone int, n long, histogram binary"), "jaccard-zones")
-    links = near.where("zone = 0 and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    label = components(links.unionByName(_blocks(near, sets, percent)))
+        sets = scratch_table(sets.mapInArrow(_sets(width), "node long, family long, hub long, salt int, n long, "
+                                                           "histogram binary, grams binary"), "jaccard-sets")
+        possible = scratch_table(_met_pairs(pairs, sets, "histogram").mapInArrow(
+            _possible_pairs(percent), "a long, b long"), "jaccard-possible")
+        links = _met_pairs(possible, sets, "grams").mapInArrow(_linked(percent), "a long, b long")
+        # a copy of the hub for each HUB_ROWS rows of its family
+        own = sets.where("family is not null")
+        copies = own.groupBy("family").agg(F.max("salt").alias("most"))
+        of_hub = own.where("node = hub").join(copies, "family").select(
+            "family", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("salt"), F.col("grams").alias("hub_grams"))
+        near = scratch_table(own.join(of_hub, ["family", "salt"]).mapInArrow(
+            _with_hub(percent), "node long, family long, hub long, n long, histogram binary, zone int"), "jaccard-zones")
+    to_hub = near.where("zone = 0 and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    label = components(links.unionByName(to_hub).unionByName(_blocks(near, sets, percent)))
 
     joined = smallest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = joined.groupBy("label").agg(pick.alias("p")).select(
