@@ -24,33 +24,41 @@ outside boilerplate elements. Each page is then read along that path, block by
 block. A page that lacks the path is read by an expression of its own.
 
 <html>, <body>, <main> and <article> are never boilerplate; a class, id or role
-names it by a listed word alone or as its first part. If next to nothing of a
-page is left so, the marked elements around its article or most of its text
-(a form around the whole page) are read after all.
+names it by a listed word alone or as its last part (post-comments), or first with
+nothing but words of layout after it (comments-area, but not share-prices). If
+next to nothing of a page is left so, the marked elements around its article or
+most of its text (a form around the whole page) are read after all.
 
 Blocks are block elements and <br>; character references are decoded, white
 space inside a block becomes one space, empty blocks go, the rest is joined by
 \\n in page order.
 
 Literals of the host are dropped last: a block that more than ``LITERAL_SHARE`` of
-the host's pages hold, and of its distinct texts, ``LITERAL_PAGES`` at least, beside
-slots with text. A text that consists of such blocks for more than half of its
+the host's distinct texts hold beside other text, beyond chance (operator 1's
+rule, at every number of pages). A text that consists of such blocks for more than half of its
 characters does not count, so hosts whose pages are copies or near copies of each
-other keep all; on hosts with fewer distinct texts literals stay too.
+other keep all.
 
 Defined results: null or empty html gives the empty text; so does a page of
 boilerplate alone; a null or odd url belongs to the host ''; repeated rows are
 pages of their own; broken markup is read as far as it goes (an unknown end tag
 is ignored, an unclosed element ends with its parent, an unclosed script, style
-or comment ends the page, <svg/> is empty); an empty table gives no rows; other columns are not read.
+or comment ends the page, <svg/> is empty, a quoted value without its end is not
+quoted); elements nested deeper than ``MAX_DEPTH`` are read as children of the last
+one, blocks still as blocks; an empty table gives no rows; other columns are not read.
+
+Reading a page takes time in proportion to its length: no pattern looks at a
+character more often than a fixed number of times, open elements are counted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
 import sys
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -64,8 +72,8 @@ FAN_IN = 64        # task groups whose wrappers are aligned at the last level
 TASK_HOSTS = 2000  # hosts whose wrappers a task keeps before it hands them on
 TASK_KEYS = 200_000  # (host, key) counts a task keeps before it hands them on
 KEY_SHARE = 0.05   # share of its host's pages that a key or name needs
-LITERAL_PAGES = 20   # distinct texts that show a block to be a literal
 LITERAL_SHARE = 0.5
+MAX_DEPTH = 150    # levels of a page's tree
 MAIN_SHARE = 0.6   # a container holds the article if it has this share of the text
 
 # HTML elements by kind.
@@ -91,6 +99,12 @@ BOILERPLATE_WORDS = set("ad ads advert adverts advertisement advertising alert b
                         "popup promo promotion related replies reply respond search share sharing sidebar signup "
                         "social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 
+# Words of layout that may follow such a word, and words that only say whether it is there.
+LAYOUT_WORDS = set("area bar block body bottom box button buttons col column container content form group head header "
+                   "holder icon icons inner item items left link links list outer panel right row section slot space "
+                   "title toggle top unit wrap wrapper zone articles posts stories".split())
+STATE_WORDS = set("has hide is no not show with without".split())
+
 # Text of readers and links, which is no article however long it is.
 READERS = set("comment comments disqus related replies reply respond".split())
 SIDE = READERS | set("breadcrumb breadcrumbs consent cookie cookies footer gdpr menu nav navbar navigation pager "
@@ -99,14 +113,15 @@ SIDE_TAGS = BOILERPLATE_TAGS - {"form"} | {"header"}
 WHOLE = {"html", "body", "main", "article"}  # never boilerplate
 REST_SHARE = 0.2   # with less of its text outside boilerplate a page is marked too far
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
-                    rf"|<(?P<text_raw>{CLOSED_RAW})\b[^>]*>(?:(?!</?(?P=text_raw)\b).)*</(?P=text_raw)\s*>"
-                    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+# attributes up to the end of a tag; quotes hold a value only after =, and a new tag or declaration ends a broken one
+_ATTRS = r"""(?:[^>=<]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|<(?![a-zA-Z/!?]))*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b{_ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)|<[!?](?:[^<>]|<(?![!?]))*+>"
+                    rf"|<(?P<text_raw>{CLOSED_RAW})\b{_ATTRS}>(?:(?!</?(?P=text_raw)\b).)*+</(?P=text_raw)\s*+>"
+                    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)(?P<attrs>{_ATTRS})>"
                     r"|(?P<text>[^<]+|<)", re.S | re.I)
-_NAMED = re.compile(r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-# a listed word alone, first of a compound name, or with the place it is in
-_NAME = re.compile(r"(?:(?:site|page|main|global)[-_]+)?([a-z]+)(?:[-_]|\d|$)")
+_NAMED = re.compile(rf"<([a-zA-Z][^\s/<>]*+)({_ATTRS})>")
+_ATTR = re.compile(r"""\b(class|id|role)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_PART = re.compile(r"[a-z]+")
 
 
 # ---------------------------------------------------------------- pages as trees
@@ -123,7 +138,13 @@ def is_boilerplate(tag: str, names: list[str], inside: bool) -> bool:
 
 
 def _named(names: list[str], words: set[str]) -> bool:
-    return any((m := _NAME.match(n)) and m[1] in words for n in names)
+    """Whether a name is one of the words, by its last part, or by its first with layout after it."""
+    for n in names:
+        parts = _PART.findall(n)
+        if parts and parts[0] not in STATE_WORDS and (
+                parts[-1] in words or parts[0] in words and LAYOUT_WORDS.issuperset(parts[1:])):
+            return True
+    return False
 
 
 def unmark(tree: list) -> None:
@@ -185,61 +206,101 @@ def keys_in(page: str) -> set[str]:
     return out
 
 
+class _Open:
+    """The open elements of a page, and how many there are of each tag. A node
+    deeper than ``MAX_DEPTH`` shares the children of the last one above; a
+    node without children of its own marks where a block starts and ends."""
+
+    def __init__(self, root: list):
+        self.stack, self.count, self.flat = [root], Counter(), 0
+
+    def push(self, node: list) -> None:
+        inside = self.stack[-1]
+        if len(self.stack) - self.flat < MAX_DEPTH or node[1] and not inside[1]:
+            inside[3].append(node)
+            self.stack.append(node)
+        else:  # read as part of the last one
+            if node[2] in BLOCK:
+                inside[3].append(["", False, "div", [], []])
+            self.stack.append(["", inside[1], node[2], inside[3], node[4]])
+            self.flat += 1
+        self.count[node[2]] += 1
+
+    def cut(self, k: int) -> None:
+        """Ends the elements from place k on."""
+        for node in self.stack[k:]:
+            self.count[node[2]] -= 1
+            if node[0] == "":
+                self.flat -= 1
+                if node[2] in BLOCK:
+                    node[3].append(["", False, "div", [], []])
+        del self.stack[k:]
+
+    def any_of(self, tags) -> bool:
+        return any(self.count[t] for t in tags)
+
+    def close(self, tags: set[str], scope: set[str]) -> None:
+        """Ends the innermost open one of ``tags`` unless an element of ``scope``
+        is open inside."""
+        if not self.any_of(tags):
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k][2] in tags:
+                self.cut(k)
+                return
+            if self.stack[k][2] in scope:
+                return
+
+
 def parse(page: str | None, common: frozenset | None = None) -> list:
     """Tree of [key, boilerplate, tag, children, names]; a text is a plain string.
     The key is the tag with its class, id and role, numbers written as 0."""
     root = ["", False, "", [], []]
-    stack = [root]
-    never_closed: set[str] = set()
+    open_ = _Open(root)
+    ends: dict[str, int] = {}  # the next end tag of a kind, from the last look on
     for m in _TOKEN.finditer(page or ""):
         text = m["text"]
         if text is not None:
-            stack[-1][3].append(text)
+            open_.stack[-1][3].append(text)
             continue
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][2] == tag:
-                    del stack[k:]
-                    break
+            if open_.count[tag]:
+                open_.cut(next(k for k in range(len(open_.stack) - 1, 0, -1) if open_.stack[k][2] == tag))
             continue
         if tag == "body":  # ends what is open in <head>
-            _close(stack, {"head"}, {"body"})
+            open_.close({"head"}, {"body"})
         if tag in BREAKS_OUT:
-            _close(stack, FOREIGN, {"foreignobject"})
+            open_.close(FOREIGN, {"foreignobject"})
         if tag in CLOSES_P:
-            _close(stack, {"p"}, CLOSES_P - {"p"} | SKIP - FOREIGN)
+            open_.close({"p"}, CLOSES_P - {"p"} | SKIP - FOREIGN)
         if tag in SIBLING:
-            _close(stack, next((g for g in LIKE if tag in g), {tag}), SIBLING[tag] | SKIP - FOREIGN)
+            open_.close(next((g for g in LIKE if tag in g), {tag}), SIBLING[tag] | SKIP - FOREIGN)
         names = names_of(m["attrs"])
-        inside = any(x[2] in ("article", "main") for x in stack)
-        node = [key_of(tag, names, common), is_boilerplate(tag, names, inside), tag, [], names]
-        if tag not in SKIP:
-            stack[-1][3].append(node)
-        elif tag not in FOREIGN:  # without an end tag it ends with its parent, or where that one ends
-            if tag in never_closed or not re.compile(f"</{tag}\\b", re.I).search(page, m.end()):
-                never_closed.add(tag)
-                node[2] = ""
-        if tag not in VOID and not m["attrs"].rstrip().endswith("/"):
-            stack.append(node)
+        node = [key_of(tag, names, common), is_boilerplate(tag, names, open_.any_of(("article", "main"))), tag, [], names]
+        if tag in SKIP:
+            node[1] = True
+            if tag not in FOREIGN:  # without an end tag it ends with its parent, or where that one ends
+                if ends.get(tag, -1) < m.end():
+                    found = re.compile(f"</{tag}\\b", re.I).search(page, m.end())
+                    ends[tag] = found.start() if found else len(page) + 1
+                if ends[tag] > len(page):
+                    node[2] = ""
+        if tag in VOID or m["attrs"].rstrip().endswith("/"):
+            if tag not in SKIP:
+                open_.stack[-1][3].append(node)
+        elif tag in SKIP:  # not read: open, but in no tree
+            open_.stack.append(node)
+            open_.count[node[2]] += 1
+        else:
+            open_.push(node)
     unmark(root)
     return root
 
 
-def _close(stack: list, tags: set[str], scope: set[str]) -> None:
-    """Ends the innermost open one of ``tags`` unless an element of ``scope`` is
-    open inside."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][2] in tags:
-            del stack[k:]
-            return
-        if stack[k][2] in scope:
-            return
-
-
 # ---------------------------------------------------------------- expressions
 # An item is {"k": key, "b": boilerplate, "r": repeated, "o": optional, "c": items,
 # "n": characters of text seen in it, "t": literal text or None}; a text slot has
@@ -253,7 +314,7 @@ def expression(tree: list) -> dict:
     for x in tree[3]:
         if isinstance(x, str):
             if t := x.strip():
-                kids.append(item("#", chars=len(t), text=t if len(t) <= 200 else f"{len(t)}:{t[:200]}"))
+                kids.append(item("#", chars=len(t), text=t if len(t) <= 200 else hashlib.md5(t.encode()).hexdigest()))
         else:
             kids.append(expression(x))
     return item(tree[0], tree[1], fold(kids))
@@ -556,6 +617,5 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 def without_literals(texts: DataFrame) -> DataFrame:
     """``texts`` without the blocks that are literals of their hosts."""
     from caravan.llm.line_dedup import drop_boilerplate_lines
-    out = drop_boilerplate_lines(texts, host_of("url"), max_ratio=LITERAL_SHARE, min_docs=LITERAL_PAGES,
-                                 copies_vote=False, min_texts=LITERAL_PAGES)
+    out = drop_boilerplate_lines(texts, host_of("url"), max_ratio=LITERAL_SHARE, counts=False)
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -1,30 +1,31 @@
 """Operator 1, line dedup: drop the lines that much of a site repeats.
 
-Documents are grouped by host. For each host and line the number of documents
-that contain the line is divided by the host's number of documents; a line
-above ``max_ratio`` is boilerplate of that host and is cut from all its
-documents. Lines are compared without white space at their ends; blank lines
-are never boilerplate; the other lines stay as they are, in order.
-
-``min_docs`` is the support below which a ratio says nothing (a host of one
-document repeats each of its lines in 100 %).
-
-With ``copies_vote=False`` such a line must also hold without copies: it is cut
-only if at least ``min_texts`` distinct texts of the host, and more than
-``max_ratio`` of them, hold it among other text. A text that consists of such
-lines for more than half of its characters does not count as holding them, so
-neither exact copies nor near copies make an article boilerplate. Lines that
-only such texts hold stay.
+Documents are grouped by host. For each host and line the number of pages that
+contain the line is divided by the host's number of pages; a line above
+``max_ratio`` is boilerplate of that host and is cut from all its documents. Lines
+are compared without white space at their ends; blank lines are never
+boilerplate; the other lines stay as they are, in order.
+
+A page is a distinct text: copies of a document are one, so they make none of its
+lines boilerplate. The share must exceed the ratio beyond what chance explains
+(``exceeds``: a score test with ``Z`` standard deviations, and two pages at least), at
+every size of a host: with 5 % it takes 2 of 2 to 11 pages, 10 of 100, 64 of 1000.
+
+Near copies are not one text, so pages vote a second time: a page of which the lines
+found so far are more than half (in characters) is taken for a copy, and not for
+a page that holds them beside other text. What still exceeds the ratio is cut, and what only
+such pages hold stays.
 
 Defined results: a null text stays null and has no lines; an empty text stays
 empty; null hosts form one host; a line repeated inside a document counts once;
-repeated rows count as documents of their own; an empty table gives no rows.
-
-Scale: the line counts are partial sums keyed by host and 128-bit line digest,
-so a hot host or line shrinks before the shuffle. What comes back is one row
-per host with its boilerplate digests: a host with L distinct lines per
-document has fewer than L / max_ratio of them, and no text is shuffled unless
-that table is too large to broadcast.
+two pages that hold little but a line keep it; an empty table gives no rows; a
+column named n_lines or n_dropped (in any case) gives way to the counts.
+
+Scale: the line counts are partial sums keyed by host and 128-bit digests of line
+and text, so a hot host or line shrinks before the shuffle. What comes back is
+one row per host with its boilerplate digests: a host with L distinct lines per
+page has fewer than L / max_ratio of them, and no text is shuffled unless that table is
+too large to broadcast.
 """
 
 from __future__ import annotations
@@ -35,8 +36,7 @@ from pyspark.sql import functions as F
 from caravan.llm.common import scratch_table
 
 MAX_RATIO = 0.05
-MIN_DOCS = 5
-MIN_TEXTS = 2  # one text, however often copied, says nothing
+Z = 2.0  # standard deviations by which a line's share must exceed the ratio
 _EDGE = " \t\r\x0b\x0c"
 
 
@@ -52,23 +52,32 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(_key(line)))
 
 
-def boilerplate(rows: DataFrame, max_ratio: float, min_docs: int) -> DataFrame:
-    """(host, digests) of the lines to drop, from rows (host, text)."""
-    keyed = rows.select("host", F.explode(F.array_distinct(F.transform(
-        F.filter(_lines(F.col("text")), lambda x: _key(x) != ""), _digest))).alias("digest"))
-    counts = keyed.groupBy("host", "digest").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("total"))
-    c, h = counts.alias("c"), hosts.alias("h")
-    return (c.join(h, F.expr("c.host <=> h.host")).where(F.col("n") > F.col("total") * F.lit(max_ratio))
-            .groupBy("c.host").agg(F.collect_list("digest").alias("digests")))
+def exceeds(n: Column, total: Column, ratio: float) -> Column:
+    """Whether n of total, 2 at least, is more than ``ratio`` beyond chance."""
+    over = n - total * F.lit(ratio)
+    return (n >= 2) & (over > 0) & (over * over > total * F.lit(Z * Z * ratio * (1 - ratio)))
+
+
+def _digests(lines: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(lines, lambda x: _key(x) != ""), _digest))
 
 
-def without_copies(rows: DataFrame, found: DataFrame, max_ratio: float, min_texts: int) -> DataFrame:
-    """``found`` (host, digests) without the lines that only copies put there.
+def _above(votes: DataFrame, totals: DataFrame, ratio: float) -> DataFrame:
+    """(host, digests) of the lines that enough pages hold; votes: (host,
+    text_digest, digest), repeats allowed."""
+    n = votes.groupBy("host", "digest").agg(F.countDistinct("text_digest").alias("n")).where("n >= 2")
+    v, t = n.alias("v"), totals.alias("t")
+    return (v.join(t, F.expr("v.host <=> t.host")).where(exceeds(F.col("n"), F.col("total"), ratio))
+            .groupBy("v.host").agg(F.collect_list("digest").alias("digests")))
+
 
-    Only rows that hold a found line are exploded, to those lines."""
+def boilerplate(rows: DataFrame, max_ratio: float) -> DataFrame:
+    """(host, digests) of the lines to drop, from rows (host, text)."""
     rows = rows.where("text is not null").withColumn("text_digest", F.unhex(F.md5("text")))
-    totals = rows.groupBy("host", "text_digest").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("total"))
+    totals = scratch_table(rows.groupBy("host").agg(F.countDistinct("text_digest").alias("total")), "boilerplate-pages")
+    every = rows.select("host", "text_digest", F.explode(_digests(_lines(F.col("text")))).alias("digest"))
+    found = scratch_table(_above(every, totals, max_ratio), "boilerplate-lines")
+    # the second vote: only rows that hold a found line are exploded, to those lines
     r, b = rows.alias("r"), found.alias("b")
 
     def chars(lines: Column) -> Column:
@@ -76,23 +85,18 @@ def without_copies(rows: DataFrame, found: DataFrame, max_ratio: float, min_text
 
     held = r.join(b, F.expr("r.host <=> b.host")).select("r.host", "text_digest", "digests", _lines(F.col("text")).alias("lines"))
     held = held.withColumn("hits", F.array_intersect(F.transform("lines", _digest), F.col("digests"))).where(F.size("hits") > 0)
-    cut = F.filter("lines", lambda x: F.array_contains(F.col("hits"), _digest(x)))
+    cut = F.filter("lines", lambda x: (_key(x) != "") & F.array_contains(F.col("hits"), _digest(x)))
     held = held.where(2 * chars(cut) <= chars(F.col("lines")))
-    votes = held.select("host", "text_digest", F.explode("hits").alias("digest")).distinct().groupBy("host", "digest").agg(
-        F.count("*").alias("n")).where(F.col("n") >= min_texts)
-    v, t = votes.alias("v"), totals.alias("t")
-    return (v.join(t, F.expr("v.host <=> t.host")).where(F.col("n") > F.col("total") * F.lit(max_ratio))
-            .groupBy("v.host").agg(F.collect_list("digest").alias("digests")))
+    return _above(held.select("host", "text_digest", F.explode("hits").alias("digest")), totals, max_ratio)
 
 
 def drop_boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO,
-                           min_docs: int = MIN_DOCS, copies_vote: bool = True, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """``docs`` with the cleaned text in ``text_col``, plus n_lines and
-    n_dropped."""
-    d = docs.select(F.struct(*docs.columns).alias("row"), host.alias("host"), F.col(text_col).alias("text"))
-    found = scratch_table(boilerplate(d.select("host", "text"), max_ratio, min_docs), "boilerplate")
-    if not copies_vote:
-        found = scratch_table(without_copies(d.select("host", "text"), found, max_ratio, min_texts), "boilerplate-texts")
+                           counts: bool = True) -> DataFrame:
+    """``docs`` with the cleaned text in ``text_col``, plus (with ``counts``)
+    n_lines and n_dropped."""
+    d = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"),
+                    host.alias("host"), F.col(text_col).alias("text"))
+    found = scratch_table(boilerplate(d.select("host", "text"), max_ratio), "boilerplate")
     d, b = d.alias("d"), found.alias("b")
     lines = _lines(F.col("d.text"))
     joined = d.join(b, F.expr("d.host <=> b.host"), "left").select(
@@ -104,7 +108,10 @@ def drop_boilerplate_lines(docs: DataFrame, host: Column, text_col: str = "text"
                   ).otherwise(F.col("lines"))
     joined = joined.withColumn("kept", kept)
     cleaned = F.when(F.col("text").isNotNull(), F.array_join("kept", "\n"))
-    fields = [cleaned.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
-    n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size("kept")).cast("long")
-    return joined.select(*fields, n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped"))
+    fields = [(cleaned if c == text_col else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(docs.columns)
+              if not counts or c.lower() not in ("n_lines", "n_dropped") or c == text_col]
+    if counts:
+        n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
+        n_kept = F.when(F.col("text").isNull(), 0).otherwise(F.size("kept")).cast("long")
+        fields += [n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped")]
+    return joined.select(*fields)

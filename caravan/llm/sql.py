@@ -8,13 +8,35 @@ WITH line AS (
   FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)
   WHERE text IS NOT NULL
 ),
-host AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+host AS (SELECT source, CAST(count(DISTINCT text) AS DOUBLE) AS total FROM documents GROUP BY source),
+-- lines of more than 5 % of a source's distinct texts: 2 standard deviations above
+vote AS (
+  SELECT l.source, l.key
+  FROM (SELECT DISTINCT source, text, key FROM line WHERE key <> '') l
+  JOIN host h ON l.source IS NOT DISTINCT FROM h.source
+  GROUP BY l.source, l.key, h.total
+  HAVING count(*) >= 2 AND count(*) - h.total * CAST(0.05 AS DOUBLE) > 0
+    AND (count(*) - h.total * CAST(0.05 AS DOUBLE)) * (count(*) - h.total * CAST(0.05 AS DOUBLE))
+        > h.total * (CAST(4 AS DOUBLE) * CAST(0.05 AS DOUBLE) * (1 - CAST(0.05 AS DOUBLE)))
+),
+-- texts that hold such lines beside as much other text
+page AS (
+  SELECT l.source, l.text
+  FROM (SELECT source, text, i, any_value(key) AS key FROM line GROUP BY source, text, i) l
+  LEFT JOIN vote v ON l.source IS NOT DISTINCT FROM v.source AND l.key = v.key
+  GROUP BY l.source, l.text
+  HAVING 2 * sum(CASE WHEN v.key IS NOT NULL THEN length(l.key) ELSE 0 END) <= sum(length(l.key))
+),
 boiler AS (
   SELECT l.source, l.key
-  FROM (SELECT DISTINCT doc_id, source, key FROM line WHERE key <> '') l
+  FROM (SELECT DISTINCT source, text, key FROM line WHERE key <> '') l
+  JOIN vote v ON l.source IS NOT DISTINCT FROM v.source AND l.key = v.key
+  JOIN page p ON l.source IS NOT DISTINCT FROM p.source AND l.text = p.text
   JOIN host h ON l.source IS NOT DISTINCT FROM h.source
   GROUP BY l.source, l.key, h.total
-  HAVING count(*) >= 5 AND count(*) > h.total * CAST(0.05 AS DOUBLE)
+  HAVING count(*) >= 2 AND count(*) - h.total * CAST(0.05 AS DOUBLE) > 0
+    AND (count(*) - h.total * CAST(0.05 AS DOUBLE)) * (count(*) - h.total * CAST(0.05 AS DOUBLE))
+        > h.total * (CAST(4 AS DOUBLE) * CAST(0.05 AS DOUBLE) * (1 - CAST(0.05 AS DOUBLE)))
 ),
 marked AS (
   SELECT l.doc_id, l.i, l.line, b.key IS NOT NULL AS cut

@@ -92,13 +92,81 @@ def test_literals_of_a_host_go_unless_its_pages_are_copies(spark):
         return "<body><article>" + "".join(f"<p>{b}</p>" for b in blocks) + f"<div class=legal>{legal}</div></article></body>"
     many = [page(f"{LONG} {i}", f"more {i}") for i in range(40)] + [page(f"{LONG} copy")] * 20
     copies, near = [page(LONG, "same")] * 30, [page(LONG, f"end {i}") for i in range(30)]
-    few = [page(f"{LONG} {i}") for i in range(10)]
-    hosts = {"many": many, "copies": copies, "near": near, "few": few}
+    few, two = [page(f"{LONG} {i}") for i in range(10)], [page(f"{LONG} {i}") for i in range(2)]
+    hosts = {"many": many, "copies": copies, "near": near, "few": few, "two": two}
     rows = [(k, f"http://{h}.org/{k}", p) for h, pages in hosts.items() for k, p in enumerate(pages)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     got = {r.url: (r.text, r.n_chars) for r in H.main_texts(d).collect()}
     for k, url, p in rows:
         blocks = p.replace("<div class=legal>", "<p>").replace("</div>", "</p>").split("<p>")[1:]
         want = [b.split("</p>")[0] for b in blocks]
-        text = "\n".join(w for w in want if w != legal or "many" not in url)
+        text = "\n".join(w for w in want if w != legal or not ("many" in url or "few" in url))
         assert got[url] == (text, len(text))
+
+
+@pytest.mark.parametrize("deep", ["<b>" * 10000 + "%s" + "</b>" * 10000, "<div>" * 10000 + "%s", "<nav><i>" * 3000 + "</i></nav>" * 3000 + "%s",
+                                  "<ul><li>" * 4000 + "%s", "<svg><g>" * 5000 + "</g></svg>" * 5000 + "%s"])
+def test_deep_pages(deep):
+    assert texts(deep % ARTICLE, deep % ARTICLE) == [TEXT, TEXT]
+
+
+def test_blocks_below_the_deepest_level_stay_blocks():
+    page = "<div>" * 400 + f"<p>{LONG}</p><div>one<div>two</div>three</div><nav>Menu<b>x</b></nav><ul><li>four</ul>"
+    assert texts(page) == [f"{LONG}\none\ntwo\nthree\nfour"]
+
+
+@pytest.mark.parametrize("odd", ['<a "', "<a ='", '<a ="', "<a", "<a ", "<!", "<script ", "<select>", "</x>", "<title><iframe>", "<textarea>", "<br>"])
+def test_reading_time_is_linear(odd):
+    """Ten times the page takes not much more than ten times as long."""
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        H.extract(odd * n + ARTICLE, None)
+        H.keys_in(odd * n)
+        return time.perf_counter() - start
+    seconds(100)
+    assert seconds(20000) < 40 * max(seconds(2000), 0.01)
+
+
+def test_a_megabyte_of_unclosed_quotes(spark):
+    rows = [(1, "http://a.org", '<a "' * 260000 + ARTICLE), (2, "http://a.org", f"<div>{ARTICLE}</div>"),
+            (3, "http://a.org", "<b>" * 20000 + ARTICLE)]
+    got = {r.page_id: r.text for r in H.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == got[3] == TEXT and got[1].endswith(LONG)
+
+
+@pytest.mark.parametrize("name", ["class='post-comments'", "id='user-comments'", "class='google-ads'", "class='left-sidebar'",
+                                  "class='comments-area'", "class='sidebar-left'", "class='ad_slot_2'", "id=footer", "role=navigation"])
+def test_boilerplate_by_name(name):
+    assert texts(f"<div class=post><h1>Title</h1><div {name}><p>not this</p></div><p>{LONG}</p></div>") == [TEXT]
+
+
+@pytest.mark.parametrize("name", ["class='share-prices'", "class='notice-period'", "class='has-sidebar'", "id='no-comments'",
+                                  "class='related-work'", "class='menu-prices-explained'", "class=shareholder", "class=addresses"])
+def test_articles_by_name(name):
+    assert texts(f"<div class=post>{ARTICLE}<div {name}><p>more</p></div></div>") == [f"{TEXT}\nmore"]
+
+
+LAYOUTS = {
+    "semantic": "<body><header>Site</header><nav><a>Home</a></nav><article>%s</article><footer>Foot</footer></body>",
+    "divs": "<body><div id=top-menu>Home</div><div class='content wrap'><div class=post>%s</div><div class=left-sidebar>Side</div></div>"
+            "<div class=site-footer>Foot</div></body>",
+    "table": "<body><table><tr><td class=nav>Home<td class=text>%s<td class=sidebar>Side</table></body>",
+    "form": "<body><form><div role=main>%s<div class=share-buttons>Share</div></div><div class=cookie-banner>Ok</div></form></body>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts_against_plain(spark, layout):
+    """Pages made from known blocks: the text is those blocks."""
+    rows, want = [], {}
+    for i in range(30):
+        blocks = [f"{LONG} {layout} {i} {k}" for k in range(1 + i % 4)]
+        body = f"<h1>Head {i}</h1>" + "".join(f"<p>{b}</p>" + ("<aside>teaser</aside>" if i % 3 == 0 else "") for b in blocks)
+        if i % 5 == 0:
+            body += "<ul><li>first<li>second &amp; last</ul>"
+        rows.append((i, f"http://{layout}.org/{i}", LAYOUTS[layout] % body))
+        want[i] = "\n".join([f"Head {i}", *blocks, *(["first", "second & last"] if i % 5 == 0 else [])])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in H.main_texts(df).collect()} == want

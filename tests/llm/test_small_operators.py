@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from llm_rows import EN, FR, ROWS
+from llm_rows import DOC, EN, FR, ROWS
 from pyspark.sql import functions as F
 
 from caravan.llm import language_id, line_dedup, mixing, packing, sharding, token_output, tokens
@@ -20,12 +20,21 @@ def key(v):
 
 
 # ---------------------------------------------------------------- 1 line dedup
-def plain_line_dedup(rows, ratio, support):
-    hosts = collections.Counter(r[3] for r in rows)
+def plain_line_dedup(rows, ratio):
     strip = lambda x: x.strip(" \t\r\x0b\x0c")
-    seen = collections.Counter((r[3], x) for r in rows if r[1] is not None
-                               for x in {strip(y) for y in r[1].split("\n")} if x)
-    cut = {(h, x) for (h, x), n in seen.items() if n >= support and n > ratio * hosts[h]}
+    pages = {(r[3], r[1]) for r in rows if r[1] is not None}
+    hosts = collections.Counter(h for h, _ in pages)
+
+    def above(pages, among=None):
+        seen = collections.Counter((h, x) for h, t in pages for x in {strip(y) for y in t.split("\n")} if x)
+        return {(h, x) for (h, x), n in seen.items() if n >= 2 and n > ratio * hosts[h] and (among is None or (h, x) in among)
+                and (n - ratio * hosts[h]) ** 2 > 4 * ratio * (1 - ratio) * hosts[h]}
+    first = above(pages)
+
+    def beside(h, t):
+        lines = [strip(x) for x in t.split("\n")]
+        return 2 * sum(len(x) for x in lines if (h, x) in first) <= sum(map(len, lines))
+    cut = above({p for p in pages if beside(*p)}, first)
     out = []
     for r in rows:
         lines = None if r[1] is None else r[1].split("\n")
@@ -34,13 +43,40 @@ def plain_line_dedup(rows, ratio, support):
     return sorted(out, key=key)
 
 
+FOOT = "the footer of a site"
+LINES = [(k, t, "en", h, 1) for k, (h, t) in enumerate(
+    [("copies", f"article {'x ' * 30}\nits second line")] * 12
+    + [("copies", f"page {k} {'y ' * 30}\n{FOOT}") for k in range(12)]
+    + [("near", f"near {'z ' * 30}\nend {k}") for k in range(12)]
+    + [("two", f"first page {'v ' * 20}\n {FOOT}\t"), ("two", f"{FOOT}\nsecond page {'w ' * 20}"), ("alone", FOOT), ("alone", FOOT),
+       ("large", f"quoted line\nown {'u ' * 9}"), ("large", f"quoted line\nother {'u ' * 9}")]
+    + [("large", f"large {k} {'u ' * 9}\n\n") for k in range(30)])]
+
+
 def test_line_dedup(docs):
     d = docs.withColumn("host", F.lit("clash")).withColumn("digests", F.lit(1)).withColumn("row", F.lit("r"))
-    out = line_dedup.drop_boilerplate_lines(d, F.col("source"), max_ratio=0.3, min_docs=2)
+    out = line_dedup.drop_boilerplate_lines(d, F.col("source"), max_ratio=0.3)
     assert out.columns == [*d.columns, "n_lines", "n_dropped"]
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()), key=key)
-    assert got == plain_line_dedup(ROWS, 0.3, 2)
-    assert any(r[3] for r in got)
+    assert got == plain_line_dedup(ROWS, 0.3)
+
+
+def test_line_dedup_counts_distinct_texts(spark):
+    out = line_dedup.drop_boilerplate_lines(spark.createDataFrame(LINES, DOC).repartition(3), F.col("source"))
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()), key=key)
+    assert got == plain_line_dedup(LINES, 0.05)
+    dropped = {(LINES[i][3], n) for i, _, _, n in got}
+    # copies and near copies stay whole, footers go at every size, one page says nothing, two of 32 too little
+    assert dropped == {("copies", 0), ("copies", 1), ("near", 0), ("two", 1), ("alone", 0), ("large", 0)}
+
+
+def test_line_dedup_of_clashing_names(spark):
+    d = spark.createDataFrame([(1, "a\nb", "s", 7, "x")], "doc_id long, text string, source string, N_lines long, n_dropped string")
+    out = line_dedup.drop_boilerplate_lines(d, F.col("source"))
+    assert [tuple(r) for r in out.collect()] == [(1, "a\nb", "s", 2, 0)]
+    assert out.columns == ["doc_id", "text", "source", "n_lines", "n_dropped"]
+    kept = line_dedup.drop_boilerplate_lines(d, F.col("source"), counts=False)
+    assert [tuple(r) for r in kept.collect()] == [(1, "a\nb", "s", 7, "x")] and kept.columns == d.columns
 
 
 def test_line_dedup_empty(no_docs):
