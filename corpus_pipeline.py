@@ -3,6 +3,11 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``. All but the last return the columns of ``documents``.
+
+Defined results: of documents that tie (equal texts, near copies) the smallest id
+stays, of rows that repeat id and text the first in order of their other columns;
+further columns go through all stages but the last, whatever their names; a
+document whose text is cut to nothing stays as an empty one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: lines that a source repeats are cut, but not those that only
     copies of a document repeat; every document stays."""
-    return _measured(line_dedup.drop_boilerplate_lines(docs, F.col("source"), copies_vote=False), docs.columns)
+    return _measured(line_dedup.drop_boilerplate_lines(docs, F.col("source"), counts=False), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
