@@ -97,8 +97,8 @@ def catalog_image(trips: DataFrame, manifest: DataFrame, seed: int = 0,
     return j.select("trip_id", F.coalesce(F.col("key"), F.lit(fallback)).alias("image"))
 
 
-def media_changes(manifest: DataFrame, removed: DataFrame, added: DataFrame,
-                  totals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def media_changes(manifest: DataFrame, removed: DataFrame, added: DataFrame, totals: DataFrame | None = None,
+                  itineraries: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Manifest after removals and uploads, and the image count stored on
     each changed trip.
 
@@ -107,8 +107,23 @@ def media_changes(manifest: DataFrame, removed: DataFrame, added: DataFrame,
     of the upload id when not given, so no two uploads share a key); totals: optional (trip_id, total_image_count) as
     supplied by the client. Existing keys keep their names. The stored count is
     the supplied total, else the number of images added; trips with neither
-    are not changed."""
-    kept = manifest.join(removed.select("key").distinct(), "key", "left_anti")
+    are not changed.
+
+    itineraries: optional (trip_id, destination_name, ext, size, upload_id[,
+    removed_key]) new itinerary files, keyed ``trips/{slug}_itinerary.{ext}``. The
+    trip's old file ``removed_key`` (if given) goes first; a file stored under the same
+    key is replaced; of several uploads under one key the last (greatest
+    ``upload_id``) stays."""
+    gone = removed.select("key")
+    if itineraries is not None:
+        if "removed_key" in itineraries.columns:
+            gone = gone.unionByName(itineraries.select(F.col("removed_key").alias("key")))
+        files = (itineraries.select(media_key("trip_itinerary", F.col("destination_name"), ext=F.col("ext")).alias("key"),
+                                    F.col("size").cast(manifest.schema["size"].dataType).alias("size"), "upload_id")
+                 .groupBy("key").agg(F.max_by("size", "upload_id").alias("size"))
+                 .withColumn("last_modified", F.lit(None).cast(manifest.schema["last_modified"].dataType)))
+        gone = gone.unionByName(files.select("key"))
+    kept = manifest.join(gone.where("key is not null").distinct(), "key", "left_anti")
     tok = (F.col("token") if "token" in added.columns else
            F.substring(F.sha2(F.concat_ws("/", F.col("trip_id").cast("string"),
                                           F.col("upload_id").cast("string")), 256), 1, 32))
@@ -116,6 +131,8 @@ def media_changes(manifest: DataFrame, removed: DataFrame, added: DataFrame,
                        F.col("size").cast(manifest.schema["size"].dataType).alias("size"),
                        F.lit(None).cast(manifest.schema["last_modified"].dataType).alias("last_modified"))
     out = kept.select("key", "size", "last_modified").unionByName(new)
+    if itineraries is not None:
+        out = out.unionByName(files.select("key", "size", "last_modified"))
     counts = added.groupBy(F.col("trip_id").alias("_t")).agg(F.count(F.lit(1)).alias("_added"))
     if totals is not None:
         tt = totals.select(F.col("trip_id").alias("_tt"), "total_image_count")

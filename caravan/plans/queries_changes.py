@@ -554,6 +554,112 @@ def q_patch_batches_table(spark, d):
     return CH.apply_patches(t.batches, t.batch_patches, "batches")[0]
 
 
+_COUPON_PATCHES = """coupon_patches AS (
+  SELECT p_partkey AS request_id, p_partkey AS seq, p_partkey + 3 AS id,
+         CASE p_partkey % 4 WHEN 0 THEN ['deduction'] WHEN 1 THEN ['startDate', 'status'] WHEN 2 THEN ['endDate'] ELSE [] END AS set_fields,
+         CAST(p_size + 1 AS VARCHAR) AS deduction, '1700000000' AS "startDate", CAST(1700000000 + p_partkey AS VARCHAR) || 'x' AS "endDate",
+         CASE WHEN p_size % 2 = 0 THEN 'TRUE' ELSE 'no' END AS status FROM part)"""
+_COUPON_PATCH_D = duck_with("coupons") + f""", {_COUPON_PATCHES},
+p AS (SELECT cp.*, c.id AS cid FROM coupon_patches cp LEFT JOIN coupons c ON c.id = cp.id),
+d AS (SELECT p.*, CASE WHEN cid IS NULL THEN 'NOT_FOUND' WHEN len(set_fields) = 0 THEN 'NO_FIELDS' END AS error_code FROM p)
+"""
+
+
+def _coupon_patches(spark, d):
+    k = F.col("p_partkey") % 4
+    return spark.read.parquet(f"{d}/part.parquet").select(
+        F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("seq"), (F.col("p_partkey") + 3).alias("id"),
+        F.when(k == 0, F.array(F.lit("deduction"))).when(k == 1, F.array(F.lit("startDate"), F.lit("status")))
+         .when(k == 2, F.array(F.lit("endDate"))).otherwise(F.array().cast("array<string>")).alias("set_fields"),
+        (F.col("p_size") + 1).cast("string").alias("deduction"), F.lit("1700000000").alias("startDate"),
+        F.concat((F.col("p_partkey") + 1700000000).cast("string"), F.lit("x")).alias("endDate"),
+        F.when(F.col("p_size") % 2 == 0, "TRUE").otherwise("no").alias("status"))
+
+
+@register("patch_coupons_outcome", _COUPON_PATCH_D + _OUTCOME)
+def q_patch_coupons_outcome(spark, d):
+    """M8 for coupons: the code cannot change, all other fields can."""
+    return CH.apply_patches(Tables(spark, d).coupons, _coupon_patches(spark, d), "coupons")[1]
+
+
+@register("patch_coupons_table", _COUPON_PATCH_D + f""", ok AS (SELECT * FROM d WHERE error_code IS NULL)
+SELECT CAST(c.id AS VARCHAR) AS id, c.code,
+       CAST(CASE WHEN list_contains(ok.set_fields, 'deduction') THEN {_pf('ok.deduction')} ELSE c.deduction END AS BIGINT) AS deduction,
+       CASE WHEN list_contains(ok.set_fields, 'startDate') THEN {_pi('ok."startDate"')} ELSE c.start_date END AS start_date,
+       CASE WHEN list_contains(ok.set_fields, 'endDate') THEN {_pi('ok."endDate"')} ELSE c.end_date END AS end_date,
+       CASE WHEN list_contains(ok.set_fields, 'status') THEN lower(ok.status) IN ('true', '1', 't') ELSE c.status END AS status
+FROM coupons c LEFT JOIN ok ON ok.id = c.id""")
+def q_patch_coupons_table(spark, d):
+    return CH.apply_patches(Tables(spark, d).coupons, _coupon_patches(spark, d), "coupons")[0]
+
+
+_ROLE_D = duck_with("users") + """, asked AS (
+  SELECT s_suppkey AS request_id, s_suppkey AS seq, s_suppkey + 2 AS id,
+         CASE s_suppkey % 5 WHEN 0 THEN ' Admin ' WHEN 1 THEN 'superadmin' WHEN 2 THEN 'guest' WHEN 3 THEN '' END AS role FROM supplier),
+p AS (SELECT a.*, u.id AS cid FROM asked a LEFT JOIN users u ON u.id = a.id),
+d AS (SELECT p.*, CASE WHEN coalesce(role, '') = '' THEN 'ROLE_REQUIRED'
+        WHEN lower(trim(role)) NOT IN ('user', 'admin', 'superadmin') THEN 'INVALID_ROLE'
+        WHEN cid IS NULL THEN 'NOT_FOUND' END AS error_code FROM p)
+"""
+
+
+def _role_patches(spark, d):
+    k = F.col("s_suppkey") % 5
+    return spark.read.parquet(f"{d}/supplier.parquet").select(
+        F.col("s_suppkey").alias("request_id"), F.col("s_suppkey").alias("seq"), (F.col("s_suppkey") + 2).alias("id"),
+        F.array(F.lit("role")).alias("set_fields"),
+        F.when(k == 0, " Admin ").when(k == 1, "superadmin").when(k == 2, "guest").when(k == 3, "").alias("role"))
+
+
+@register("patch_user_role_outcome", _ROLE_D + _OUTCOME)
+def q_patch_role_outcome(spark, d):
+    """M8 for user roles."""
+    return CH.apply_patches(Tables(spark, d).users, _role_patches(spark, d), "user_role")[1]
+
+
+@register("patch_user_role_table", _ROLE_D + """
+SELECT CAST(u.id AS VARCHAR) AS id, u.name, u.email, u.phone_number, u.created_at,
+       coalesce(lower(trim(d.role)), u.role) AS role, u.gender, u.emergency_contact, u.address
+FROM users u LEFT JOIN d ON d.id = u.id AND d.error_code IS NULL""")
+def q_patch_role_table(spark, d):
+    return CH.apply_patches(Tables(spark, d).users, _role_patches(spark, d), "user_role")[0]
+
+
+_PROFILE_D = duck_with("users") + """, asked AS (
+  SELECT s_suppkey AS request_id, s_suppkey AS seq, s_suppkey + 2 AS id, concat('N', s_suppkey) AS name,
+         CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE '0' || s_suppkey END AS phone,
+         CASE WHEN s_suppkey % 2 = 0 THEN 'f' END AS gender, concat('A ', s_nationkey) AS address FROM supplier),
+d AS (SELECT a.*, CASE WHEN u.id IS NULL THEN 'NOT_FOUND' END AS error_code FROM asked a LEFT JOIN users u ON u.id = a.id)
+"""
+
+
+def _profile_patches(spark, d):
+    k = F.col("s_suppkey")
+    return spark.read.parquet(f"{d}/supplier.parquet").select(
+        k.alias("request_id"), k.alias("seq"), (k + 2).alias("id"), F.array().cast("array<string>").alias("set_fields"),
+        F.concat(F.lit("N"), k.cast("string")).alias("name"),
+        F.when(k % 3 != 0, F.concat(F.lit("0"), k.cast("string"))).alias("phoneNumber"), F.when(k % 2 == 0, "f").alias("gender"),
+        F.concat(F.lit("A "), F.col("s_nationkey").cast("string")).alias("address"))
+
+
+@register("patch_user_profile_outcome", _PROFILE_D + _OUTCOME)
+def q_patch_profile_outcome(spark, d):
+    """M8 for user profiles."""
+    return CH.apply_patches(Tables(spark, d).users, _profile_patches(spark, d), "user_profile")[1]
+
+
+@register("patch_user_profile_table", _PROFILE_D + """
+SELECT CAST(u.id AS VARCHAR) AS id, CASE WHEN d.id IS NULL THEN u.name ELSE d.name END AS name, u.email,
+       CASE WHEN d.id IS NULL THEN u.phone_number ELSE d.phone END AS phone_number, u.created_at, u.role,
+       CASE WHEN d.id IS NULL THEN u.gender ELSE d.gender END AS gender,
+       CASE WHEN d.id IS NULL THEN u.emergency_contact END AS emergency_contact,
+       CASE WHEN d.id IS NULL THEN u.address ELSE d.address END AS address
+FROM users u LEFT JOIN d ON d.id = u.id AND d.error_code IS NULL""")
+def q_patch_profile_table(spark, d):
+    """All five profile fields are set, those not given to null."""
+    return CH.apply_patches(Tables(spark, d).users, _profile_patches(spark, d), "user_profile")[0]
+
+
 # ------------------------------------------------------------------ J8, M10-M13
 def _inactive_trip_ids(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")

@@ -146,3 +146,43 @@ def q_sql_functions(spark, d):
         SELECT CAST(id AS STRING) AS id, slug(destination_name) AS value, 'slug' AS fn FROM caravan_trips
         UNION ALL
         SELECT CAST(id AS STRING), CAST(is_email(email) AS STRING), 'is_email' FROM caravan_users""")
+
+
+_ODD_ITINERARY = ("CASE id % 5 WHEN 1 THEN replace(itinerary, '\"', '') WHEN 2 THEN concat(itinerary, ' x') WHEN 3 THEN NULL "
+                  "WHEN 4 THEN substr(itinerary, 1, 20) ELSE itinerary END")
+
+
+@register("itinerary_rejects", duck_with("trips") + f"""
+SELECT id AS trip_id, itinerary FROM (SELECT id, {_ODD_ITINERARY} AS itinerary FROM trips)
+WHERE NOT json_valid(itinerary)""")
+def q_itinerary_rejects(spark, d):
+    """the texts that are no JSON object, four trips of five being given an odd one."""
+    t = Tables(spark, d).trips
+    return itinerary_table(t.withColumn("itinerary", F.expr(_ODD_ITINERARY.replace('\"', '"'))))[1]
+
+
+_CALLS = {  # function -> (view, argument)
+    "js_parse_int": ("leads", "concat(' ', travellers, 'x')"), "is_phone10": ("users", "phone_number"),
+    "norm_code": ("coupon_attempts", "code_raw"), "norm_role": ("users", "concat(' ', upper(role))"),
+    "is_role": ("users", "concat(role, CASE WHEN id % 2 = 0 THEN 's' ELSE ' ' END)"), "file_name": ("media", "key"),
+    "file_ext": ("media", "key"), "media_kind": ("media", "key")}
+_DUCK_CALLS = {
+    "js_parse_int": "regexp_extract({x}, '^\\s*([0-9]+)', 1)", "is_phone10": "CAST(regexp_full_match({x}, '[0-9]{{10}}') AS VARCHAR)",
+    "norm_code": "nullif(upper(trim({x})), '')", "norm_role": "lower(trim({x}))",
+    "is_role": "CAST(lower(trim({x})) IN ('user', 'admin', 'superadmin') AS VARCHAR)",
+    "file_name": "string_split({x}, '/')[-1]", "file_ext": "string_split({x}, '.')[-1]",
+    "media_kind": "CASE WHEN contains(lower({x}), 'itinerary') THEN 'itinerary' ELSE 'image' END"}
+
+
+@register("sql_functions_all", duck_with("leads", "users", "coupon_attempts", "media") + " UNION ALL ".join(
+    f"SELECT '{f}' AS fn, {_DUCK_CALLS[f].format(x=x)} AS value, count(*) AS n FROM {v} GROUP BY ALL"
+    for f, (v, x) in _CALLS.items()))
+def q_sql_functions_all(spark, d):
+    """Every other registered SQL function over a whole table, its values counted."""
+    register_functions(spark)
+    t = Tables(spark, d)
+    for view in {v for v, _ in _CALLS.values()}:
+        getattr(t, view).createOrReplaceTempView(f"caravan_{view}")
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{f}' AS fn, CAST({f}({x}) AS STRING) AS value, count(*) AS n FROM caravan_{v} GROUP BY 1, 2"
+        for f, (v, x) in _CALLS.items()))

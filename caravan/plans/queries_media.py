@@ -106,6 +106,32 @@ def q_media_changes_counts(spark, d):
     return M.media_changes(t.media, removed, added)[1]
 
 
+_OLD_FILE = "lower(m.key) LIKE '%itinerary%'"
+
+
+@register("media_itineraries_replaced", duck_with("trips", "media") + _T + f"""
+, old AS (SELECT t.trip_id, m.key FROM t JOIN media m ON {_PREFIX} AND {_OLD_FILE} WHERE t.status),
+new AS (SELECT 'trips/' || s || '_itinerary.' || CASE WHEN trip_id % 2 = 0 THEN 'pdf' ELSE 'docx' END AS key,
+               max(trip_id) AS size FROM t WHERE status GROUP BY ALL)
+SELECT key, size, last_modified FROM media
+WHERE key NOT IN (SELECT key FROM old) AND key NOT IN (SELECT key FROM new)
+UNION ALL
+SELECT key, size, CAST(NULL AS TIMESTAMP) FROM new""")
+def q_itineraries_replaced(spark, d):
+    """Every active trip gets a new itinerary file and its old ones go; a
+    second change stores the files again, with another size, under the same keys."""
+    t = Tables(spark, d)
+    active = t.trips.where("status")
+    old = M.trip_media(active, t.media, "itinerary").where(F.col("key").isNotNull()).select("key")
+    files = active.select(F.col("id").alias("trip_id"), "destination_name",
+                          F.when(F.col("id") % 2 == 0, "pdf").otherwise("docx").alias("ext"),
+                          F.lit(0).alias("size"), F.col("id").alias("upload_id"))
+    no_images = _changes_inputs(t)[1].limit(0)
+    first = M.media_changes(t.media, old, no_images, itineraries=files)[0]
+    again = files.withColumn("size", F.col("trip_id"))
+    return M.media_changes(first, old.limit(0), no_images, itineraries=again)[0]
+
+
 @register("orphan_media", duck_with("trips", "bookings", "media") + _T + """
 SELECT m.key, m.size, m.last_modified, 'trip' AS owner_kind,
        split_part(substr(m.key, 7), '_', 1) AS owner_key

@@ -133,6 +133,33 @@ def q_list_leads(spark, d):
     return PG.list_leads(Tables(spark, d).leads)
 
 
+_BANNERS = """WITH banners AS (SELECT s_suppkey AS id, s_name AS banner_name, concat('Offer of ', s_name) AS description,
+  s_acctbal >= 0 AS status, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 1700000000 + s_nationkey END AS created_at, 'x' AS image
+  FROM supplier) """
+
+
+@register("list_banners", _BANNERS + """
+SELECT id, banner_name, description, status, created_at, row_number() OVER (ORDER BY created_at DESC NULLS FIRST, id) AS place
+FROM banners""")
+def q_list_banners(spark, d):
+    """O3: all banners (one per supplier), newest first, with their place in the list."""
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    banners = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("banner_name"),
+                       F.concat(F.lit("Offer of "), F.col("s_name")).alias("description"), (F.col("s_acctbal") >= 0).alias("status"),
+                       F.when(F.col("s_suppkey") % 9 != 0, F.col("s_nationkey") + 1700000000).alias("created_at"), F.lit("x").alias("image"))
+    listed = PG.list_banners(banners)
+    return PG.placed(listed, PG.sort_keys("banners"))
+
+
+@register("bookings_deep_page", duck_with("bookings") + """
+SELECT * FROM bookings ORDER BY id DESC LIMIT 500 OFFSET (SELECT 500 * (count(*) // 1000) FROM bookings)""")
+def q_bookings_deep_page(spark, d):
+    """O1: a page in the middle of all bookings."""
+    b = Tables(spark, d).bookings
+    middle = b.count() // 1000 + 1
+    return PG.deep_page(b, PG.sort_keys("bookings"), middle, 500)[0]
+
+
 @register("users_page_with_trips", duck_with("users", "bookings", "batches", "trips") + """
 , page AS (SELECT id, name, email, phone_number, created_at, role FROM users
            ORDER BY created_at DESC, id LIMIT 20 OFFSET 20)
