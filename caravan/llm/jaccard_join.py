@@ -69,7 +69,7 @@ CLASS_RATIO = 1.5      # width of a size class; must exceed 100 / percent
 BLOCK = 128            # rows of a matrix block
 WIDE_BLOCK = 1024      # rows of a block of histograms
 COLUMNS = 4096         # columns multiplied at a time
-CACHE_WORDS = 300_000  # word hashes kept by a Python worker
+CACHE_WORDS = 100_000  # word hashes kept by a Python worker
 
 
 # ---------------------------------------------------------------- sets
@@ -510,7 +510,7 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     words or is its component's smallest id)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_hash"),
                        F.col(text_col).alias("text"))
-    with arrow_rows(rows.sparkSession, 2000):
+    with arrow_rows(rows.sparkSession, 1000):
         named = scratch_table(rows.mapInArrow(_nodes(width), "doc_id long, row_hash long, node long, n long"),
                               "jaccard-nodes")
     # of each node the row with the smallest id, nulls last
@@ -518,7 +518,7 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     smallest = scratch_table(named.where("n > 0").groupBy("node").agg(pick.alias("p"))
                              .select("node", "p.doc_id", "p.row_hash"), "jaccard-smallest")
 
-    with arrow_rows(rows.sparkSession, 4000):
+    with arrow_rows(rows.sparkSession, 1000):
         runs = scratch_table(rows.select("text").mapInArrow(_digest_rows(width, percent), "digest long, node long, mark int")
                              .repartition("digest").sortWithinPartitions("digest", "node")
                              .mapInArrow(_runs(RUN), "a long, b long, mark int, long boolean"), "jaccard-runs")
