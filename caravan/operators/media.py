@@ -162,16 +162,19 @@ def orphan_media(trips: DataFrame, bookings: DataFrame, manifest: DataFrame,
     """Objects that no live trip, booking or banner owns. Without ``banners``
     nothing is known about banner files, so none is reported.
     Deleting a trip leaves its files in place in the reference; deleting a
-    booking removes ``{id}.*``. Anti join on (owner kind, owner key)."""
+    booking removes ``{id}.*``.
+
+    Each kind of object has an anti join of its own against its owners' keys: trips
+    and banners are small (broadcast by measured size), and the bookings are met by the
+    objects named after a booking alone."""
     kind, owner = media_owner(F.col("key"))
     m = manifest.select("*", kind.alias("owner_kind"), owner.alias("owner_key"))
-    owners = (trips.select(F.lit("trip").alias("_k"), slug("destination_name").alias("_o"))
-              .unionByName(bookings.select(F.lit("booking").alias("_k"),
-                                           F.col("id").cast("string").alias("_o"))))
+
+    def without(which: str, owners: DataFrame) -> DataFrame:
+        return m.where(F.col("owner_kind") == which).join(owners, F.col("owner_key") == F.col("_o"), "left_anti")
+    out = m.where(F.col("owner_kind") == "unknown")
+    out = out.unionByName(without("trip", trips.select(slug("destination_name").alias("_o"))))
+    out = out.unionByName(without("booking", bookings.select(F.col("id").cast("string").alias("_o"))))
     if banners is not None:
-        owners = owners.unionByName(banners.select(F.lit("banner").alias("_k"),
-                                                   slug("banner_name").alias("_o")))
-    else:
-        m = m.where(m["owner_kind"] != "banner")
-    return m.join(owners, (m["owner_kind"] == owners["_k"]) & (m["owner_key"] == owners["_o"]),
-                  "left_anti")
+        out = out.unionByName(without("banner", banners.select(slug("banner_name").alias("_o"))))
+    return out
