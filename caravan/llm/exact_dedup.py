@@ -7,9 +7,9 @@ seen. Each micro-batch is summed per digest before it meets the state, so a text
 that a third of all rows share is one state update per task. The state's changes
 go to a log; the newest entry of a digest is its group.
 
-Digests only nominate. Every hit (a row of a digest seen more than once) is
-compared in full bytes with the content at its group's locator, and where the
-bytes differ the digest's rows are grouped by the text itself.
+Digests only nominate: rows are grouped by digest and full text, byte by byte,
+and where a digest has several texts its rows are grouped by the text itself. A
+text that many rows share leaves a task once.
 
 Defined results: a null text equals the empty one; the row with the largest id
 stays; a null id sorts below all others; of rows that repeat id and text the
@@ -79,17 +79,12 @@ def stream_groups(spark: SparkSession, path: str, id_col: str, text_col: str, di
     return scratch_table(newest.select("digest", "s.keep", "s.n"), "dedup-state")
 
 
-def differing(rows: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, collided): the rows of digests seen more than once, and the
-    digests of which some row differs in full bytes from the content located."""
-    many = groups.where("n > 1").select("digest", "keep")
-    # the one place where texts move: rows of digests seen once drop out in this join
-    hits = scratch_table(rows.join(many, "digest").select(
-        "digest", "id", "file", "row", "text",
-        ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).alias("located")), "dedup-hits")
-    content = hits.where("located").select("digest", F.col("text").alias("content"))
-    bad = hits.join(content, "digest").where(F.col("text").cast("binary") != F.col("content").cast("binary"))
-    return hits, scratch_table(bad.select("digest").distinct(), "dedup-collided")
+def differing(rows: DataFrame) -> DataFrame:
+    """The digests that stand for several texts. Texts move here alone, each
+    once a task; what is counted per digest are texts, not rows."""
+    texts = rows.groupBy("digest", "text").agg(F.count("*").alias("n"))
+    many = texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1")
+    return scratch_table(many.select("digest"), "dedup-collided")
 
 
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", digest=sha256,
@@ -97,7 +92,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     """One row per document: doc_id, keep_id, group_size, kept, digest."""
     groups = stream_groups(spark, path, id_col, text_col, digest, work, source_options)
     rows = _keyed(spark.read.parquet(path), id_col, text_or_empty(text_col), digest)
-    hits, collided = differing(rows, groups)
+    collided = differing(rows)
 
     def out(df: DataFrame) -> DataFrame:
         kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
@@ -105,7 +100,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
                          F.col("n").alias("group_size"), kept.alias("kept"), "digest")
 
     sound = rows.drop("text").join(groups.join(collided, "digest", "left_anti"), "digest")
-    mixed = hits.join(collided, "digest", "left_semi")
+    mixed = rows.join(collided, "digest", "left_semi")
     parted = mixed.groupBy("digest", "text").agg(
         F.max(F.struct("id", "file", "row")).alias("keep"), F.count("*").alias("n"))
     return out(sound).unionByName(out(mixed.join(parted, ["digest", "text"])))
