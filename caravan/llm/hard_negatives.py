@@ -49,7 +49,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravan.llm.common import numbered, scratch_table, starts
+from caravan.llm.common import numbered, placed, scratch_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -159,14 +159,6 @@ def _floor(x: Column) -> Column:
     return F.when(F.abs(x) < F.lit(EXACT), F.floor(x).cast("double")).otherwise(x)
 
 
-def _placed(t: DataFrame) -> DataFrame:
-    """``numbered`` rows with one ``place`` over all partitions (of the starts,
-    one row per partition is broadcast)."""
-    at = starts(t.groupBy("_part").agg(F.count("*").alias("_n")), "_part", {"_first": "_n"}).select("_part", "_first")
-    return t.join(F.broadcast(at), "_part").withColumn("place", F.col("_first") + F.col("_row")).drop(
-        "_part", "_row", "_first")
-
-
 def bucketed(df: DataFrame, id_col: str, vector_col: str, label: Column, scale: int) -> DataFrame:
     """(key, vec_id, label, v, length, bucket): rows numbered from the longest
     on (then by id, label and a hash of the vector) and cut into buckets."""
@@ -177,7 +169,7 @@ def bucketed(df: DataFrame, id_col: str, vector_col: str, label: Column, scale:
     ).where("vec_id is not null and label is not null")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e * e))
     rows = rows.withColumn("length", length).withColumn("_hash", F.xxhash64("v"))
-    rows = _placed(numbered(rows, [F.desc("length"), F.col("vec_id"), F.col("label"), F.col("_hash")], "negatives-rows"))
+    rows = placed(numbered(rows, [F.desc("length"), F.col("vec_id"), F.col("label"), F.col("_hash")], "negatives-rows"))
     return rows.select(F.col("place").alias("key"), "vec_id", "label", "v", "length",
                        F.floor(F.col("place") / BUCKET).cast("long").alias("bucket"))
 
@@ -210,7 +202,7 @@ def hard_negatives(df: DataFrame, every: int, positives: int = 5, negatives: int
     if not n:
         return df.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, "
                                                    "positive_score long, negative_score long")
-    anchors = _placed(numbered(rows.where(F.col("vec_id") % every == 0).select(
+    anchors = placed(numbered(rows.where(F.col("vec_id") % every == 0).select(
         F.col("key").alias("aid"), F.col("vec_id").alias("anchor_id"), F.col("label").alias("a_label"),
         F.col("v").alias("q"), "length"), ["aid"], "negatives-anchors"))
     anchors = scratch_table(anchors.withColumn("block", F.floor(F.col("place") / ANCHORS).cast("long")).drop("place"),

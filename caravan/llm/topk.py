@@ -18,12 +18,13 @@ or a crowded centre is spread over many tasks.
    are descended together under the same rule, down to leaf products.
 4. The groups' answers are merged to each query's best k.
 
-Scores are integer inner products of floor(scale * x), exact below 2^53.
+Scores are integer inner products of floor(scale * x), exact below 2^53; beyond,
+the nearest double, cut to the range of a long.
 
 Defined results: a vector that is null, empty, or holds a null or a non-finite
-component takes no part, nor does a row without id; of rows that repeat an id
-the greatest vector (component by component) counts, so each id is one query
-and one candidate; shorter vectors are padded with zeros; equal scores go to the
+component takes no part, nor does a row without id; rows that repeat an id are rows
+of their own: each is a candidate for all others, and each a query if its id is
+one (their results stand under the same id); shorter vectors are padded with zeros; equal scores go to the
 smaller id; a query with fewer than k candidates returns all; an empty table
 gives no rows; other columns are not read.
 """
@@ -39,7 +40,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caravan.llm.common import scratch_table
+from caravan.llm.common import numbered, placed, scratch_table
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -136,7 +137,7 @@ def _unit(k: int):
         hit = np.isfinite(s.score) & (s.score >= s.low[:, None])
         at = np.nonzero(hit)[0]
         return pd.DataFrame({"gid": queries["gid"].iloc[0], "query_id": s.q_ids[at], "vec_id": s.ids[hit],
-                             "score": s.score[hit].astype(np.int64)})[cols]
+                             "score": np.clip(s.score[hit], -2.0 ** 63, 2.0 ** 63 - 1024).astype(np.int64)})[cols]
     return run
 
 
@@ -163,28 +164,34 @@ def _file(centers: np.ndarray):
             far = np.sqrt(((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)) if len(n) else np.zeros((0, 1))
             node = far.argmin(axis=1) if len(n) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(node.astype(np.int32)),
-                 pa.array(far[np.arange(len(n)), node])], names=["vec_id", "v", "node", "far"])
+                [b.column("vec_id"), b.column("ask"), pa.array([r.tobytes() for r in x], pa.binary()),
+                 pa.array(node.astype(np.int32)), pa.array(far[np.arange(len(n)), node])],
+                names=["vec_id", "ask", "v", "node", "far"])
     return run
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): one row per id with the integer components."""
+    """(id, v): the rows that take part, with whole components."""
     x = F.col(vector_col)
     sound = F.coalesce(F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf")))),
                        F.lit(False))
-    v = F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e.cast("double")).cast("long"))
+
+    def whole(e):
+        e = F.lit(float(scale)) * e.cast("double")
+        return F.when(F.abs(e) < F.lit(2.0 ** 53), F.floor(e).cast("double")).otherwise(e)
     rows = df.where(sound & (F.size(x) > 0) & F.col(id_col).isNotNull())
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(
-        F.max("v").alias("v"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
 
 def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding",
           scale: int = 64) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score for the queries (ids divisible by
-    ``every``) against every other row."""
+    """query_id, rank (from 1), vec_id, score for the queries (rows whose id is
+    divisible by ``every``) against every other row."""
     spark = df.sparkSession
-    rows = scratch_table(quantised(df, id_col, vector_col, scale), "topk-vectors")
+    # from here on a row goes by its place in the order of ids, so ties go to the smaller id
+    rows = placed(numbered(quantised(df, id_col, vector_col, scale), ["id"], "topk-numbered"))
+    rows = scratch_table(rows.select(F.col("place").alias("vec_id"), "id", "v", (F.col("id") % every == 0).alias("ask")),
+                         "topk-vectors")
     width = rows.agg(F.max(F.size("v"))).first()[0]
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -193,10 +200,11 @@ def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col:
     for i, r in enumerate(sample):
         fit[i, :len(r["v"])] = r["v"]
     centers = net(fit, PIVOTS)
-    filed = scratch_table(rows.mapInArrow(_file(centers), "vec_id long, v binary, node int, far double"), "topk-filed")
+    filed = scratch_table(rows.drop("id").mapInArrow(
+        _file(centers), "vec_id long, ask boolean, v binary, node int, far double"), "topk-filed")
 
     # PIVOTS rows: counts and covering radii of the top level
-    is_query = F.col("vec_id") % every == 0
+    is_query = F.col("ask")
     stats = {r["node"]: r for r in filed.groupBy("node").agg(
         F.count("*").alias("n"), F.max("far").alias("radius"), F.sum(is_query.cast("long")).alias("nq"),
         F.max(F.when(is_query, F.col("far"))).alias("q_radius")).collect()}
@@ -249,5 +257,8 @@ def top_k(df: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col:
     rest = asked.join(bounds.select("query_id", "low"), "query_id")
     found = first.unionByName(searched(rest, pairs))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    best = (found.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= k))
+    for place in ("query_id", "vec_id"):
+        best = best.join(rows.select(F.col("vec_id").alias(place), F.col("id").alias(f"{place}_of")), place)
+    return best.select(F.col("query_id_of").alias("query_id"), "rank", F.col("vec_id_of").alias("vec_id"), "score")

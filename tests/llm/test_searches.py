@@ -21,16 +21,15 @@ def key(v):
 
 # ---------------------------------------------------------------- 3 top-k
 def plain_top_k(rows, k, every):
-    best = {}
+    sound = []
     for i, v in rows:
         if i is None or not v or any(x is None or not np.isfinite(x) for x in v):
             continue
-        q = [int(np.floor(64 * float(np.float32(x)))) for x in v]
-        best[i] = max(best.get(i, q), q)
+        sound.append((i, [int(np.floor(64 * float(np.float32(x)))) for x in v]))
     out = []
-    for i, v in best.items():
+    for n, (i, v) in enumerate(sound):
         if i % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in best.items() if j != i)[:k]
+            s = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(sound) if m != n)[:k]
             out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
     return sorted(out)
 
@@ -48,7 +47,8 @@ def test_top_k(spark, monkeypatch, seed, block):
     rows = [(i, [float(x) for x in base[i % 6] + 0.2 * rnd.normal(size=5)]) for i in range(200)]
     rows += [(i, [0.5, 0.25, 0.0, -0.5, 0.1]) for i in range(200, 320)]  # one very common vector: ties
     rows += [(None, [1.0] * 5), (330, None), (331, []), (332, [1.0, None, 0.0, 0.0, 0.0]),
-             (333, [float("nan")] * 5), (340, [float("inf")] * 5), (341, [1.0, 2.0]), (5, [9.0] * 5), (5, [9.0] * 5)]
+             (333, [float("nan")] * 5), (340, [float("inf")] * 5), (341, [1.0, 2.0]), (5, [9.0] * 5), (5, [9.0] * 5),
+             (20, [9.0] * 5), (20, [-1.0] * 5)]  # rows that repeat an id, also a query's
     d = spark.createDataFrame([(*r, "clash") for r in rows], KIND).repartition(3)
     got = sorted(map(tuple, topk.top_k(d, k=7, every=20).collect()))
     assert got == plain_top_k(rows, 7, 20)
