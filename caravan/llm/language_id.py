@@ -12,9 +12,11 @@ The log likelihood is concave in the proportions, so the slope from a single
 language towards another bounds what adding it can gain: languages whose slope
 is below the penalty are left out without running EM, with the same result.
 
-Learning counts the trigrams of every labelled training text in Spark; the model
-(learned languages x ``BUCKETS`` hashed trigrams) is the only thing the driver
-holds, and its size does not depend on the corpus.
+Learning counts the trigrams of every labelled training text in Spark, for the
+``LANGUAGES`` labels with most texts (equal numbers: by name); rarer labels are not
+learned, so dirty labels cannot make the model grow. It has ``LANGUAGES`` x ``BUCKETS``
+numbers at most (67 MB), is the only thing the driver holds, and its size does
+not depend on the corpus. A task keeps as much while it counts.
 
 Texts are lower-cased; letters stay, runs of other characters become one space.
 
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1 << 15
+LANGUAGES = 256     # labels that are learned at most
 SMOOTHING = 0.5     # added to each bucket's count
 PENALTY = 3.0       # times ln(trigrams + 1), for each language beyond the first
 EM_ROUNDS = 60
@@ -96,8 +99,11 @@ def _count(batches):
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, BUCKETS x languages probabilities) from rows (lang, text)."""
-    counts = (labelled.select("lang", "text").where("lang is not null and text is not null")
-              .mapInArrow(_count, "lang string, bucket int, n long")
+    labelled = labelled.select("lang", "text").where("lang is not null and text is not null")
+    most = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    if len(most) > LANGUAGES:
+        labelled = labelled.where(F.col("lang").isin([r["lang"] for r in most[:LANGUAGES]]))
+    counts = (labelled.mapInArrow(_count, "lang string, bucket int, n long")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("x")).orderBy("lang").collect()
     table = np.full((BUCKETS, len(rows)), SMOOTHING)
