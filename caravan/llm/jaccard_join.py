@@ -470,8 +470,10 @@ def _families(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = scratch_table(rows.join(size, "digest").withColumn(
         "rank", F.row_number().over(w.orderBy(F.desc("size"), "digest"))).withColumn("held", F.count("*").over(w)),
         "jaccard-long")
-    kept = rows.where(F.col("rank") >= F.shiftright("mark", 6)).select("node", "digest")
-    family = components(kept.select(F.col("node").alias("a"), F.col("digest").alias("b")))
+    kept = scratch_table(rows.where(F.col("rank") >= F.shiftright("mark", 6)).select("node", "digest"), "jaccard-kept")
+    # a run is a star around its smallest node: copies of one family have few of them
+    head = kept.groupBy("digest").agg(F.min("node").alias("b"))
+    family = components(kept.join(head, "digest").select(F.col("node").alias("a"), "b").distinct())
     weight = kept.groupBy("node").agg(F.count("*").alias("runs"))
     family = weight.join(family.withColumnRenamed("label", "family"), "node")
     hubs = family.groupBy("family").agg(F.max(F.struct("runs", "node"))["node"].alias("hub"),
