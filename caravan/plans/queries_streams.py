@@ -4,18 +4,23 @@ reader runs over them to their end, and the stored result is returned."""
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caravan.plans import queries_changes as QC
 from caravan.plans.registry import QUERIES, register
 from caravan.session import checkpoint_dir
+from caravan.sources import media as MD
 from caravan.sources import tables as ST
 from caravan.streaming import feeds as S
 from caravan.testdata import Tables, duck_with
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _work(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/queries/{name}-{uuid.uuid4().hex}"
@@ -78,6 +83,43 @@ def q_stream_occupancy(spark, d):
     return S.read_occupancy(spark, f"{work}/out")
 
 
+def _store(root: str):
+    """Stores an object of ``size`` bytes under each key (on the executors)."""
+    def run(frames):
+        from pyarrow import fs
+        system, base = fs.FileSystem.from_uri(root)
+        for pdf in frames:
+            for key, size in zip(pdf["key"], pdf["size"], strict=True):
+                path = f"{base}/{key}"
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(b"x" * int(size))
+            yield pdf
+    return run
+
+
+@register("media_manifest", """
+SELECT concat('trips/', lower(c_mktsegment), '/customer-', c_custkey, '_', c_nationkey, '.jpg') AS key,
+       CAST(c_custkey % 13 AS BIGINT) AS size FROM customer
+UNION ALL SELECT concat('itineraries/supplier-', s_suppkey, '_itinerary.pdf'), CAST(s_suppkey % 7 AS BIGINT) FROM supplier
+UNION ALL SELECT concat('N', n_nationkey, '.pdf'), CAST(1 AS BIGINT) FROM nation""")
+def q_media_manifest(spark, d):
+    """The listing of an object tree that holds an object per customer,
+    supplier and nation (prefixes two deep, one deep and none)."""
+    work = _work(spark, "media")
+    root = work if "://" in work else f"file://{work.removeprefix('file:')}"
+    c, s, n = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "supplier", "nation"))
+    text = lambda col: F.col(col).cast("string")
+    objects = c.select(F.concat(F.lit("trips/"), F.lower("c_mktsegment"), F.lit("/customer-"), text("c_custkey"), F.lit("_"),
+                                text("c_nationkey"), F.lit(".jpg")).alias("key"), (F.col("c_custkey") % 13).cast("long").alias("size"))
+    objects = objects.unionByName(s.select(F.concat(F.lit("itineraries/supplier-"), text("s_suppkey"), F.lit("_itinerary.pdf"))
+                                           .alias("key"), (F.col("s_suppkey") % 7).cast("long").alias("size")))
+    objects = objects.unionByName(n.select(F.concat(F.lit("N"), text("n_nationkey"), F.lit(".pdf")).alias("key"),
+                                           F.lit(1).cast("long").alias("size")))
+    objects.mapInPandas(_store(root), "key string, size long").write.format("noop").mode("overwrite").save()
+    return MD.media_manifest(spark, root).select("key", "size")
+
+
 @register("read_coupons_json", duck_with("coupons") + """
 SELECT CAST(id AS VARCHAR) AS id, code, false AS rejected FROM coupons WHERE id % 10 <> 0
 UNION ALL SELECT CAST(id AS VARCHAR), NULL, true FROM coupons WHERE id % 10 = 0""")

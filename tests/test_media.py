@@ -79,6 +79,23 @@ def test_manifest_from_files(spark, scratch):
             f.write(b"x" * 3)
     man = media_manifest(spark, scratch)
     assert rows(man, "key", "size") == [("k1.pdf", 3), ("trips/spiti_a.jpg", 3), ("trips/spiti_itinerary.pdf", 3)]
+    assert all(r["last_modified"] is not None for r in man.collect())
+    assert rows(media_manifest(spark, "file://" + scratch, "spiti_*.jpg"), "key") == [("trips/spiti_a.jpg",)]
+    assert media_manifest(spark, os.path.join(scratch, "none")).collect() == []
+
+
+def test_itineraries_are_replaced(spark):
+    man = spark.createDataFrame([("trips/goa_itinerary.pdf", 1, None), ("trips/goa_old-itinerary.doc", 2, None), ("trips/goa_a.jpg", 3, None),
+                                 ("trips/ooty_itinerary.pdf", 4, None)], "key string, size long, last_modified timestamp")
+    none = spark.createDataFrame([], "key string")
+    images = spark.createDataFrame([], "trip_id string, destination_name string, ext string, size long, upload_id string")
+    files = spark.createDataFrame([("t1", "Goa", "pdf", 10, "u1", "trips/goa_old-itinerary.doc"), ("t1", "Goa", "pdf", 11, "u2", None),
+                                   ("t2", "Leh!", "docx", 12, "u3", None)],
+                                  "trip_id string, destination_name string, ext string, size long, upload_id string, removed_key string")
+    out, counts = M.media_changes(man, none, images, itineraries=files)
+    assert rows(out, "key", "size") == [("trips/goa_a.jpg", 3), ("trips/goa_itinerary.pdf", 11), ("trips/leh_itinerary.docx", 12),
+                                        ("trips/ooty_itinerary.pdf", 4)]
+    assert counts.collect() == []
 
 
 def test_banner_objects_owned_by_banners(spark):
