@@ -418,7 +418,8 @@ def _refused_names(trips: DataFrame, named: DataFrame) -> DataFrame:
     """Name patches (request_id, seq, _cid, name) that another trip's name stands
     against when their turn comes, decided as if one after the other.
 
-    Each round knows which patches are accepted (A) or still open (U). A trip
+    Rounds work on the patches and on the trips that hold one of their names, never on
+    all trips. Each knows which patches are accepted (A) or still open (U). A trip
     holds a name for sure from the patch that gave it until its next patch, and
     perhaps until its next accepted one. Running counts over a name's events (all
     trips, and the patched trip itself) tell each open patch whether another trip
@@ -431,6 +432,8 @@ def _refused_names(trips: DataFrame, named: DataFrame) -> DataFrame:
     stored = trips.select(F.lit(None).cast(todo.schema["request_id"].dataType).alias("request_id"),
                           F.lit(None).cast(seq).alias("seq"), F.col("id").cast("string").alias("trip"),
                           F.col("destination_name").alias("name"), F.lit("A").alias("state"))
+    # only trips that hold a name asked for have a say: rounds read these, not all trips
+    stored = cut_lineage(stored.join(todo.select("name").distinct(), "name", "left_semi").select(todo.columns))
     while not todo.where("state = 'U'").isEmpty():
         later = (Window.partitionBy("trip").orderBy(F.col("seq").asc_nulls_first())
                  .rowsBetween(1, Window.unboundedFollowing))
