@@ -72,6 +72,19 @@ COLUMNS = 4096         # columns multiplied at a time
 CACHE_WORDS = 100_000  # word hashes kept by a Python worker
 
 
+def _tidy(run):
+    """``run``, after which the worker gives the memory of its batches back: it
+    lives on and would keep it beside the next operators'."""
+    def tidied(batches):
+        import ctypes
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+    return tidied
+
+
 # ---------------------------------------------------------------- sets
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -513,7 +526,7 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("row_hash"),
                        F.col(text_col).alias("text"))
     with arrow_rows(rows.sparkSession, 1000):
-        named = scratch_table(rows.mapInArrow(_nodes(width), "doc_id long, row_hash long, node long, n long"),
+        named = scratch_table(rows.mapInArrow(_tidy(_nodes(width)), "doc_id long, row_hash long, node long, n long"),
                               "jaccard-nodes")
     # of each node the row with the smallest id, nulls last
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash"))
@@ -521,9 +534,9 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
                              .select("node", "p.doc_id", "p.row_hash"), "jaccard-smallest")
 
     with arrow_rows(rows.sparkSession, 1000):
-        runs = scratch_table(rows.select("text").mapInArrow(_digest_rows(width, percent), "digest long, node long, mark int")
+        runs = scratch_table(rows.select("text").mapInArrow(_tidy(_digest_rows(width, percent)), "digest long, node long, mark int")
                              .repartition("digest").sortWithinPartitions("digest", "node")
-                             .mapInArrow(_runs(RUN), "a long, b long, mark int, long boolean"), "jaccard-runs")
+                             .mapInArrow(_tidy(_runs(RUN)), "a long, b long, mark int, long boolean"), "jaccard-runs")
     family, held = _families(runs)
     pairs = scratch_table(_candidates(runs, family, held), "jaccard-pairs")
 
@@ -538,7 +551,7 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
     texts = rows.select("row_hash", "text").mapInArrow(_chosen(bits), "row_hash long, text string")
     sets = texts.join(wanted.drop("bit"), "row_hash").dropDuplicates(["row_hash"]).select("node", "family", "hub", "salt", "text")
     with arrow_rows(rows.sparkSession, 500):
-        sets = scratch_table(sets.mapInArrow(_sets(width), "node long, family long, hub long, salt int, n long, "
+        sets = scratch_table(sets.mapInArrow(_tidy(_sets(width)), "node long, family long, hub long, salt int, n long, "
                                                            "histogram binary, grams binary"), "jaccard-sets")
         possible = scratch_table(_met_pairs(pairs, sets, "histogram").mapInArrow(
             _possible_pairs(percent), "a long, b long"), "jaccard-possible")
@@ -549,7 +562,7 @@ def similar_components(docs: DataFrame, width: int, percent: int, id_col: str =
         of_hub = own.where("node = hub").join(copies, "family").select(
             "family", F.explode(F.sequence(F.lit(0), F.col("most"))).alias("salt"), F.col("grams").alias("hub_grams"))
         near = scratch_table(own.join(of_hub, ["family", "salt"]).mapInArrow(
-            _with_hub(percent), "node long, family long, hub long, n long, histogram binary, zone int"), "jaccard-zones")
+            _tidy(_with_hub(percent)), "node long, family long, hub long, n long, histogram binary, zone int"), "jaccard-zones")
     to_hub = near.where("zone = 0 and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     label = components(links.unionByName(to_hub).unionByName(_blocks(near, sets, percent)))
 
