@@ -63,10 +63,12 @@ def q_stream_admission(spark, d):
     taken = t.bookings.groupBy("batch_id").agg((F.sum("travellers") / 3).cast("bigint").alias("travellers"))
     req = QC.numeric_requests(t).select("request_id", "seq", F.col("batch_ref").alias("batch_id"),
                                         F.col("travellers").cast("int").alias("travellers"))
-    # whole batches in each file: the order within a batch is that of seq
-    req.repartition(2, "batch_id").write.parquet(f"{work}/in")
-    stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
-    S.stream_admission(stream, t.batches, taken, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    # whole batches in each micro-batch: the order within a batch is that of seq. A
+    # micro-batch is as many files as there are tasks, so none holds half of the rows
+    for half in range(2):
+        req.where(F.pmod(F.xxhash64("batch_id"), F.lit(2)) == half).write.mode("append").parquet(f"{work}/in")
+        stream = spark.readStream.schema(req.schema).parquet(f"{work}/in")
+        S.stream_admission(stream, t.batches, taken, f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return S.read_admission(spark, f"{work}/out")
 
 
@@ -76,10 +78,12 @@ FROM bookings GROUP BY batch_id""")
 def q_stream_occupancy(spark, d):
     """T4: travellers per batch kept up to date, the bookings in several files."""
     t, work = Tables(spark, d), _work(spark, "occupancy")
-    t.bookings.select("batch_id", "travellers").repartition(3).write.parquet(f"{work}/in")
-    stream = (spark.readStream.schema("batch_id bigint, travellers int").option("maxFilesPerTrigger", 1)
-              .parquet(f"{work}/in"))
-    S.stream_occupancy(stream, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    seats = t.bookings.select("id", "batch_id", "travellers")
+    for third in range(3):  # a micro-batch each, written by as many tasks as read the bookings
+        (seats.where(F.pmod(F.xxhash64("id"), F.lit(3)) == third).select("batch_id", "travellers")
+         .write.mode("append").parquet(f"{work}/in"))
+        stream = spark.readStream.schema("batch_id bigint, travellers int").parquet(f"{work}/in")
+        S.stream_occupancy(stream, f"{work}/out", f"{work}/checkpoint").awaitTermination()
     return S.read_occupancy(spark, f"{work}/out")
 
 
