@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from caravan.operators.admission import admit_bookings
 from caravan.operators.media import media_owner
+from caravan.plans.shapes import odd_references
 from caravan.session import cut_lineage
 from caravan.functions.columns import (is_email, json_text_ok, is_phone10, is_role, js_parse_float, js_parse_int,
                                        looks_like_json, norm_code, norm_role, to_money)
@@ -235,6 +236,7 @@ def insert_users(users: DataFrame, requests: DataFrame, as_of: int) -> tuple[Dat
 
 # ------------------------------------------------------------------ M5, M9
 def _booking_rules(with_invoice: bool) -> list[tuple[Column, str]]:
+    """The rules that a request breaks by itself; user and batch come after them."""
     # parsed once in _with_refs (the columns are referenced by several rules)
     uid, bid = F.col("user_id"), F.col("batch_id")
     pay, trav = F.col("_pay"), F.col("_trav")
@@ -245,13 +247,11 @@ def _booking_rules(with_invoice: bool) -> list[tuple[Column, str]]:
         (blank(uid) | blank(bid) | blank("name") | blank("phone_number") | blank("email")
          | blank("payment") | blank("travellers") | blank("room_type"), "MISSING_FIELDS"),
         # beyond the stored types the reference's insert fails
-        (pay.isNull() | (pay <= 0) | to_money(pay).isNull(), "INVALID_PAYMENT"),
-        (trav.isNull() | (trav <= 0) | trav.try_cast("int").isNull(), "INVALID_TRAVELLERS"),
+        (pay.isNull() | (pay <= 0) | F.col("payment_value").isNull(), "INVALID_PAYMENT"),
+        (trav.isNull() | (trav <= 0) | F.col("travellers_value").isNull(), "INVALID_TRAVELLERS"),
         (~is_email("email"), "INVALID_EMAIL"),
         (~is_phone10("phone_number"), "INVALID_PHONE"),
         (~blank("guardian_number") & ~is_phone10("guardian_number"), "INVALID_GUARDIAN_PHONE"),
-        (F.col("_user_ok").isNull(), "USER_NOT_FOUND"),
-        (F.col("_batch_ok").isNull(), "BATCH_NOT_FOUND"),
     ]
     return rules
 
@@ -261,23 +261,29 @@ def _ref_from(text, is_json) -> "Column":
     return F.when(is_json, F.get_json_object(text, "$.id")).otherwise(text)
 
 
-def _with_refs(requests: DataFrame, users: DataFrame, batches: DataFrame) -> DataFrame:
-    u = users.select(F.col("id").cast("string").alias("_uid"), F.lit(True).alias("_user_ok"))
-    b = batches.select(F.col("id").cast("string").alias("_bid"), F.lit(True).alias("_batch_ok"))
+def _parsed(requests: DataFrame) -> DataFrame:
+    """Requests with user_id, batch_id, payment_value, travellers_value and what the rules need."""
     # reference texts: "looks like JSON" is decided once per column and reused
     r = requests.select("*", looks_like_json("user_ref").alias("_uj"), looks_like_json("batch_ref").alias("_bj"),
                         js_parse_float("payment").alias("_pay"), js_parse_int("travellers").alias("_trav"))
-    r = r.select("*", _ref_from(F.col("user_ref"), F.col("_uj")).cast("string").alias("user_id"),
-                 _ref_from(F.col("batch_ref"), F.col("_bj")).cast("string").alias("batch_id"),
-                 (F.col("_uj") & ~json_text_ok("user_ref")).alias("_ubad"),
-                 (F.col("_bj") & ~json_text_ok("batch_ref")).alias("_bbad"))
-    r = r.join(u, r["user_id"] == u["_uid"], "left").drop("_uid")
-    return r.join(b, r["batch_id"] == b["_bid"], "left").drop("_bid")
-
-
-def _booking_values(d: DataFrame) -> DataFrame:
-    return d.select("*", to_money(F.col("_pay")).alias("payment_value"),
-                    F.col("_trav").try_cast("int").alias("travellers_value")).drop("_pay", "_trav")
+    return r.select("*", _ref_from(F.col("user_ref"), F.col("_uj")).cast("string").alias("user_id"),
+                    _ref_from(F.col("batch_ref"), F.col("_bj")).cast("string").alias("batch_id"),
+                    (F.col("_uj") & ~json_text_ok("user_ref")).alias("_ubad"),
+                    (F.col("_bj") & ~json_text_ok("batch_ref")).alias("_bbad"),
+                    to_money(F.col("_pay")).alias("payment_value"), F.col("_trav").try_cast("int").alias("travellers_value"))
+
+
+def _checked(requests: DataFrame, users: DataFrame, batches: DataFrame, with_invoice: bool) -> DataFrame:
+    """Requests with their first failing rule. A request's own rules are decided where
+    it is read; then only the refs that are not one row of their table are joined."""
+    r = _parsed(requests)
+    d = r.withColumn("error_code", first_error(_booking_rules(with_invoice))).drop("_pay", "_trav", "_uj", "_bj", "_ubad", "_bbad")
+    for key, parents, code in (("user_id", users, "USER_NOT_FOUND"), ("batch_id", batches, "BATCH_NOT_FOUND")):
+        odd = odd_references(r, key, parents.select(F.col("id").cast("string")))
+        absent = F.col(key).isNull() | ~F.coalesce("_found", F.lit(True))
+        j = d.join(odd, F.col(key) == F.col("_ref"), "left")
+        d = j.withColumn("error_code", F.coalesce("error_code", F.when(absent, code))).drop("_ref", "_found")
+    return d
 
 
 def validate_bookings(requests: DataFrame, users: DataFrame, batches: DataFrame) -> DataFrame:
@@ -288,9 +294,7 @@ def validate_bookings(requests: DataFrame, users: DataFrame, batches: DataFrame)
 
     requests: request_id, seq, user_ref, batch_ref, name, phone_number,
     guardian_number, email, payment, travellers, room_type (text), has_invoice."""
-    r = _with_refs(requests, users, batches)
-    d = r.withColumn("error_code", first_error(_booking_rules(True)))
-    return _booking_values(d).drop("_user_ok", "_batch_ok", "_uj", "_bj", "_ubad", "_bbad")
+    return _checked(requests, users, batches, True)
 
 
 def book_requests(bookings: DataFrame, requests: DataFrame, users: DataFrame,
@@ -348,15 +352,14 @@ def update_bookings(bookings: DataFrame, requests: DataFrame, users: DataFrame,
     updates of one booking: the last by seq wins.
 
     requests: M5 columns plus ``id`` (the booking to update)."""
-    r = _with_refs(requests, users, batches)
+    v = _checked(requests, users, batches, False)
     # outcome: NOT_FOUND comes first, so it needs the existence check
-    ids = bookings.select(F.col("id").cast("string").alias("_bk"), F.lit(True).alias("_bk_ok"))
-    rx = r.join(ids, r["id"].cast("string") == ids["_bk"], "left").drop("_bk")
-    rules = [(F.col("_bk_ok").isNull(), "NOT_FOUND")] + _booking_rules(False)
-    d = rx.withColumn("error_code", first_error(rules)).select("request_id", "error_code")
+    ids = bookings.select(F.col("id").cast("string").alias("_bk"))
+    rx = v.select("request_id", F.col("id").cast("string").alias("_asked"), "error_code").join(
+        ids, F.col("_asked") == F.col("_bk"), "left")
+    d = rx.select("request_id", F.when(F.col("_bk").isNull(), "NOT_FOUND").otherwise(F.col("error_code")).alias("error_code"))
     # new table: a request for an unknown id matches no booking in the final
     # join, so the table path skips the existence check
-    v = _booking_values(r.withColumn("error_code", first_error(_booking_rules(False))))
     ok = v.where(F.col("error_code").isNull()).select(
         F.col("id").cast("string").alias("id"), "seq", "user_id", "batch_id", "name", "phone_number",
         F.when(~blank("guardian_number"), F.col("guardian_number")).alias("guardian_number"), "email",
