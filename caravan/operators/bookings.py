@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caravan.plans.shapes import sum_by_key
+from caravan.plans.shapes import small_side, sum_by_key
+from caravan.session import cut_lineage
 
 # Fixed values from the reference: column lists of the joined booking reads.
 BOOKING_COLS = ["id", "user_id", "batch_id", "name", "phone_number", "guardian_number", "email",
@@ -82,8 +83,8 @@ def admin_bookings(bookings: DataFrame, users: DataFrame, batches: DataFrame,
     """Bookings with user name / email, batch name and dates and (list
     form) the destination; left joins throughout. ``trips=None`` gives the
     single-booking form without destination."""
-    u = users.select(F.col("id").alias("_u_id"), F.col("name").alias("user_name"),
-                     F.col("email").alias("user_email"))
+    u = small_side(users.select(F.col("id").alias("_u_id"), F.col("name").alias("user_name"),
+                                F.col("email").alias("user_email")))
     ba = batches.select(F.col("id").alias("_ba_id"), "batch_name", "from_date", "to_date",
                         F.col("trip_id").alias("_ba_trip_id"))
     cols = BOOKING_COLS + ["user_name", "user_email", "batch_name", "from_date", "to_date"]
@@ -100,9 +101,12 @@ def admin_bookings(bookings: DataFrame, users: DataFrame, batches: DataFrame,
 
 # ------------------------------------------------------------------ J7
 def missing_references(requests: DataFrame, dim: DataFrame, key: str, dim_key: str = "id") -> DataFrame:
-    """Requests whose ``key`` names no row of ``dim`` (anti join)."""
-    d = dim.select(F.col(dim_key).cast("string").alias("_ref"))
-    return requests.join(d, requests[key].cast("string") == d["_ref"], "left_anti")
+    """Requests whose ``key`` names no row of ``dim``, null included. Only the
+    distinct keys meet ``dim`` (anti join); the requests are looked up in what is left."""
+    d = dim.select(F.col(dim_key).cast("string").alias("_known"))
+    asked = requests.select(F.col(key).cast("string").alias("_ref")).distinct()
+    absent = small_side(cut_lineage(asked.join(d, F.col("_ref") == F.col("_known"), "left_anti")))
+    return requests.join(absent, requests[key].cast("string").eqNullSafe(absent["_ref"]), "left_semi")
 
 
 # ------------------------------------------------------------------ A2, A3
