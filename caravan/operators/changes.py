@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from caravan.operators.admission import admit_bookings
 from caravan.operators.media import media_owner
-from caravan.plans.shapes import odd_references
+from caravan.plans.shapes import odd_references, small_side
 from caravan.session import cut_lineage
 from caravan.functions.columns import (is_email, json_text_ok, is_phone10, is_role, js_parse_float, js_parse_int,
                                        looks_like_json, norm_code, norm_role, to_money)
@@ -555,8 +555,8 @@ def cascade_keys(bookings: DataFrame, batches: DataFrame, trip_ids: DataFrame) -
     """Bookings whose batch belongs to one of the trips
     (``batch_id IN (SELECT id FROM batches WHERE trip_id = ...)``)."""
     t = _ids(trip_ids)
-    b = batches.join(t, batches["trip_id"].cast("string") == t["_del"], "left_semi").select(
-        F.col("id").cast("string").alias("_bid"))
+    b = small_side(cut_lineage(batches.join(t, batches["trip_id"].cast("string") == t["_del"], "left_semi").select(
+        F.col("id").cast("string").alias("_bid"))))
     return bookings.join(b, bookings["batch_id"].cast("string") == b["_bid"], "left_semi")
 
 
@@ -572,9 +572,9 @@ def delete_trips_cascade(trips: DataFrame, batches: DataFrame, bookings: DataFra
                     F.when(F.col("_tid").isNull(), "NOT_FOUND").alias("error_code"))
     gone = oc.where(F.col("_tid").isNotNull()).select(F.col("_tid").alias("id"))
     g = _ids(gone)
-    # bookings go with their batch: anti join on the (small) set of deleted batch ids
-    gone_batches = (batches.join(g, batches["trip_id"].cast("string") == g["_del"], "left_semi")
-                    .select(F.col("id").cast("string").alias("_gb")))
+    # bookings go with their batch: anti join on the set of deleted batch ids
+    gone_batches = small_side(cut_lineage(batches.join(g, batches["trip_id"].cast("string") == g["_del"], "left_semi")
+                                          .select(F.col("id").cast("string").alias("_gb"))))
     new_bookings = bookings.join(gone_batches, bookings["batch_id"].cast("string") == F.col("_gb"),
                                  "left_anti")
     new_batches = batches.join(g, batches["trip_id"].cast("string") == g["_del"], "left_anti")
