@@ -237,7 +237,7 @@ def insert_users(users: DataFrame, requests: DataFrame, as_of: int) -> tuple[Dat
 # ------------------------------------------------------------------ M5, M9
 def _booking_rules(with_invoice: bool) -> list[tuple[Column, str]]:
     """The rules that a request breaks by itself; user and batch come after them."""
-    # parsed once in _with_refs (the columns are referenced by several rules)
+    # parsed once in _parsed (the columns are referenced by several rules)
     uid, bid = F.col("user_id"), F.col("batch_id")
     pay, trav = F.col("_pay"), F.col("_trav")
     rules = [(F.col("_ubad") | F.col("_bbad"), "INVALID_REFERENCE_FORMAT")]
